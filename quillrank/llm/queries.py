@@ -57,5 +57,17 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=4, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_token_store, op5_bpe_tree, op6_warc, op7_line_dedup, op8_minhash)}
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan_licenses
+
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score_quality
+
+    return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_token_store, op5_bpe_tree, op6_warc, op7_line_dedup, op8_minhash, op9_license_scan, op10_quality)}
 ORACLES: dict[str, str] = {}
