@@ -5,8 +5,8 @@ templates. A file's occurrences of such words are looked up; a word at file posi
 placement i - p. Placements with NEED votes are candidates, and one stands if every mandatory key phrase of the
 template is in the file at its place. The phrases of BASE are counted wherever their words stand consecutively.
 
-A file can only hold a template or phrase if it has one of their anchor words, so the others are told apart by one regular expression,
-and only their words are counted. Everything about a file is computed within its row: there is no join, and no shuffle.
+A file can only hold a template if it has the first of its key phrases; files without any of these, or of BASE, are told apart by
+their longest words, and only their words are counted. Everything about a file is computed within its row: there is no join, and no shuffle.
 
 Null and empty texts have no words, no labels and the score 0. Rows without an id and repeated rows get a row each. Other columns are not
 read. score: 0 without a label; else the larger of 0.5 (for a base phrase) and the share of its words that the best template has in place.
@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -95,6 +97,13 @@ def _stands(words: Column, phrase: str, label: str) -> Column:
     return F.transform(whole, lambda i: F.struct(i.cast("long").alias("i"), F.lit(label).alias("label")))
 
 
+def _may_hold(phrase: str) -> Column:
+    """True for every file that holds phrase, from its longest word or, where that is short, from its words in a row."""
+    word = max(phrase.split(), key=len)
+    found = F.col("low").contains(word)
+    return found if len(word) > 4 else found & F.col("low").rlike(f"{GAP}+".join(phrase.split()))
+
+
 def n_words(text: Column) -> Column:
     """Words of text, without building them."""
     return F.when(text.rlike(WORD), F.length(F.regexp_replace(text, f"{GAP}*{WORD}+(?:{GAP}+\\z)?", "w"))).otherwise(0).cast("long")
@@ -102,15 +111,10 @@ def n_words(text: Column) -> Column:
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score: a row for each row of docs."""
-    rare = {TEMPLATES[t][1].split()[p] for t, at in enumerate(anchors()) for p in at if len(TEMPLATES[t][1].split()[p]) > 3} | {p.split()[-1] for p in BASE}
-    # a template needs NEED of its ANCHORS words, so leaving out its short ones, at most ANCHORS - NEED a template, loses none
-    for at, (_, t, _) in zip(anchors(), TEMPLATES):
-        if sum(t.split()[p] not in rare for p in at) >= NEED:
-            rare |= {t.split()[p] for p in at}
-    stems = sorted(w for w in rare if not any(o != w and o in w for o in rare))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    candidate = F.col("text").rlike("(?i)" + "|".join(stems))
+    rows = rows.withColumn("low", F.lower("text"))
+    candidate = reduce(or_, (_may_hold(p) for p in sorted({*BASE, *(m[0] for _, _, m in TEMPLATES)})))
     split = F.filter(F.split(F.translate("text", upper, upper.lower()), f"{GAP}+"), lambda w: w != "")
     rows = rows.select("doc_id", F.when(~candidate, n_words(F.col("text"))).alias("n"), F.when(candidate, split).otherwise(F.array().cast("array<string>")).alias("w"))
     words = F.col("w")
