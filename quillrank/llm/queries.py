@@ -33,6 +33,12 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_to_store(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
+def op4_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lattice_dedup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe_tree import encode_decode
 
@@ -69,5 +75,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_token_store, op5_bpe_tree, op6_warc, op7_line_dedup, op8_minhash, op9_license_scan, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_token_store, op4_lattice_dedup, op5_bpe_tree, op6_warc, op7_line_dedup, op8_minhash, op9_license_scan, op10_quality)}
 ORACLES: dict[str, str] = {}
