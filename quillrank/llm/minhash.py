@@ -265,3 +265,11 @@ def _unresolved(groups, found, reps, parts, pairs) -> DataFrame:
     blocks = rows.select("gid", "i", "j", "rep", "cut", "part", "sig").repartition("gid", "i", "j").sortWithinPartitions("gid", "i", "j")
     found_pairs = blocks.mapInArrow(_pending, "a long, b long").filter("a < b").distinct()
     return written(found_pairs.join(pairs, ["a", "b"], "left_anti"), "lsh-pending")
+
+
+def keep_one(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that are not near-duplicates of one with a smaller id. Rows that are equal in id
+    and text are all kept or all dropped."""
+    found = near_duplicates(docs, shingle_words, percent, id_col, text_col)
+    drop = written(found.filter(~F.col("kept")).select(F.col("doc_id").alias("_drop")).distinct(), "lsh-dropped")
+    return docs.join(drop, F.col(id_col).cast("long") == F.col("_drop"), "left_anti")

@@ -9,7 +9,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
+    """Where the file of a public tokenizer is."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -24,13 +25,13 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens
 
-    return count_tokens(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+    return count_tokens(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_store import encode_to_store
 
-    return encode_to_store(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+    return encode_to_store(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def op4_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +43,7 @@ def op4_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe_tree import encode_decode
 
-    return encode_decode(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+    return encode_decode(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
