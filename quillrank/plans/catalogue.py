@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ranking  # noqa: F401
+from . import ranking, relational  # noqa: F401
 from .tables import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
