@@ -48,9 +48,9 @@ def retry_upsert(spark, sf_dir):
     return L.retry_merge(of("click"), of("error"), "user_id", "value")
 
 
-@query("WITH n AS (SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_custkey % 3 = 0), o AS (SELECT s_suppkey AS k, s_acctbal AS v FROM supplier) SELECT k, v FROM n UNION ALL SELECT k, v FROM o WHERE k NOT IN (SELECT k FROM n)")
+@query("WITH n AS (SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_acctbal > 0), o AS (SELECT s_suppkey AS k, s_acctbal AS v FROM supplier) SELECT k, v FROM n UNION ALL SELECT k, v FROM o WHERE k NOT IN (SELECT k FROM n)")
 def keep_enriched(spark, sf_dir):
-    new = table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
+    new = table(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
     old = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("v"))
     return L.upsert(old, new, "k")
 
@@ -95,13 +95,12 @@ def union_groups(spark, sf_dir):
     return rounded(both.groupBy("experiment").agg(F.count("*").alias("n"), F.avg("score").alias("score"), F.avg("extra").alias("extra")))
 
 
-@query("WITH w AS (SELECT DISTINCT p_partkey, p_type AS prefix, p_size AS lvl FROM part), h AS (SELECT l_suppkey AS cv, p_type AS prefix, max(p_size) AS best FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_suppkey < 20 GROUP BY ALL), p AS (SELECT cv, w.* FROM w CROSS JOIN (SELECT DISTINCT cv FROM h) WHERE p_partkey % 50 = 0) SELECT p.cv, p_partkey, coalesce(best >= lvl, false) AS matched FROM p LEFT JOIN h ON p.cv = h.cv AND p.prefix = h.prefix")
+@query("WITH l AS (SELECT l_orderkey, l_returnflag, p_partkey, p_type AS prefix, p_size AS lvl FROM lineitem JOIN part ON l_partkey = p_partkey), h AS (SELECT l_orderkey, prefix, max(lvl) AS best FROM l WHERE l_returnflag = 'R' GROUP BY ALL) SELECT l.l_orderkey, p_partkey, coalesce(best >= lvl, false) AS matched FROM l LEFT JOIN h ON l.l_orderkey = h.l_orderkey AND l.prefix = h.prefix WHERE l_returnflag = 'A'")
 def range_level_match(spark, sf_dir):
     part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("prefix"), F.col("p_size").alias("lvl"))
-    lines = table(spark, sf_dir, "lineitem").filter("l_suppkey < 20").select(F.col("l_suppkey").alias("cv"), F.col("l_partkey").alias("p_partkey"))
-    held = lines.join(part, "p_partkey").select("cv", "prefix", "lvl")
-    wanted = part.filter("p_partkey % 50 = 0").crossJoin(held.select("cv").distinct())
-    return L.level_matched(wanted, held, ["cv"], "prefix", "lvl").select("cv", "p_partkey", "matched")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", F.col("l_partkey").alias("p_partkey")).join(part, "p_partkey")
+    wanted, held = lines.filter("l_returnflag = 'A'"), lines.filter("l_returnflag = 'R'")
+    return L.level_matched(wanted, held, ["l_orderkey"], "prefix", "lvl").select("l_orderkey", "p_partkey", "matched")
 
 
 @query("SELECT c_custkey, coalesce(n, 0) AS n_orders, coalesce(total, 1.0) AS total FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey) ON c_custkey = o_custkey")
@@ -147,9 +146,9 @@ def weighted_sample(spark, sf_dir):
     return B.weighted_sample(rows, 5, ["grp"], "w", "cv", "42")
 
 
-@query("SELECT s_suppkey || '::cf_' || variant AS id, CASE WHEN info = '' THEN s_name ELSE info || chr(10) || chr(10) || s_name END AS text, variant FROM supplier CROSS JOIN (VALUES ('neutral', ''), ('female', 'she'), ('male', 'he')) v(variant, info) WHERE s_suppkey % 2 = 0 UNION ALL SELECT s_suppkey::VARCHAR, s_name, 'original' FROM supplier WHERE s_suppkey % 2 = 1")
+@query("SELECT s_suppkey || '::cf_' || variant AS id, CASE WHEN info = '' THEN s_name ELSE info || chr(10) || chr(10) || s_name END AS text, variant FROM supplier CROSS JOIN (VALUES ('neutral', ''), ('female', 'she'), ('male', 'he')) v(variant, info) WHERE s_acctbal > 5000 UNION ALL SELECT s_suppkey::VARCHAR, s_name, 'original' FROM supplier WHERE s_acctbal <= 5000")
 def counterfactual_expand(spark, sf_dir):
-    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("text"), (F.col("s_suppkey") % 2 == 0).alias("cv"))
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("text"), (F.col("s_acctbal") > 5000).alias("cv"))
     variants = spark.createDataFrame([("neutral", ""), ("female", "she"), ("male", "he")], "variant string, info string")
     return L.counterfactuals(rows, variants, F.col("cv"), "id", "text").select("id", "text", "variant")
 
