@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import profiles, ranking, relational, text  # noqa: F401
+from . import graphs, profiles, ranking, relational, statistics, text  # noqa: F401
 from .tables import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
