@@ -91,9 +91,12 @@ def hops(starts: DataFrame, edges: DataFrame, max_rounds: int = 6, doc: str = "d
     if anchors is not None:
         both = both.join(anchors.select(doc, F.col("node").alias("source")), [doc, "source"], "left_anti").join(anchors.select(doc, F.col("node").alias("target")), [doc, "target"], "left_anti")
     now = starts.select(doc, "node", F.lit(0).alias("dist")).distinct()
+    both = both.withColumnRenamed("source", "node")
+    stay, go = F.struct("node", "dist"), F.struct(F.col("target").alias("node"), (F.col("dist") + F.col("cost")).alias("dist"))
     for _ in range(max_rounds):
-        step = now.join(both.withColumnRenamed("source", "node"), [doc, "node"]).select(doc, F.col("target").alias("node"), (F.col("dist") + F.col("cost")).alias("dist"))
-        now = now.union(step).groupBy(doc, "node").agg(F.min("dist").alias("dist"))
+        # each round uses the last one once, so the plan grows by one join a round
+        moved = now.join(both, [doc, "node"], "left").select(doc, F.explode(F.array(stay, go)).alias("_m")).select(doc, "_m.*")
+        now = moved.filter("node is not null").groupBy(doc, "node").agg(F.min("dist").alias("dist"))
     return now
 
 
