@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from functools import lru_cache
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -16,6 +18,10 @@ os.environ.setdefault("RAYON_NUM_THREADS", "1")
 
 #: Pieces that one memo remembers at most; it bounds memory, never results.
 MEMO_PIECES = 600_000
+#: Signs that stand in one piece after letters: no apostrophe, with which contractions begin.
+_TAIL = ".,;:!?#&*%$"
+#: Below this, all versions of Unicode have the same letters.
+_PLAIN_END = "\u0250"
 #: White space besides the blank and the line feed, by any of the regex engines involved.
 _OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏    　﻿]")
 
@@ -43,6 +49,13 @@ class Memo:
         return self.now
 
 
+def _byte_signs() -> list[str]:
+    """The printable signs that byte-level vocabularies write bytes with: a byte's own character, or the next free one from 256 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = iter(range(0x100, 0x200))
+    return [chr(b) if b in own else chr(next(other)) for b in range(256)]
+
+
 class ByteBpe:
     """Byte-level BPE of a tokenizers file: ids as little-endian bytes.
 
@@ -59,13 +72,43 @@ class ByteBpe:
         pre = self.tok.pre_tokenizer
         self.cuts = self.tok.normalizer is None and "ByteLevel" in repr(pre) and "add_prefix_space=False" in repr(pre) and "use_regex=True" in repr(pre) and "Sequence" not in repr(pre)
         self.dtype = "<u2" if self.tok.get_vocab_size() < 1 << 16 else "<u4"
-        self.memo = Memo(lambda new: self._library([y[1:] if y[:1] == "\r" else y if y[:1] == "\n" else " " + y for y in new]))
+        self.memo = Memo(self._pieces)
+        self.signs, self.tails, self.code = dict(enumerate(_byte_signs())), {}, "H" if self.dtype == "<u2" else "I"
+        # letters, and signs after them, are pieces of their own that the model itself can take; the library must agree on samples
+        samples = [" theyre", "Ab", " élève", "###", ".,", "&&&", " Zz"]
+        self.letters = self.cuts and sys.byteorder == "little" and [self._by_model(x) for x in samples] == self._library(samples)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         import numpy as np
 
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _by_model(self, part: str) -> bytes:
+        tokens = self.tok.model.tokenize(part.encode().decode("latin-1").translate(self.signs))
+        return array(self.code, [t.id for t in tokens]).tobytes()
+
+    def _pieces(self, new: list[str]) -> list[bytes]:
+        """What the library gives for keys of the memo: a blank before each, but none where a sign for that stands first."""
+        out, rest, known, tails = [], [], self.memo.now, self.tails
+        for key in new:
+            stem = key.rstrip(_TAIL)
+            if self.letters and stem.isalpha() and max(stem) < _PLAIN_END:
+                found = known.get(stem) or self._by_model(" " + stem)
+                if len(stem) < len(key):
+                    tail = key[len(stem) :]
+                    if tail not in tails:
+                        if len(tails) >= 10_000:
+                            tails.clear()
+                        tails[tail] = self._by_model(tail)
+                    found += tails[tail]
+                out.append(found)
+            else:
+                rest.append((len(out), key[1:] if key[:1] == "\r" else key if key[:1] == "\n" else " " + key))
+                out.append(b"")
+        for (i, _), found in zip(rest, self._library([y for _, y in rest])):
+            out[i] = found
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         split: list[list[str] | None] = []
         for x in texts:
