@@ -26,7 +26,7 @@ from .raw_files import commit, manifest, read_raw, write_raw
 HEAD = "<4sBBHqI"
 HEAD_BYTES = struct.calcsize(HEAD)
 MAGIC = b"QTID"
-BUCKET_KEYS, PER_PILOT, PILOT_BLOCK = 1000, 4, 1024
+BUCKET_KEYS, PER_PILOT, FIRST_PILOTS, MOST_PILOTS = 1000, 3, 16, 1024
 FRAME_SCHEMA = "file string, seq long, doc_id long, offset long, n_tokens long, before long, ids_crc32 long"
 INDEX_SCHEMA = "bucket long, n_keys long, pilots binary, prints binary, files array<string>, offsets binary, copies binary"
 
@@ -49,7 +49,7 @@ def _framer(tokenizer_path: str, end_id: int):
     return run
 
 
-def _frames(batches):
+def _frames(batches, with_crc: bool = True):
     for b in batches:
         for file, content in zip(b.column(0).to_pylist(), b.column(1)):
             data, at, before, out = memoryview(content.as_buffer()), 0, 0, []
@@ -58,14 +58,18 @@ def _frames(batches):
                 if magic != MAGIC:
                     raise ValueError(f"{file}: no frame at {at}")
                 first = at + HEAD_BYTES
-                ids = np.frombuffer(data[first : first + n * width], f"<u{width}").astype("<u4")
-                out.append((file, len(out), key if has else None, at, n, before, zlib.crc32(ids.tobytes())))
+                crc = zlib.crc32(np.frombuffer(data[first : first + n * width], f"<u{width}").astype("<u4").tobytes()) if with_crc else None
+                out.append((file, len(out), key if has else None, at, n, before, crc))
                 at, before = first + n * width + 1, before + n
             for i in range(0, len(out), 10_000):
                 cols = list(zip(*out[i : i + 10_000]))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0]), *(pa.array(c, pa.int64()) for c in cols[1:])], ["file", "seq", "doc_id", "offset", "n_tokens", "before", "ids_crc32"])
 
 
+def _heads(batches):
+    return _frames(batches, with_crc=False)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     """SplitMix64's finaliser."""
     with np.errstate(over="ignore"):
@@ -101,12 +105,13 @@ def build_bucket(keys: np.ndarray) -> np.ndarray:
     groups = _groups(keys, n)
     sizes = np.bincount(groups, minlength=max(1, -(-n // PER_PILOT)))
     pilots, free = np.zeros(len(sizes), "<u4"), np.ones(n, bool)
+    by_group, ends = keys[np.argsort(groups, kind="stable")], np.cumsum(sizes)
     for g in np.argsort(-sizes, kind="stable"):
         if not sizes[g]:
             break
-        own, first = keys[groups == g], 0
+        own, first, block = by_group[ends[g] - sizes[g] : ends[g]], 0, FIRST_PILOTS
         while True:
-            tries = np.arange(first, first + PILOT_BLOCK, dtype=np.uint64)
+            tries = np.arange(first, first + block, dtype=np.uint64)
             slots = _slots(own[None, :], tries[:, None], n)
             good = free[slots].all(axis=1)
             if len(own) > 1:
@@ -116,7 +121,7 @@ def build_bucket(keys: np.ndarray) -> np.ndarray:
                 at = int(np.argmax(good))
                 pilots[g], free[slots[at]] = first + at, False
                 break
-            first += PILOT_BLOCK
+            first, block = first + block, min(2 * block, MOST_PILOTS)
     return pilots
 
 
@@ -170,7 +175,8 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2
     tmp = f"{path}/_tmp"
     write_raw(dealt.mapInArrow(_framer(tokenizer_path, end_id), "file string, seq long, value binary"), tmp, ["seq"])
     commit(spark, tmp, path, ".ids", {"format": 1, "end_id": end_id})
-    keys = frames(spark, path).filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("file", "offset")).alias("at"), F.count("*").alias("copies"))
+    heads = read_raw(spark, path).mapInArrow(_heads, FRAME_SCHEMA)
+    keys = heads.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("file", "offset")).alias("at"), F.count("*").alias("copies"))
     keys = written(keys.select("doc_id", "at.file", "at.offset", "copies"), "store-keys")
     n_buckets = max(1, -(-keys.count() // BUCKET_KEYS))
     _bucketed(keys, n_buckets).groupBy("bucket").applyInPandas(_build, INDEX_SCHEMA).withColumn("n_buckets", F.lit(n_buckets).cast("long")).write.parquet(f"{path}/index")
