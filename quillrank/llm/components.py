@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import written
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step over edges (hi > lo). The minima are written before they are joined, so that Spark can split the rows of a
+def _star(edges: DataFrame, large: bool) -> tuple[DataFrame, tuple]:
+    """One star step over edges (hi > lo), and a mark by which equal edges are known. The minima are written before they are joined, so that Spark can split the rows of a
     node with very many neighbours."""
     pairs = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v"))
     if large:
@@ -20,7 +20,11 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = joined.filter("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
     else:
         out = joined.filter("v <> m").select(F.col("v").alias("hi"), F.col("m").alias("lo")).union(low.select(F.col("u").alias("hi"), F.col("m").alias("lo")))
-    return written(out.filter("hi > lo").distinct(), "cc-edges")
+    seen = Observation()
+    out = out.filter("hi > lo")  # repeats are harmless, and go once a round
+    out = out if large else out.distinct()
+    out = written(out.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("mark")), "cc-edges")
+    return out, tuple(seen.get.values())
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -31,8 +35,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = written(now.distinct(), "cc-edges")
     mark = None
     while True:
-        now = _star(_star(now, True), False)
-        new = now.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
+        now, new = _star(_star(now, True)[0], False)
         if new == mark:
             break
         mark = new

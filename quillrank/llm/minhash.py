@@ -6,8 +6,8 @@ id stands for it. BANDS x ROWS minima of (a x + b) mod 2^64 are cut into bands;
 verified by their signatures and then on their full sets.
 
 No bucket is expanded into all its pairs at first. In a small bucket, a spanning forest of the candidate pairs is verified, most alike
-first; in a large one, its smallest member with each other. Then every candidate pair that still lies in two components and
-was not verified is verified in blocks, so each candidate pair is either verified or inside one component.
+first; in a large one, its smallest member with each other. Then every candidate pair that still lies in two components is verified
+in blocks of bounded size, which give out only links, so each candidate pair is either verified or inside one component.
 
 Null or empty texts and such of white space only have an empty set and link with nothing. Rows without an id are returned with a null
 component and link with nothing. Rows that share an id are taken each by its own text;
@@ -31,6 +31,10 @@ BANDS, ROWS = 24, 5
 LEAST_ALIKE = 0.64
 #: Members of a bucket, or of each half of a block of a larger bucket, that meet in one step.
 BLOCK = 256
+#: Members of each half of a block when full sets are at hand.
+OPEN_BLOCK = 1024
+#: Bytes of full sets in each half of a block, about.
+BLOCK_BYTES = 8 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -176,19 +180,51 @@ def _forests(batches):
     yield from _pair_batches(p for _, rows in _by_group(batches, 1) for p in forest(np.array([r[0] for r in rows]), _sigs(rows, 1)))
 
 
-def _pending(batches):
-    """Candidate pairs of a block, one of each half, that lie in two components."""
+def linked(rows: list[tuple], i: int, j: int, percent: int) -> list[tuple[int, int]]:
+    """Links that join the components of a block's rows, of pairs with one row in each half (cut i and cut j).
+
+    Rows: (id, cut, component, signature, hashes). Candidate pairs are taken most alike first, and left out once inside one component."""
+    x = [r for r in rows if r[1] == i]
+    y = [r for r in rows if r[1] == j]
+    if not x or not y:
+        return []
+    sx, sy = _sigs(x, 3), _sigs(y, 3)
+    like = _alike(sx, sy)
+    part = lambda half: np.array([r[2] for r in half])
+    open_ = (like >= LEAST_ALIKE) & (part(x)[:, None] != part(y)[None, :])
+    p, q = np.nonzero(np.triu(open_, 1) if i == j else open_)
+    order = np.argsort(-like[p, q], kind="stable")
+    sets: dict = {}
+    root: dict = {}
+    out = []
+
+    def hashes(r):
+        if r[0] not in sets:
+            sets[r[0]] = set(np.frombuffer(r[4], np.uint64).tolist())
+        return sets[r[0]]
+
+    def find(v):
+        while root.setdefault(v, v) != v:
+            root[v] = root[root[v]]
+            v = root[v]
+        return v
+
+    for a, b in zip(p[order].tolist(), q[order].tolist()):
+        u, v = find(x[a][2]), find(y[b][2])
+        if u != v:
+            s, t = hashes(x[a]), hashes(y[b])
+            both = len(s & t)
+            if 100 * both >= percent * (len(s) + len(t) - both):
+                root[u] = v
+                out.append((x[a][0], y[b][0]))
+    return out
 
-    def pairs():
-        for (_, i, j), rows in _by_group(batches, 3):
-            x = [r for r in rows if r[1] == i]
-            y = [r for r in rows if r[1] == j]
-            like = _alike(_sigs(x, 3), _sigs(y, 3)) >= LEAST_ALIKE
-            like &= np.array([r[2] for r in x])[:, None] != np.array([r[2] for r in y])[None, :]
-            for p, q in zip(*np.nonzero(np.triu(like, 1) if i == j else like)):
-                yield x[p][0], y[q][0]
 
-    yield from _pair_batches(pairs())
+def _blocks(percent: int):
+    def run(batches):
+        yield from _pair_batches(p for (_, i, j), rows in _by_group(batches, 3) for p in linked(rows, i, j, percent))
+
+    return run
 
 
 def _sets(words: int):
@@ -242,29 +278,40 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     pairs = written(forests.union(stars).filter("a < b").distinct(), "lsh-pairs")
     links = _confirmed(pairs, rows, shingle_words, percent)
     parts = written(connected_components(links), "lsh-parts")
-    more = _unresolved(groups, found, reps, parts, pairs)
-    if more.head(1):
-        again = _confirmed(more, rows, shingle_words, percent)
-        if again.head(1):
-            parts = written(connected_components(links.union(again)), "lsh-parts")
+    again = _unresolved(groups, found, reps, parts, rows, shingle_words, percent)
+    if again is not None and again.head(1):
+        parts = written(connected_components(links.union(again)), "lsh-parts")
     named = classes.join(parts, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
     # ids whose text has an empty set, or which stand in no class's name, keep their own
     out = feats.join(written(named, "lsh-named"), "digest", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _unresolved(groups, found, reps, parts, pairs) -> DataFrame:
-    """Candidate pairs in two components that were not verified; the blocks of a bucket bound what meets in one step."""
-    label = lambda df: df.join(parts, df.rep == parts.node, "left").select(*df.columns, F.coalesce("component", "rep").alias("part"))
-    big = found.filter(F.col("n") > BLOCK).select(F.col("bucket").alias("gid"), "rep", F.ceil(F.col("n") / BLOCK).alias("cuts"))
-    every = written(label(groups.withColumn("cuts", F.lit(1).cast("long")).union(big)), "lsh-labelled")
-    mixed = written(every.groupBy("gid").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q").select("gid"), "lsh-mixed")
-    rows = every.join(mixed, "gid").withColumn("cut", F.pmod(F.xxhash64("rep"), F.col("cuts")))
+def _unresolved(groups, found, reps, parts, docs, words: int, percent: int) -> DataFrame | None:
+    """Links between components, of candidate pairs that were not verified yet; None if there are no such pairs.
+
+    Buckets that hold several components are dealt out as pairs of parts of bounded size, which carry the full sets; only links leave
+    them, never pairs.
+    """
+    big = found.filter(F.col("n") > BLOCK).select(F.col("bucket").alias("gid"), "rep")
+    every = groups.union(big)
+    every = written(every.join(parts, every.rep == parts.node, "left").select("gid", "rep", F.coalesce("component", "rep").alias("part")), "lsh-labelled")
+    # the only pair of a group of two was a candidate and verified, or none
+    mixed = every.groupBy("gid").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("n"))
+    mixed = written(mixed.filter("p <> q and n > 2").select("gid"), "lsh-mixed")
+    if not mixed.head(1):
+        return None
+    rows = every.join(mixed, "gid")
+    sets = docs.join(rows.select("rep").distinct(), docs.doc_id == F.col("rep")).select("rep", "text").mapInArrow(_sets(words), "rep long, hashes binary").distinct()
+    sets = written(sets, "lsh-open-sets")
+    sizes = rows.join(sets.select("rep", F.octet_length("hashes").cast("long").alias("size")), "rep").groupBy("gid")
+    sizes = sizes.agg(F.ceil(F.greatest(F.count("*") / OPEN_BLOCK, F.sum("size") / BLOCK_BYTES)).alias("cuts"))
+    rows = rows.join(written(sizes, "lsh-sizes"), "gid").join(reps, "rep").join(sets, "rep").withColumn("cut", F.pmod(F.xxhash64("rep"), F.col("cuts")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)))
-    rows = rows.select("gid", F.least("cut", "other").alias("i"), F.greatest("cut", "other").alias("j"), "rep", "cut", "part").join(reps, "rep")
-    blocks = rows.select("gid", "i", "j", "rep", "cut", "part", "sig").repartition("gid", "i", "j").sortWithinPartitions("gid", "i", "j")
-    found_pairs = blocks.mapInArrow(_pending, "a long, b long").filter("a < b").distinct()
-    return written(found_pairs.join(pairs, ["a", "b"], "left_anti"), "lsh-pending")
+    keys = ["gid", "i", "j"]
+    blocks = rows.select("gid", F.least("cut", "other").alias("i"), F.greatest("cut", "other").alias("j"), "rep", "cut", "part", "sig", "hashes")
+    blocks = blocks.repartition(*keys).sortWithinPartitions(*keys)
+    return written(blocks.mapInArrow(_blocks(percent), "a long, b long").filter("a < b").distinct(), "lsh-links")
 
 
 def keep_one(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -272,4 +319,4 @@ def keep_one(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col:
     and text are all kept or all dropped."""
     found = near_duplicates(docs, shingle_words, percent, id_col, text_col)
     drop = written(found.filter(~F.col("kept")).select(F.col("doc_id").alias("_drop")).distinct(), "lsh-dropped")
-    return docs.join(drop, F.col(id_col).cast("long") == F.col("_drop"), "left_anti")
+    return docs.join(drop.hint("merge"), F.col(id_col).cast("long") == F.col("_drop"), "left_anti")

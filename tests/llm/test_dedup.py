@@ -63,6 +63,7 @@ def corpus():
 @pytest.mark.parametrize("words", [4, 5])
 def test_minhash(spark, monkeypatch, words):
     monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "OPEN_BLOCK", 8)
     rows = list(enumerate(corpus())) + [(None, "lost"), (3, corpus()[3])]
     df = spark.createDataFrame([(i, t, 0, "x") for i, t in rows], "doc_id bigint, text string, component_id int, digest string")
     got = minhash.near_duplicates(df, words).collect()
