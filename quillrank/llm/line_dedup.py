@@ -127,7 +127,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     at = docs.columns.index(text_col)
     i, h = _key(id_col, text_col)
     keyed = docs.select(i.alias("_id"), h.alias("_h"), *(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)))
-    rows = keyed.join(gone, (keyed._id == gone.id) & (keyed._h == gone.h), "left")
+    # a merge at every size: one plan, whose needs follow the input
+    rows = keyed.join(gone.hint("merge"), (keyed._id == gone.id) & (keyed._h == gone.h), "left")
     rest = [n for n in names if n != names[at]]
     rows = rows.select(*rest, names[at], "gone")
     schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes[:-1])
