@@ -2,9 +2,10 @@
 
 A line is hashed with its white space collapsed. From each line on, the shortest run of lines with NOISE_WORDS words is a shingle; from each
 line on, the shingles inside the shortest run with RUN_WORDS words are a window, and the least shingle hash of each window is a
-fingerprint. Two equal runs of RUN_WORDS words share a window and so a fingerprint. Each fingerprint is joined to the first place (by document
-id, then line) that has it, the match is extended both ways while lines are equal, and if the run then has RUN_WORDS words,
-the later copy's lines are deleted. A deleted line always has an equal one at an earlier place, so the first copy stays.
+fingerprint. Two equal runs of RUN_WORDS words share a window and so a fingerprint. Around the fingerprints that occur more than once, the
+shortest runs with RUN_WORDS words from each line on, and those up to each line, are keyed by a hash of all their lines, and each that has
+an equal one at an earlier place (by document id, then line) is deleted. Every line of a longer repeated run is in such a run inside it, so
+exactly the lines are deleted that lie in a run of RUN_WORDS words with an equal one at any earlier place. The first copy stays.
 
 Null texts stay null and empty ones empty; a text whose every line is a repeat becomes empty, and its row stays. Rows that share an id
 and a text are one document and get the same text. Rows without an id come first in the order. All columns are kept; only the
@@ -46,21 +47,12 @@ def fingerprints(hashes: np.ndarray, words: np.ndarray, noise: int = NOISE_WORDS
     return sorted((-j, h) for h, j in out)
 
 
-def extend(own: np.ndarray, words: np.ndarray, source: np.ndarray, shift: int, places: list[int], same: bool, run: int = RUN_WORDS) -> list[tuple[int, int]]:
-    """Runs [first, end) of own's lines around places that equal source's lines shift further up, with at least run words."""
-    out, done = [], -1
-    for p in sorted(places):
-        if p < done:
-            continue
-        a = b = p
-        while a > 0 and a - 1 - shift >= 0 and own[a - 1] == source[a - 1 - shift]:
-            a -= 1
-        while b < len(own) and b - shift < len(source) and own[b] == source[b - shift]:
-            b += 1
-        done = b
-        if words[a:b].sum() >= run:
-            out.append((a, b))
-    return out
+def least_runs(words: np.ndarray, run: int = RUN_WORDS) -> list[tuple[int, int]]:
+    """The runs [first, end) of lines that are the shortest with run words from their first line on, or up to their last."""
+    total = np.r_[0, np.cumsum(words)]
+    ends = np.searchsorted(total, total[:-1] + run, "left")
+    firsts = np.searchsorted(total, total[1:] - run, "right") - 1
+    return sorted({(i, e) for i, e in enumerate(ends.tolist()) if e < len(total)} | {(i, e) for e, i in enumerate(firsts.tolist(), 1) if i >= 0})
 
 
 def _scan(batches):
@@ -75,16 +67,18 @@ def _scan(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.binary()), pa.array(cols[2], kind)], ["id", "h", "lines", "words", "fps"])
 
 
-def _extend(batches):
-    kind = pa.list_(pa.int64())
+def _runs(batches):
+    """The least runs that hold the first line of one of their document's places, each keyed by its lines."""
     for b in batches:
         out = []
-        for i, h, shift, places, same, own, words, source in zip(*(c.to_pylist() for c in b.columns)):
-            own, words, source = (np.frombuffer(x, "<i8") for x in (own, words, source))
-            for a, e in extend(own, words, source, shift, places, same):
-                out.append((i, h, list(range(a, e))))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], kind)], ["id", "h", "gone"])
+        for i, h, places, lines, words in zip(*(c.to_pylist() for c in b.columns)):
+            hashes, places = np.frombuffer(lines, "<i8"), np.sort(places)
+            for a, e in least_runs(np.frombuffer(words, "<i8")):
+                if np.searchsorted(places, a) < np.searchsorted(places, e):
+                    out.append((i, h, a, e, hashlib.blake2b(hashes[a:e].tobytes(), digest_size=16).digest()))
+        for k in range(0, len(out), 10_000):
+            cols = list(zip(*out[k : k + 10_000]))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary())], ["id", "h", "first", "end", "key"])
 
 
 def _rewrite(batches):
@@ -92,28 +86,27 @@ def _rewrite(batches):
         out = []
         for text, gone in zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
             if gone:
-                drop = set(gone)
+                drop = {i for r in gone for i in range(r["first"], r["end"])}
                 text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop)
             out.append(text)
         yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(out, pa.string())], b.schema.names[:-1])
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, h (hash of the text), gone: the lines of each document that repeat earlier ones."""
+    """id, h (hash of the text), gone: the runs (first, end) of lines of each document that repeat earlier ones."""
     tune(docs.sparkSession)
     rows = docs.select(*_key(id_col, text_col), F.col(text_col).alias("text")).filter("text is not null and text <> ''")
     scanned = written(rows.mapInArrow(_scan, "id long, h long, lines binary, words binary, fps array<struct<pos:bigint,fp:bigint>>"), "lines")
     marks = scanned.select("id", "h", F.explode("fps").alias("f")).select("id", "h", F.col("f.pos").alias("pos"), F.col("f.fp").alias("fp"))
-    first = written(marks.groupBy("fp").agg(F.min(F.struct("id", "h", "pos")).alias("s"), F.count("*").alias("n")).filter("n > 1").select("fp", "s"), "line-sources")
-    later = marks.join(first, "fp").filter(F.struct("id", "h", "pos") > F.col("s"))
-    later = later.groupBy("id", "h", F.col("s.id").alias("sid"), F.col("s.h").alias("sh"), (F.col("pos") - F.col("s.pos")).alias("shift")).agg(F.collect_set("pos").alias("places"))
-    later = written(later, "line-matches")
+    shared = written(marks.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp"), "line-shared")
+    places = written(marks.join(shared.hint("merge"), "fp").groupBy("id", "h").agg(F.collect_set("pos").alias("places")), "line-places")
     arrays = scanned.groupBy("id", "h").agg(F.max("lines").alias("lines"), F.max("words").alias("words"))
-    arrays = written(arrays, "line-arrays")
-    sources = arrays.select(F.col("id").alias("sid"), F.col("h").alias("sh"), F.col("lines").alias("source"))
-    both = later.join(sources, ["sid", "sh"]).join(arrays, ["id", "h"])
-    runs = both.select("id", "h", "shift", "places", ((F.col("id") == F.col("sid")) & (F.col("h") == F.col("sh"))).alias("same"), "lines", "words", "source").mapInArrow(_extend, "id long, h long, gone array<bigint>")
-    return runs.groupBy("id", "h").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+    both = arrays.join(places.hint("merge"), ["id", "h"]).select("id", "h", "places", "lines", "words")
+    runs = written(both.mapInArrow(_runs, "id long, h long, first long, end long, key binary"), "line-runs")
+    place = F.struct("id", "h", "first")
+    sources = written(runs.groupBy("key").agg(F.min(place).alias("s"), F.count("*").alias("n")).filter("n > 1").select("key", "s"), "line-sources")
+    later = runs.join(sources.hint("merge"), "key").filter(place > F.col("s"))
+    return later.groupBy("id", "h").agg(F.collect_list(F.struct("first", "end")).alias("gone"))
 
 
 def _key(id_col: str, text_col: str):

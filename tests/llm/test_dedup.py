@@ -182,6 +182,39 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def brute_runs(docs):
+    """The lines left of each document, without those in a run of RUN_WORDS words that equals a run at any earlier place."""
+    data = [line_dedup.line_hashes(t) for t in docs]
+    out = []
+    for d, (own, words) in enumerate(data):
+        gone = set()
+        for s in range(d + 1):
+            other = data[s][0]
+            for shift in range(1 if s == d else 1 - len(other), len(own)):  # own[i] meets other[i - shift]
+                run = []
+                for i in range(len(own) + 1):
+                    if i < len(own) and 0 <= i - shift < len(other) and own[i] == other[i - shift]:
+                        run.append(i)
+                    else:
+                        gone |= set(run) if words[run].sum() >= line_dedup.RUN_WORDS else set()
+                        run = []
+        out.append("\n".join(x for i, x in enumerate(docs[d].split("\n")) if i not in gone))
+    return out
+
+
+def test_line_dedup_finds_any_earlier_run(spark):
+    rng = random.Random(12)
+    x, y = (" ".join(f"{c}{i}" for i in range(30)) for c in "xy")
+    groups = [["a\n" + x + "\nb", f"{x}\n{y}", f"c\n{x}\n{y}\nd"]]
+    for g in range(150):  # lines of each group are its own
+        pool = [" ".join(f"{g}-{k}-{i}" for i in range(rng.choice([0, 1, 5, 12, 20, 28, 35, 55]))) for k in range(6)]
+        groups.append(["\n".join(rng.choices(pool, k=rng.randrange(1, 9))) for _ in range(6)])
+    rows = [(10 * g + i, t) for g, docs in enumerate(groups) for i, t in enumerate(docs)]
+    want = {10 * g + i: t for g, docs in enumerate(groups) for i, t in enumerate(brute_runs(docs))}
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert want[2] == "c\nd" and got == want
+
+
 def test_equal_runs_share_a_fingerprint():
     rng = random.Random(9)
     for _ in range(200):
