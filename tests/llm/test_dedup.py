@@ -91,6 +91,16 @@ def test_blocks_find_what_forests_missed():
     assert components(range(4), links) == {0: 0, 1: 0, 2: 0, 3: 3}
 
 
+def test_pairs_whose_signatures_look_less_alike():
+    a, b = minhash._constants(2, 120), minhash._constants(3, 120)
+    x = np.random.default_rng(29763).integers(0, 1 << 63, 10, np.uint64)  # found by trying: a pair at 0.8 with 75 of 120 equal minima
+    sets = [np.sort(x[:9]), np.sort(np.r_[x[:8], x[9:]])]
+    sigs = np.array([minhash.signature(s, a, b) for s in sets])
+    assert (sigs[0] == sigs[1]).sum() == 75
+    assert minhash.linked([(i, 0, i, sigs[i].tobytes(), s.tobytes()) for i, s in enumerate(sets)], 0, 0, 80) == [(0, 1)]
+    assert len(minhash.forest(np.arange(2), sigs)) == 1
+
+
 def test_e8():
     v = lattice_dedup.roots()
     assert len({tuple(x) for x in v}) == 240 and np.allclose((v**2).sum(axis=1), 2)
