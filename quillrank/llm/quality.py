@@ -5,8 +5,9 @@ risk  prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives))  wi
 characters, words and lines of the whole text; where the second term falls below zero, its gradient is reversed. The class prior is
 estimated as the share of good texts among all labelled rows outside the held-out fold.
 
-Fitting takes at most MAX_ROWS positives and MAX_ROWS unlabelled texts, chosen by a hash of the id, none of them held out (crc32 of
-the id as text, modulo 5, is 0). Everything else covers all rows. Ids, languages, sources and labels are no inputs of a score.
+Features are standardised by their means and deviations over all rows with an id that are not held out (crc32 of the id as text, modulo
+5, is 0). The risk is taken over at most about MAX_ROWS positives and MAX_ROWS unlabelled texts of these, chosen by a hash of the id.
+Everything else covers all rows. Ids, languages, sources and labels are no inputs of a score.
 
 Null texts are empty and get the score of an empty text. Rows without an id are not held out and never fitted on. Repeated labels of an id
 count once each. Without a usable label all texts are taken as good (score 1). Repeated rows get a row each.
@@ -26,6 +27,8 @@ from .common import text_or_empty, tune
 MAX_ROWS = 12_000
 THRESHOLD = 0.3
 STEPS, RATE, DECAY = 400, 0.05, 1e-4
+#: Features are summed as whole multiples of 1 / UNIT, exactly, so that the order of rows doesn't show in the sums.
+UNIT = 1 << 30
 _SIGNS = [bytes([c]) for c in b"#&*%$!|?.,:;/<>=()[]{}@_-\"'+~^\\"]
 
 
@@ -78,9 +81,9 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
-    """Adam on the non-negative risk of a logistic model."""
-    mean, scale = unlabelled.mean(axis=0), unlabelled.std(axis=0)
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, moments: tuple[np.ndarray, np.ndarray] | None = None) -> Model:
+    """Adam on the non-negative risk of a logistic model. moments: mean and deviation of the features, else those of unlabelled."""
+    mean, scale = moments or (unlabelled.mean(axis=0), unlabelled.std(axis=0))
     scale = np.where(scale > 1e-9, scale, 1.0)
     p, u = (np.c_[np.clip((x - mean) / scale, -8, 8), np.ones(len(x))] for x in (positive, unlabelled))
     w = np.zeros(p.shape[1])
@@ -103,6 +106,28 @@ def _measure(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([features(t) for t in b.column(1).to_pylist()], pa.list_(pa.float64()))], ["positive", "x"])
 
 
+def _sums(batches):
+    """One row: the number of texts, and the sums of their features and of the features' squares."""
+    n, first, second = 0, 0, 0
+    for b in batches:
+        x = np.array([features(t) for t in b.column(0).to_pylist()])
+        if len(x):
+            x = np.rint(x * UNIT).astype(np.int64).astype(object)
+            n, first, second = n + len(x), first + x.sum(axis=0), second + (x * x).sum(axis=0)
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), *(pa.array([[str(v) for v in s]], pa.list_(pa.string())) for s in (first, second))], ["n", "first", "second"])
+
+
+def moments(rows: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """Mean and deviation of each feature over the texts of all rows; None without rows. A few numbers a task go to the driver."""
+    got = rows.select("text").mapInArrow(_sums, "n long, first array<string>, second array<string>").collect()
+    if not got:
+        return None
+    n = sum(r["n"] for r in got)
+    first, second = ([sum(map(int, c)) for c in zip(*(r[k] for r in got))] for k in ("first", "second"))
+    return np.array([a / (n * UNIT) for a in first]), np.array([(max(0, n * b - a * a) / (n * UNIT) ** 2) ** 0.5 for a, b in zip(first, second)])
+
+
 def held_out(col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
@@ -132,7 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     if not is_positive.any() or is_positive.all():
         return None
     order = np.lexsort(np.c_[x, is_positive].T)  # the order of rows must not show in the sums
-    return fit(x[order][is_positive[order]], x[order][~is_positive[order]], prior)
+    return fit(x[order][is_positive[order]], x[order][~is_positive[order]], prior, moments(rows))
 
 
 def _scorer(model: Model | None, at: int):

@@ -165,3 +165,15 @@ def test_risk_is_kept_from_below_zero():
     mixed = np.r_[rng.standard_normal((300, 3)) + 2, rng.standard_normal((100, 3)) - 2]
     model = quality.fit(good, mixed, 0.75)
     assert (model.scores(good) > 0.5).mean() > 0.95 and (model.scores(bad) < 0.5).mean() > 0.95
+
+
+def test_quality_standardises_over_all_rows(spark):
+    rows = [(i, " ".join(f"w{i * k % 37}" for k in range(3 + i % 50)) + "!" * (i % 7)) for i in range(600)] + [(None, "no id")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id bigint, quality int")
+    x = np.array([quality.features(t) for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 5])
+    models = [quality.train(docs.repartition(n), labels, max_rows=60) for n in (7, 1)]
+    for model in models:
+        assert np.allclose(model.mean, x.mean(axis=0), atol=1e-8)
+        assert np.allclose(model.scale, np.where(x.std(axis=0) > 1e-9, x.std(axis=0), 1), atol=1e-8)
+    assert np.array_equal(models[0].mean, models[1].mean) and np.array_equal(models[0].weights, models[1].weights)
