@@ -1,6 +1,7 @@
 """Ontology closure and graphs of documents: edge repair, shadow nodes, hop distances and scores.
 
-Loops have a stated depth and build one plan; each round is a join on (document, node), so no graph is gathered in one place.
+Loops run until nothing changes, or to a stated depth; each round is a join on (document, node), so no graph is gathered in one place.
+Without a stated depth, what was found is written every ROUNDS rounds (DataFrame.checkpoint), which cuts the plan and shows whether it grew.
 """
 
 from __future__ import annotations
@@ -11,11 +12,41 @@ from pyspark.sql import functions as F
 from .profiles import DEGENERATE, on_scale
 
 
-def closure(parents: DataFrame, max_depth: int = 6, child: str = "child", parent: str = "parent") -> DataFrame:
-    """node, ancestor, depth (least): each class with itself (0) and all its superclasses up to max_depth; cycles end by the least depth."""
+#: Rounds of a loop without a stated depth between two checkpoints.
+ROUNDS = 4
+
+
+def _saved(df: DataFrame) -> DataFrame:
+    """df without its lineage: in the checkpoint folder if there is one, else with the executors."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
+def _until_same(now: DataFrame, step, value: str) -> DataFrame:
+    """step again and again until no value is added or lowered; rows are only added and values only lowered."""
+    seen = None
+    while True:
+        for _ in range(ROUNDS):
+            now = step(now)
+        now = _saved(now)
+        mark = tuple(now.agg(F.count("*"), F.sum(F.col(value).cast("decimal(38,0)"))).first())
+        if mark == seen:
+            return now
+        seen = mark
+
+
+def closure(parents: DataFrame, max_depth: int | None = None, child: str = "child", parent: str = "parent") -> DataFrame:
+    """node, ancestor, depth (least): each class with itself (0) and all its superclasses, or those up to max_depth; cycles end by the least depth."""
     edges = parents.select(F.col(child).alias("_c"), F.col(parent).alias("_p")).distinct()
     nodes = edges.select(F.col("_c").alias("node")).union(edges.select("_p")).distinct()
     now = nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth"))
+    if max_depth is None:
+        stay, go = F.struct("ancestor", "depth"), F.struct(F.col("_p").alias("ancestor"), (F.col("depth") + 1).alias("depth"))
+
+        def step(now):
+            moved = now.join(edges, now.ancestor == edges["_c"], "left").select("node", F.explode(F.array(stay, go)).alias("_m")).select("node", "_m.*")
+            return moved.filter("ancestor is not null").groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))
+
+        return _until_same(now, step, "depth")
     out = now
     for d in range(1, max_depth + 1):
         now = now.join(edges, now.ancestor == edges["_c"]).select("node", F.col("_p").alias("ancestor"), F.lit(d).alias("depth")).distinct()
@@ -85,18 +116,24 @@ def undirected(edges: DataFrame, doc: str = "doc_id") -> DataFrame:
     return edges.select(doc, "source", "target", "cost").union(edges.select(doc, F.col("target").alias("source"), F.col("source").alias("target"), "cost")).distinct()
 
 
-def hops(starts: DataFrame, edges: DataFrame, max_rounds: int = 6, doc: str = "doc_id", anchors: DataFrame | None = None) -> DataFrame:
-    """doc, node, dist: least cost (isA edges cost 0, others 1) from any start over at most max_rounds edges; anchors are not passed."""
+def hops(starts: DataFrame, edges: DataFrame, max_rounds: int | None = None, doc: str = "doc_id", anchors: DataFrame | None = None) -> DataFrame:
+    """doc, node, dist: least cost (isA edges cost 0, others 1) from any start, or over at most max_rounds edges; anchors are not passed."""
     both = undirected(edges, doc)
     if anchors is not None:
         both = both.join(anchors.select(doc, F.col("node").alias("source")), [doc, "source"], "left_anti").join(anchors.select(doc, F.col("node").alias("target")), [doc, "target"], "left_anti")
     now = starts.select(doc, "node", F.lit(0).alias("dist")).distinct()
     both = both.withColumnRenamed("source", "node")
     stay, go = F.struct("node", "dist"), F.struct(F.col("target").alias("node"), (F.col("dist") + F.col("cost")).alias("dist"))
-    for _ in range(max_rounds):
+
+    def step(now):
         # each round uses the last one once, so the plan grows by one join a round
         moved = now.join(both, [doc, "node"], "left").select(doc, F.explode(F.array(stay, go)).alias("_m")).select(doc, "_m.*")
-        now = moved.filter("node is not null").groupBy(doc, "node").agg(F.min("dist").alias("dist"))
+        return moved.filter("node is not null").groupBy(doc, "node").agg(F.min("dist").alias("dist"))
+
+    if max_rounds is None:
+        return _until_same(now, step, "dist")
+    for _ in range(max_rounds):
+        now = step(now)
     return now
 
 

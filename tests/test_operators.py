@@ -49,6 +49,18 @@ def test_anchors_are_not_passed(spark):
     assert {r["node"] for r in G.hops(nodes, edges, anchors=anchors).collect()} == {"a"}
 
 
+def test_loops_reach_the_ends_of_long_chains(spark):
+    n = 13
+    nodes = spark.createDataFrame([("d", 0), ("e", 5)], "doc_id string, node int")
+    chain = [(d, i, i + 1, 0 if i % 3 == 0 else 1) for d in "de" for i in range(n)] + [("d", 0, 12, 1)]
+    edges = spark.createDataFrame(chain, "doc_id string, source int, target int, cost int")
+    cost = lambda i, j: sum(k % 3 != 0 for k in range(min(i, j), max(i, j)))
+    want = {("e", i): cost(5, i) for i in range(n + 1)} | {("d", i): min(cost(0, i), 1 + cost(12, i)) for i in range(n + 1)}
+    assert {(r["doc_id"], r["node"]): r["dist"] for r in G.hops(nodes, edges).collect()} == want
+    line = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(n, 0)], "child int, parent int")
+    assert {(r["node"], r["ancestor"]): r["depth"] for r in G.closure(line).collect()} == {(i, j): (j - i) % (n + 1) for i in range(n + 1) for j in range(n + 1)}
+
+
 def test_closure_ends_in_cycles(spark):
     parents = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "a")], "child string, parent string")
     assert {(r["node"], r["ancestor"]): r["depth"] for r in G.closure(parents, 5).collect()}[("c", "b")] == 2
