@@ -217,14 +217,16 @@ def get(spark: SparkSession, path: str, key: int) -> list[int] | None:
 def documents(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 of the keys' documents and those without a key.
 
-    A key is looked up in the index, and its frames are then read at that offset of that shard.
+    A key is looked up in the index, and only the frame at that very offset of that shard, with the copies that follow it, is taken.
     """
     rows = written(frames(spark, path), "store-frames")
     totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))  # one row a shard
     starts = totals.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("base"))
-    found = look_up(keys, path).select("doc_id", F.col("file").alias("at_file"), F.col("offset").alias("at_offset"))
-    read = rows.join(starts, "file").join(found, "doc_id", "left")
-    read = read.filter(F.col("doc_id").isNull() | ((F.col("at_file") <= F.col("file")) & ((F.col("at_file") < F.col("file")) | (F.col("at_offset") <= F.col("offset")))))
+    found = look_up(keys, path)
+    # the frame that stands exactly where the index says, and the copies beside it
+    heads = rows.join(found, ["doc_id", "file", "offset"]).select("doc_id", "file", "seq", "copies")
+    named = heads.select("doc_id", "file", F.explode(F.sequence("seq", F.col("seq") + F.col("copies") - 1)).alias("seq"))
+    read = rows.join(named, ["doc_id", "file", "seq"], "left_semi").unionByName(rows.filter("doc_id is null")).join(starts, "file")
     return read.select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", F.col("file").alias("shard"), "offset")
 
 

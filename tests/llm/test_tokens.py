@@ -113,3 +113,14 @@ def test_encode_decode(spark, docs):
     want = [(i, len(e), sha(" ".join(map(str, e))), sha(w.decode(e))) for i, e in ((i, w.one(t or "")) for i, t in DOCS)]
     assert sorted(map(key, map(tuple, got))) == sorted(map(key, want))
     assert bpe_tree.encode_decode(docs.limit(0), WORD).count() == 0
+
+
+def test_documents_are_read_where_the_index_says(spark, tmp_path):
+    path = str(tmp_path / "store")
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(40)] + [(7, "text 7"), (None, "none")], "doc_id bigint, text string")
+    token_store.write_store(docs, path, BYTE)
+    assert token_store.documents(spark, path, docs.select("doc_id")).count() == 42
+    index = spark.read.parquet(f"{path}/index").toPandas()
+    index["offsets"] = [bytes(len(x)) for x in index["offsets"]]
+    spark.createDataFrame(index, token_store.INDEX_SCHEMA + ", n_buckets long").write.mode("overwrite").parquet(f"{path}/index")
+    assert token_store.documents(spark, path, docs.select("doc_id")).filter("doc_id is not null").count() == 0
