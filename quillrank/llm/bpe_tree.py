@@ -110,10 +110,10 @@ def _sha(text: str) -> str:
 
 def _whole(tokenizer_path: str):
     def run(batches):
-        from .encoders import word_bpe
+        from .encoders import parts, word_bpe
 
         enc = word_bpe(tokenizer_path)
-        for b in batches:
+        for b in parts(batches, 1):
             found = enc.encode_decode(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _, _ in found], pa.int64()), pa.array([_sha(i) for _, i, _ in found]), pa.array([_sha(t) for _, _, t in found])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -45,10 +45,10 @@ def append_cache(counts: DataFrame, cache_path: str) -> None:
 
 def _encoder(model_path: str):
     def run(batches):
-        from .encoders import piece_counter
+        from .encoders import parts, piece_counter
 
         counter = piece_counter(model_path)
-        for b in batches:
+        for b in parts(batches, 1):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counter.count(b.column(1).to_pylist()), pa.int64())], ["digest", "n_tokens"])
 
     return run

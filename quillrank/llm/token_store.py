@@ -3,10 +3,15 @@
 A shard holds frames in ascending order of the document key: a header (key or none, width, number of ids), the ids as little-endian
 unsigned integers of two or four bytes, a zero byte. The index is cut into buckets of about 1,000 keys by a hash; each bucket
 maps its n keys to the slots 0 ... n-1 without collision by small pilot numbers, and a slot holds a 32-bit fingerprint of its key,
-the shard and the frame's offset. A look-up reads one bucket and one frame, however many documents there are.
+the shard and the frame's offset. A look-up (get) reads one bucket and one frame, however many documents there are; documents(), which
+wants every document, scans each shard once and takes a frame only where the index says that its key stands.
+
+Documents are range-sorted by key, and rows of one key by a hash of their text, so a key with very many rows is dealt to many tasks. A
+shard ends before it would pass shard_bytes, whatever the lengths of texts; a document longer than that has a shard to itself.
 
 Null texts are empty: they hold the end id alone. Rows without a key come first and can't be looked up. Rows that share a key
-stand side by side, and the index names the first of them and their number. An empty table gives an empty store.
+stand one after another, and the index names the first of them and their number. An empty table gives an empty store. Other columns of
+documents are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,19 +36,23 @@ FRAME_SCHEMA = "file string, seq long, doc_id long, offset long, n_tokens long,
 INDEX_SCHEMA = "bucket long, n_keys long, pilots binary, prints binary, files array<string>, offsets binary, copies binary"
 
 
-def _framer(tokenizer_path: str, end_id: int):
+def _framer(tokenizer_path: str, end_id: int, shard_bytes: int):
     def run(batches):
-        from .encoders import byte_bpe
+        from .encoders import byte_bpe, parts
 
-        enc, part, seq = byte_bpe(tokenizer_path), TaskContext.get().partitionId(), 0
+        enc, part, roll, used, seq = byte_bpe(tokenizer_path), TaskContext.get().partitionId(), 0, 0, 0
         width = int(enc.dtype[-1])
         end = end_id.to_bytes(width, "little")
-        for b in batches:
-            keys, values = b.column(0).to_pylist(), []
+        for b in parts(batches, 1):
+            keys, files, values = b.column(0).to_pylist(), [], []
             for key, ids in zip(keys, enc.encode(b.column(1).to_pylist())):
                 ids += end
                 values.append(struct.pack(HEAD, MAGIC, key is not None, width, 0, key or 0, len(ids) // width) + ids)
-            yield pa.RecordBatch.from_arrays([pa.array([f"{part:08d}"] * len(keys)), pa.array(range(seq, seq + len(keys)), pa.int64()), pa.array(values, pa.binary())], ["file", "seq", "value"])
+                if used and used + len(values[-1]) >= shard_bytes:
+                    roll, used = roll + 1, 0
+                used += len(values[-1]) + 1
+                files.append(f"{part:08d}-{roll:05d}")
+            yield pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(range(seq, seq + len(keys)), pa.int64()), pa.array(values, pa.binary())], ["file", "seq", "value"])
             seq += len(keys)
 
     return run
@@ -165,15 +174,15 @@ def _bucketed(keys: DataFrame, n_buckets: int) -> DataFrame:
     return keys.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in [*keys.dtypes, ("bucket", "long")]))
 
 
-def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, shard_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write shards, manifest and index of docs' texts to path. shard_bytes: of text, about, in a shard."""
+def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, shard_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Write shards, manifest and index of docs' texts to path. shard_bytes: of a shard at most, and of text in a sorted range, about."""
     spark = docs.sparkSession
     tune(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    dealt = rows.repartitionByRange(max(1, -(-total // shard_bytes)), "doc_id").sortWithinPartitions("doc_id")
+    dealt = rows.repartitionByRange(max(1, -(-total // shard_bytes)), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     tmp = f"{path}/_tmp"
-    write_raw(dealt.mapInArrow(_framer(tokenizer_path, end_id), "file string, seq long, value binary"), tmp, ["seq"])
+    write_raw(dealt.mapInArrow(_framer(tokenizer_path, end_id, shard_bytes), "file string, seq long, value binary"), tmp, ["seq"])
     commit(spark, tmp, path, ".ids", {"format": 1, "end_id": end_id})
     heads = read_raw(spark, path).mapInArrow(_heads, FRAME_SCHEMA)
     keys = heads.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("file", "offset")).alias("at"), F.count("*").alias("copies"))
@@ -217,16 +226,17 @@ def get(spark: SparkSession, path: str, key: int) -> list[int] | None:
 def documents(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 of the keys' documents and those without a key.
 
-    A key is looked up in the index, and only the frame at that very offset of that shard, with the copies that follow it, is taken.
+    Every shard is scanned once, its frames' digests are made, and keys are looked up in the index. A key's frame is taken only at the very
+    shard and offset that the index names; further copies of a key are those that follow it.
     """
     rows = written(frames(spark, path), "store-frames")
     totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))  # one row a shard
     starts = totals.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("base"))
-    found = look_up(keys, path)
-    # the frame that stands exactly where the index says, and the copies beside it
-    heads = rows.join(found, ["doc_id", "file", "offset"]).select("doc_id", "file", "seq", "copies")
-    named = heads.select("doc_id", "file", F.explode(F.sequence("seq", F.col("seq") + F.col("copies") - 1)).alias("seq"))
-    read = rows.join(named, ["doc_id", "file", "seq"], "left_semi").unionByName(rows.filter("doc_id is null")).join(starts, "file")
+    found = look_up(keys, path).select("doc_id", F.col("file").alias("at_file"), F.col("offset").alias("at_offset"), "copies")
+    at, named = F.struct("file", "offset"), F.struct(F.col("at_file").alias("file"), F.col("at_offset").alias("offset"))
+    heads = written(rows.join(found, "doc_id").filter(at == named), "store-heads")
+    copies = rows.join(heads.filter("copies > 1").select("doc_id", "at_file", "at_offset"), "doc_id").filter(at > named)
+    read = heads.select(*rows.columns).unionByName(copies.select(*rows.columns)).unionByName(rows.filter("doc_id is null")).join(starts, "file")
     return read.select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", F.col("file").alias("shard"), "offset")
 
 
