@@ -20,7 +20,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 os.environ.setdefault("RAYON_NUM_THREADS", "1")
 
 #: Pieces and bytes that one memo remembers at most, and the bytes of one batch of texts; they bound memory, never results.
-MEMO_PIECES, MEMO_BYTES, PART_BYTES = 700_000, 40 << 20, 8 << 20
+MEMO_PIECES, MEMO_BYTES, PART_BYTES = 500_000, 40 << 20, 4 << 20
 #: Signs that stand in one piece after letters: no apostrophe, with which contractions begin.
 _TAIL = ".,;:!?#&*%$"
 #: Letters in all versions of Unicode, and those of them that lower-casing to one sign and normalising don't touch otherwise.

@@ -3,14 +3,18 @@
 Trusted positives are texts that the labels call good; unlabelled ones are any web texts. The classifier minimises the non-negative
 risk  prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives))  with the logistic loss over counts and shares of
 characters, words and lines of the whole text; where the second term falls below zero, its gradient is reversed. The class prior is
-estimated as the share of good texts among all labelled rows outside the held-out fold.
+estimated from positives and unlabelled texts alone: a classifier that tells them apart is fitted on half of each, and over its thresholds
+on the other half, the least ratio of the unlabelled share above to the positives' share above, with a margin for small counts, bounds the prior
+(best-bin estimation). Labels other than 1 are never read.
 
 Features are standardised by their means and deviations over all rows with an id that are not held out (crc32 of the id as text, modulo
 5, is 0). The risk is taken over at most about MAX_ROWS positives and MAX_ROWS unlabelled texts of these, chosen by a hash of the id.
 Everything else covers all rows. Ids, languages, sources and labels are no inputs of a score.
 
 Null texts are empty and get the score of an empty text. Rows without an id are not held out and never fitted on. Repeated labels of an id
-count once each. Without a usable label all texts are taken as good (score 1). Repeated rows get a row each.
+count once each. Without a usable label all texts are taken as good (score 1). Repeated rows get a row each, and equal texts equal scores.
+A text of any length is scored whole, in one pass. An empty table gives no rows. Other columns are not read by score_quality(), and kept by
+keep_good(), whatever their names.
 """
 
 from __future__ import annotations
@@ -81,24 +85,56 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, moments: tuple[np.ndarray, np.ndarray] | None = None) -> Model:
-    """Adam on the non-negative risk of a logistic model. moments: mean and deviation of the features, else those of unlabelled."""
-    mean, scale = moments or (unlabelled.mean(axis=0), unlabelled.std(axis=0))
-    scale = np.where(scale > 1e-9, scale, 1.0)
-    p, u = (np.c_[np.clip((x - mean) / scale, -8, 8), np.ones(len(x))] for x in (positive, unlabelled))
-    w = np.zeros(p.shape[1])
-    w[-1] = np.log(prior / (1 - prior))
+def _descend(gradient, w: np.ndarray) -> np.ndarray:
+    """Adam, with a fixed number of steps over all rows at once."""
     first, second = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, STEPS + 1):
-        fp, fu = np.clip(p @ w, -30, 30), np.clip(u @ w, -30, 30)
-        sp, su = 1 / (1 + np.exp(-fp)), 1 / (1 + np.exp(-fu))
-        good = prior * p.T @ (sp - 1) / len(p)
-        bad = u.T @ su / len(u) - prior * p.T @ sp / len(p)
-        risk = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-        g = (good + bad if risk >= 0 else -bad) + DECAY * np.r_[w[:-1], 0]
+        g = gradient(w) + DECAY * np.r_[w[:-1], 0]
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         w = w - RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    return Model(mean, scale, w, prior)
+    return w
+
+
+def _sigmoid(f: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(f, -30, 30)))
+
+
+def _inputs(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    return np.c_[np.clip((x - mean) / scale, -8, 8), np.ones(len(x))]
+
+
+def class_prior(p: np.ndarray, u: np.ndarray) -> float:
+    """The share of positives among the unlabelled rows u, given positives p (both standardised): a bound from the best threshold."""
+    if len(p) < 4 or len(u) < 4:
+        return 0.5
+    (p, own), (u, mixed) = (p[::2], p[1::2]), (u[::2], u[1::2])
+    w = _descend(lambda w: p.T @ (_sigmoid(p @ w) - 1) / len(p) + u.T @ _sigmoid(u @ w) / len(u), np.zeros(p.shape[1]))
+    at = np.sort(own @ w)
+    above_p = 1 - np.searchsorted(at, at, "left") / len(at)
+    above_u = 1 - np.searchsorted(np.sort(mixed @ w), at, "left") / len(mixed)
+    margin = np.sqrt(np.log(4 / 0.1) / 2) * (len(own) ** -0.5 + len(mixed) ** -0.5)
+    best = int(np.argmin((above_u + margin) / above_p))
+    return float(np.clip(above_u[best] / above_p[best], 0.01, 0.99))
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, moments: tuple[np.ndarray, np.ndarray] | None = None) -> Model:
+    """The logistic model of least non-negative risk. prior: else estimated. moments: mean and deviation of the features, else those of
+    unlabelled."""
+    mean, scale = moments or (unlabelled.mean(axis=0), unlabelled.std(axis=0))
+    scale = np.where(scale > 1e-9, scale, 1.0)
+    p, u = _inputs(positive, mean, scale), _inputs(unlabelled, mean, scale)
+    prior = class_prior(p, u) if prior is None else prior
+
+    def gradient(w):
+        fp, fu = np.clip(p @ w, -30, 30), np.clip(u @ w, -30, 30)
+        good = prior * p.T @ (_sigmoid(fp) - 1) / len(p)
+        bad = u.T @ _sigmoid(fu) / len(u) - prior * p.T @ _sigmoid(fp) / len(p)
+        risk = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
+        return good + bad if risk >= 0 else -bad
+
+    w = np.zeros(p.shape[1])
+    w[-1] = np.log(prior / (1 - prior))
+    return Model(mean, scale, _descend(gradient, w), prior)
 
 
 def _measure(batches):
@@ -140,15 +176,13 @@ def _some(df: DataFrame, n: int) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model | None:
     """The model, or None if no label is usable. docs: doc_id, text; labels: doc_id, quality."""
-    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").filter(~held_out() & F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
-    n, good = usable.agg(F.count("*"), F.sum(F.when(F.col("quality") == 1, 1).otherwise(0))).first()
-    if not good:
-        return None
-    prior = min(max(good / n, 0.01), 0.99)
+    good = labels.filter("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).filter(~held_out() & F.col("doc_id").isNotNull()).distinct()
     rows = docs.select("doc_id", "text").filter(~held_out() & F.col("doc_id").isNotNull())
-    chosen = _some(usable.filter("quality = 1").select("doc_id").distinct(), max_rows)  # bounded by max_rows, so it can be sent to all
+    chosen = _some(good, max_rows)  # bounded by max_rows, so it can be sent to all
     positive = rows.join(F.broadcast(chosen), "doc_id", "left_semi").select(F.lit(True).alias("positive"), "text")
     unlabelled = _some(rows, max_rows).select(F.lit(False).alias("positive"), "text")
+    if not chosen.head(1):
+        return None
     got = positive.union(unlabelled).mapInArrow(_measure, "positive boolean, x array<double>").toArrow()
     if not got.num_rows:
         return None
@@ -157,7 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     if not is_positive.any() or is_positive.all():
         return None
     order = np.lexsort(np.c_[x, is_positive].T)  # the order of rows must not show in the sums
-    return fit(x[order][is_positive[order]], x[order][~is_positive[order]], prior, moments(rows))
+    return fit(x[order][is_positive[order]], x[order][~is_positive[order]], None, moments(rows))
 
 
 def _scorer(model: Model | None, at: int):

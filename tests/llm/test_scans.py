@@ -177,3 +177,35 @@ def test_quality_standardises_over_all_rows(spark):
         assert np.allclose(model.mean, x.mean(axis=0), atol=1e-8)
         assert np.allclose(model.scale, np.where(x.std(axis=0) > 1e-9, x.std(axis=0), 1), atol=1e-8)
     assert np.array_equal(models[0].mean, models[1].mean) and np.array_equal(models[0].weights, models[1].weights)
+
+
+def test_class_prior():
+    rng = np.random.default_rng(5)
+    draw = lambda n, at: np.c_[rng.standard_normal((n, 3)) + at, np.ones(n)]
+    for prior in (0.2, 0.5, 0.85):
+        found = quality.class_prior(draw(3000, 1.5), np.r_[draw(int(6000 * prior), 1.5), draw(int(6000 * (1 - prior)), -1.5)][rng.permutation(int(6000 * prior) + int(6000 * (1 - prior)))])
+        assert abs(found - prior) < 0.06
+    assert quality.class_prior(draw(2, 0), draw(2, 0)) == 0.5
+
+
+def risk(w, p, u, prior):
+    """The non-negative risk by plain sums, with the penalty of the weights."""
+    loss = lambda z: np.log1p(np.exp(-z)).mean()
+    return prior * loss(p @ w) + max(0.0, loss(-(u @ w)) - prior * loss(-(p @ w))) + quality.DECAY / 2 * (w[:-1] ** 2).sum()
+
+
+def test_fit_has_the_least_risk_near_it():
+    rng = np.random.default_rng(6)
+    good, mixed = rng.standard_normal((500, 2)) + 0.7, np.r_[rng.standard_normal((300, 2)) + 0.7, rng.standard_normal((300, 2)) - 0.7]
+    model = quality.fit(good, mixed, 0.5)
+    p, u = quality._inputs(good, model.mean, model.scale), quality._inputs(mixed, model.mean, model.scale)
+    least = risk(model.weights, p, u, 0.5)
+    assert all(risk(model.weights + rng.standard_normal(3) * s, p, u, 0.5) > least - 1e-6 for s in (0.01, 0.1, 1) for _ in range(50))
+
+
+def test_negative_labels_are_not_read(spark):
+    rows = [(i, f"good words number {i} of a text.") for i in range(40)] + [(100 + i, f"BAD!! {'X!! ' * i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    good = [(i, 1) for i in range(40)]
+    a, b = (quality.train(docs, spark.createDataFrame(good + more, "doc_id bigint, quality int")) for more in ([], [(100 + i, 0) for i in range(40)]))
+    assert a.prior == b.prior and np.array_equal(a.weights, b.weights)
