@@ -1,19 +1,23 @@
 """WARC archives: a deterministic sharded writer and a reader.
 
-Records are range-sorted by page_id. Within a range, each record is compressed on its own, and a new file begins when the open one
-would pass roll_bytes. Headers and digests are made anew from the payload, with ids and the date as functions of the page and
-a parameter, so equal input in equal partitions gives equal bytes. Files are written under temporary names; after all
-are there they are renamed, and a manifest written last makes the archive valid.
+Records are range-sorted by page_id, then by the payload's digest and the url. Within a range, each record is compressed on its own, and a
+new file begins when the open one would pass roll_bytes. Headers and digests are made anew from the payload, with ids and the date as
+functions of the record's content and a parameter, so equal input in equal ranges gives equal bytes. Files are written under temporary
+names; after all are there they are renamed, and a manifest written last makes the archive valid.
 
 Of equal payloads of min_revisit_bytes or more, the one of the largest page_id is a response and the others revisit it; rows that share
 the largest page_id are all responses. Null html is empty. Rows without a page_id sort first, and are responses only if
-no row with one has their payload. A null url is written as an empty one. An empty table gives an archive without files.
+no row with one has their payload. Record ids are unique also where rows share page_id, url and html. A url that is no plain URI is
+written escaped, and as it was in a header of its own; a null url is about:blank there. A payload of any length is one record, held in memory
+once; records of a page with very many rows are dealt by digest and url. Other columns are not read. An empty table gives an archive without
+files.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import urllib.parse
 import uuid
 import zlib
@@ -29,6 +33,7 @@ from .raw_files import commit, read_raw, write_raw
 SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:quillrank:page")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
+MAX_RANGES = 20_000
 PAGE = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, file string, payload binary"
 
 
@@ -36,15 +41,25 @@ def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record(page_id, url, payload: bytes, refers_to, date: str) -> bytes:
+def record_id(page_id, digest: str, url, copy: int) -> str:
+    """digest: hexadecimal SHA-1 of the payload. copy: 0, 1 ... of records that are equal in all of these."""
+    return f"<urn:uuid:{uuid.uuid5(SPACE, json.dumps([page_id, digest, url, copy]))}>"
+
+
+def target_uri(url) -> str:
+    return "about:blank" if url is None else urllib.parse.quote(url, safe=":/?#[]@!$&()*+,;=%~'")
+
+
+def record(page_id, url, payload: bytes, date: str, copy: int = 0, refers_to=None, refers_url=None) -> bytes:
+    """refers_to, refers_url: page_id and url of the response with the same payload, for a revisit."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head if refers_to is not None else head + payload
-    kind = "revisit" if refers_to is not None else "response"
+    kind, digest, uri = "revisit" if refers_to is not None else "response", hashlib.sha1(payload).hexdigest(), target_uri(url)
     lines = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(SPACE, str(page_id))}>",
-        f"WARC-Target-URI: {urllib.parse.quote(url or '', safe=':/?#[]@!$&()*+,;=%~')}",
+        f"WARC-Record-ID: {record_id(page_id, digest, url, copy)}",
+        f"WARC-Target-URI: {uri}",
         f"WARC-Date: {date}",
         f"WARC-Payload-Digest: sha1:{base32_sha1(payload)}",
         f"WARC-Block-Digest: sha1:{base32_sha1(block)}",
@@ -53,8 +68,10 @@ def record(page_id, url, payload: bytes, refers_to, date: str) -> bytes:
     ]
     if page_id is not None:
         lines.append(f"X-Page-ID: {page_id}")
+    if uri != url:
+        lines.append(f"X-Page-URL: {json.dumps(url)}")
     if refers_to is not None:
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(SPACE, str(refers_to))}>", f"X-Refers-To-Page-ID: {refers_to}"]
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to, digest, refers_url, 0)}", f"WARC-Refers-To-Target-URI: {target_uri(refers_url)}", f"WARC-Refers-To-Date: {date}", f"X-Refers-To-Page-ID: {refers_to}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -71,17 +88,17 @@ def member(data: bytes) -> bytes:
 def _packer(roll_bytes: int, date: str):
     def run(batches):
         part, roll, used, seq = TaskContext.get().partitionId(), 0, 0, 0
-        page, refers = object(), {}
+        at, copy, to, to_url = None, 0, None, None
         for b in batches:
             files, seqs, values = [], [], []
-            for page_id, role, url, html, digest, to in zip(*(c.to_pylist() for c in b.columns)):
-                if page_id != page:
-                    page, refers = page_id, {}
-                if not role:  # the roles of a page's payloads come before its records
-                    refers[digest] = to
+            for page_id, digest, url, kind, html, refers_to, refers_url in zip(*(c.to_pylist() for c in b.columns)):
+                if not kind:  # what holds for the records that follow, of this page_id, digest and url
+                    at, copy, to, to_url = (page_id, digest, url), 0, refers_to, refers_url
                     continue
-                payload = html.encode("utf-8", "surrogatepass")
-                out = member(record(page_id, url, payload, refers[hashlib.sha1(payload).hexdigest()], date))
+                if at != (page_id, digest, url):
+                    raise ValueError(f"no role for page {page_id}")
+                out = member(record(page_id, url, html.encode("utf-8", "surrogatepass"), date, copy, to, to_url))
+                copy += 1
                 if used and used + len(out) > roll_bytes:
                     roll, used = roll + 1, 0
                 used += len(out)
@@ -94,18 +111,22 @@ def _packer(roll_bytes: int, date: str):
     return run
 
 
-def write_warc(pages: DataFrame, path: str, roll_bytes: int = 16 << 20, range_rows: int = 4096, min_revisit_bytes: int = 0, date: str = DATE) -> list[str]:
-    """Write pages (page_id, url, html) to path; the names of the files. range_rows: records, about, in a sorted range."""
+def write_warc(pages: DataFrame, path: str, roll_bytes: int = 8 << 20, range_bytes: int = 64 << 20, min_revisit_bytes: int = 0, date: str = DATE) -> list[str]:
+    """Write pages (page_id, url, html) to path; the names of the files. roll_bytes: of a file, compressed; range_bytes: of html in a sorted
+    range, about, but never more than MAX_RANGES ranges."""
     spark = pages.sparkSession
     tune(spark)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    keys = rows.select("page_id", F.sha1(F.col("html").cast("binary")).alias("digest"), F.octet_length("html").alias("n")).distinct()
-    last = keys.groupBy("digest").agg(F.max("page_id").alias("last"))
-    revisits = (F.col("n") >= min_revisit_bytes) & F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
-    roles = keys.join(last, "digest").select("page_id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", F.when(revisits, F.col("last")).alias("refers_to"))
-    both = roles.unionByName(rows.select("page_id", F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("refers_to")))
-    n = max(1, -(-rows.count() // range_rows))
-    dealt = both.repartitionByRange(n, "page_id").sortWithinPartitions("page_id", "kind", "url", "html")
+    rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
+    keys = rows.select("page_id", "digest", "url", F.octet_length("html").alias("n")).distinct()
+    last = keys.filter("page_id is not null").groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("last"))
+    revisits = (F.col("n") >= min_revisit_bytes) & F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last.page_id"))
+    found = keys.join(last, "digest", "left").withColumn("to", F.when(revisits, F.col("last")))
+    roles = found.select("page_id", "digest", "url", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("html"), F.col("to.page_id").alias("refers_to"), F.col("to.url").alias("refers_url"))
+    both = roles.unionByName(rows.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    size = rows.agg(F.sum(F.octet_length("html").cast("long"))).first()[0] or 0
+    order = ["page_id", "digest", "url"]
+    dealt = both.repartitionByRange(min(MAX_RANGES, max(1, -(-size // range_bytes))), *order).sortWithinPartitions(*order, "kind")
     tmp = f"{path}/_tmp"
     write_raw(dealt.mapInArrow(_packer(roll_bytes, date), "file string, seq long, value binary"), tmp, ["seq"])
     return commit(spark, tmp, path, ".warc.gz", {"format": "WARC/1.1"})
@@ -153,7 +174,7 @@ def _reader(with_payload: bool):
                         raise ValueError(f"payload of {h['warc-record-id']} is damaged")
                     to = h.get("x-refers-to-page-id")
                     page = h.get("x-page-id")
-                    rows.append((page and int(page), n, digest, h["warc-type"], to and int(to), urllib.parse.unquote(h["warc-target-uri"]), file, payload if with_payload and to is None else None))
+                    rows.append((page and int(page), n, digest, h["warc-type"], to and int(to), json.loads(h["x-page-url"]) if "x-page-url" in h else h["warc-target-uri"], file, payload if with_payload and to is None else None))
                     if len(rows) == 200:
                         yield batch(rows)
                         rows = []
@@ -171,4 +192,4 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> Dat
 def round_trip(pages: DataFrame) -> DataFrame:
     path = fresh_path(pages.sparkSession, "warc")
     write_warc(pages, path)
-    return read_warc(pages.sparkSession, path).drop("payload", "url")
+    return read_warc(pages.sparkSession, path).drop("payload", "url", "file")

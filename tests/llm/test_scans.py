@@ -68,10 +68,10 @@ def test_contamination(spark, monkeypatch):
 
 def test_warc(spark):
     big = os.urandom(6000).hex()
-    rows = [(3, "http://a/ü?q=1\r\nX: y", "same"), (9, None, "same"), (4, "http://b", None), (1, "http://c", ""), (5, "u", big), (9, "again", "same"), (None, "n", "same"), (None, "m", "alone"), (6, "x", "é\r\n\r\nWARC/1.1")] + [(100 + i, f"http://h/{i}", f"page {i} " * 50) for i in range(40)]
+    rows = [(3, "http://a/ü?q=1\r\nX: y", "same"), (9, None, "same"), (4, "http://b", None), (1, "http://c", ""), (5, "u", big), (9, "again", "same"), (None, "n", "same"), (None, "m", "alone"), (6, "x", "é\r\n\r\nWARC/1.1"), (7, "http://a/%41?q=%26x", "esc"), (None, "n", "same"), (None, "n", "same")] + [(100 + i, f"http://h/{i}", f"page {i} " * 50) for i in range(40)]
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], "page_id bigint, url string, html string, refers_to int, file string")
     path = fresh_path(spark, "warc")
-    names = warc.write_warc(df, path, roll_bytes=2000, range_rows=20)
+    names = warc.write_warc(df, path, roll_bytes=2000, range_bytes=8000)
     assert len(names) > 3
     got = warc.read_warc(spark, path, with_payload=True).collect()
     last = {}
@@ -84,14 +84,24 @@ def test_warc(spark):
         to = None if to is None or to == i else to
         want.append(repr((i, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if to is None else "revisit", to)))
     assert sorted(repr(tuple(r)[:5]) for r in got) == sorted(want)
+    assert sorted(repr(r["url"]) for r in got) == sorted(repr(u) for _, u, _ in rows)
+    heads = [h for n in names for h, _ in warc.records(open(n.removeprefix("file:"), "rb").read())]
+    responses = {h["warc-record-id"]: h for h in heads if h["warc-type"] == "response"}
+    assert len({h["warc-record-id"] for h in heads}) == len(rows)
+    for h in heads:
+        if h["warc-type"] == "revisit":
+            assert responses[h["warc-refers-to"]]["warc-payload-digest"] == h["warc-payload-digest"]
+            assert responses[h["warc-refers-to"]]["x-page-id"] == h["x-refers-to-page-id"]
+            assert responses[h["warc-refers-to"]]["warc-target-uri"] == h["warc-refers-to-target-uri"]
+    assert sum(n.rsplit("/", 1)[1].split(".")[0].endswith("-00001") for n in names) > 0  # the size made a range roll
     assert {r["page_id"]: bytes(r["payload"]).decode() for r in got if r["payload"] is not None and r["page_id"] is not None}[5] == big
     local = [n.removeprefix("file:") for n in names]
     ids = [[int(m) for m in re.findall(rb"X-Page-ID: (\d+)", gzip.decompress(open(n, "rb").read()))] for n in local]  # any gzip reader takes them
     flat = [x for f in ids for x in f]
     assert flat == sorted(flat)
     again = fresh_path(spark, "warc")
-    warc.write_warc(df, again, roll_bytes=2000, range_rows=20)
-    other = [n.removeprefix("file:") for n in warc.write_warc(df, again + "-b", roll_bytes=2000, range_rows=20)]
+    warc.write_warc(df, again, roll_bytes=2000, range_bytes=8000)
+    other = [n.removeprefix("file:") for n in warc.write_warc(df, again + "-b", roll_bytes=2000, range_bytes=8000)]
     assert [open(n, "rb").read() for n in local] == [open(n, "rb").read() for n in other]
     with open(local[0], "ab") as f:
         f.write(b"x")
