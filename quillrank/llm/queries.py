@@ -1,4 +1,8 @@
-"""The queries opN_<name> over whole tables, with production parameters."""
+"""The queries opN_<name> over whole tables, with production parameters, and SQL for those that SQL can express.
+
+op1 (edit distance to substrings), op2, op3 and op5 (tokenizers), op7 (runs of lines at any earlier place), op9 (labels of its own method)
+and op10 (a fitted model) have none; their tests compare them with brute force, the libraries or held-out rows.
+"""
 
 from __future__ import annotations
 
@@ -77,4 +81,36 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_token_store, op4_lattice_dedup, op5_bpe_tree, op6_warc, op7_line_dedup, op8_minhash, op9_license_scan, op10_quality)}
-ORACLES: dict[str, str] = {}
+
+#: Components by the least vertex over paths; ids has id, links has a and b in both directions.
+_PARTS = """
+paths AS (SELECT DISTINCT id AS node, id AS seen FROM ids UNION SELECT p.node, l.b FROM paths p JOIN links l ON l.a = p.seen),
+parts AS (SELECT node, min(seen) AS component_id FROM paths GROUP BY node)"""
+
+ORACLES: dict[str, str] = {
+    "op4_lattice_dedup": f"""
+WITH RECURSIVE good AS (
+  SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT x.id AS a, y.id AS b FROM good x JOIN good y ON x.label = y.label AND len(x.v) = len(y.v) AND x.id <> y.id WHERE list_cosine_similarity(x.v, y.v) >= 0.98),
+ids AS (SELECT vec_id AS id FROM embeddings), {_PARTS}
+SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links, p.component_id, e.vec_id = p.component_id AS kept
+FROM embeddings e JOIN parts p ON p.node = e.vec_id""",
+    "op6_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+l AS (SELECT html, max(page_id) AS last FROM p GROUP BY html),
+d AS (SELECT *, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(hex, CAST(i // 8 * 10 + 1 AS INT), 10) AS BIGINT) >> CAST(35 - i % 8 * 5 AS INT)) & 31 AS INT) + 1, 1)), '') AS digest FROM p)
+SELECT d.page_id, strlen(d.html) AS payload_bytes, digest AS payload_digest, CASE WHEN d.page_id = l.last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN d.page_id = l.last THEN NULL ELSE l.last END AS refers_to FROM d JOIN l USING (html)""",
+    "op8_minhash": f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id AS id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(list_slice(w, i, i + 3), ' '))) END AS s FROM w),
+ids AS (SELECT id, len(s) AS n FROM s),
+e AS (SELECT id, n, unnest(s) AS sh FROM s JOIN ids USING (id)),
+links AS (SELECT x.id AS a, y.id AS b FROM e x JOIN e y ON x.sh = y.sh AND x.id <> y.id AND 10 * x.n >= 8 * y.n AND 10 * y.n >= 8 * x.n
+  GROUP BY x.id, y.id HAVING 100 * count(*) >= 80 * (min(x.n) + min(y.n) - count(*))), {_PARTS}
+SELECT d.doc_id, i.n AS n_shingles, p.component_id, d.doc_id = p.component_id AS kept
+FROM documents d JOIN ids i ON i.id = d.doc_id JOIN parts p ON p.node = d.doc_id""",
+}
