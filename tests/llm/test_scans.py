@@ -122,8 +122,9 @@ def brute_licenses(text):
     at = lambda p: [i for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
     base = [(i, label) for p, label in license_scan.BASE.items() for i in at(p)]
     found, cover = set(), 0.0
-    for (label, t, mandatory), own in zip(license_scan.TEMPLATES, license_scan.anchors()):
+    for label, t, mandatory in license_scan.TEMPLATES:
         t = t.split()
+        own = [p for p, x in enumerate(t) if x in license_scan.indexed_words()]
         for d in range(-len(t), len(w)):
             same = lambda p, d=d, t=t: 0 <= d + p < len(w) and w[d + p] == t[p]
             first = [next(k for k in range(len(t)) if t[k : k + len(m.split())] == m.split()) for m in mandatory]
@@ -137,8 +138,9 @@ def brute_licenses(text):
 
 def test_license_scan(spark):
     notices = [t for _, t, _ in license_scan.TEMPLATES]
+    gpl, bsd = (next(t for t in notices if k in t) for k in ("can redistribute", "source and binary forms"))
     texts = [None, "", "...", "MIT License", "mit  license. The MIT-License!", "mit\xa0license", "permit license", "general public\nlicense and Apache License", "İmit license K", "license mit", "ab é中 9 x", "the license " * 300 + "mit license", "Licensed under CC BY-NC 4.0.", "cc by nc", "occ by nc"]
-    texts += [f"Foo {n.title()}; bar" for n in notices] + [f"{notices[1]} but {notices[5]}", notices[5].replace("redistribute", "x"), notices[7].replace("binary", "x"), " ".join(notices)]
+    texts += [f"Foo {n.title()}; bar" for n in notices] + [f"{notices[1]} but {gpl}", gpl.replace("redistribute", "x").replace("program", "y"), bsd.replace("binary", "x"), " ".join(notices), "word " * 1500 + gpl]
     rows = [(i, t) for i, t in enumerate(texts)] + [(None, "mit license"), (3, "MIT License")]
     df = spark.createDataFrame([(i, t, "w", 1) for i, t in rows], "doc_id bigint, text string, labels string, n int")
     got = license_scan.scan_licenses(df)
