@@ -105,7 +105,8 @@ def _placements(words: Column) -> Column:
     bucket = lambda w: F.get(buckets, (F.crc32(w.cast("binary")) % BUCKETS).cast("int"))
     entries = F.filter(F.transform(words, lambda w, i: F.struct(F.get(F.filter(bucket(w), lambda e: e.w == w), 0)["p"].alias("p"), i.cast("long").alias("i"))), lambda h: h.p.isNotNull())
     votes = F.array_sort(F.flatten(F.transform(entries, lambda h: F.transform(h.p, lambda p: p + h.i))))
-    enough = F.array_distinct(F.filter(votes, lambda v, i: F.get(votes, i + NEED - 1) == v))
+    # a lambda's argument is computed once; a column inside a lambda, once for each element
+    enough = F.get(F.transform(F.array(votes), lambda found: F.array_distinct(F.filter(found, lambda v, i: F.get(found, i + NEED - 1) == v))), 0)
     phrases = []
     for _, text, mandatory in TEMPLATES:
         words_of = text.split()
