@@ -140,7 +140,7 @@ def test_license_scan(spark):
     notices = [t for _, t, _ in license_scan.TEMPLATES]
     gpl, bsd = (next(t for t in notices if k in t) for k in ("can redistribute", "source and binary forms"))
     texts = [None, "", "...", "MIT License", "mit  license. The MIT-License!", "mit\xa0license", "permit license", "general public\nlicense and Apache License", "İmit license K", "license mit", "ab é中 9 x", "the license " * 300 + "mit license", "Licensed under CC BY-NC 4.0.", "cc by nc", "occ by nc"]
-    texts += [f"Foo {n.title()}; bar" for n in notices] + [f"{notices[1]} but {gpl}", gpl.replace("redistribute", "x").replace("program", "y"), bsd.replace("binary", "x"), " ".join(notices), "word " * 1500 + gpl]
+    texts += [f"Foo {n.title()}; bar" for n in notices] + [f"{notices[1]} but {gpl}", gpl.replace("redistribute", "x").replace("program", "y"), bsd.replace("binary", "x"), " ".join(notices), "word " * 200 + gpl]
     rows = [(i, t) for i, t in enumerate(texts)] + [(None, "mit license"), (3, "MIT License")]
     df = spark.createDataFrame([(i, t, "w", 1) for i, t in rows], "doc_id bigint, text string, labels string, n int")
     got = license_scan.scan_licenses(df)
