@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Common English function words.
-STOP_WORDS = "a about above after again against all am an and any are as at be because been before being below between both but by can did do does doing down during each few for from further had has have having he her here hers herself him himself his how i if in into is it its itself just me more most my myself no nor not now of off on once only or other our ours ourselves out over own same she should so some such than that the their theirs them themselves then there these they this those through to too under until up very was we were what when where which while who whom why will with you your yours yourself yourselves".split()
-# Verbs of action in profiles.
-ACTION_VERBS = "achieve analyze assist build collaborate coordinate create deliver design develop direct drive evaluate execute implement improve initiate lead manage monitor optimize organize oversee plan produce resolve support train".split()
+# A public English stop-word list of 179 words.
+STOP_WORDS = "i me my myself we our ours ourselves you you're you've you'll you'd your yours yourself yourselves he him his himself she she's her hers herself it it's its itself they them their theirs themselves what which who whom this that that'll these those am is are was were be been being have has had having do does did doing a an the and but if or because as until while of at by for with about against between into through during before after above below to from up down in out on off over under again further then once here there when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just don don't should should've now d ll m o re ve y ain aren aren't couldn couldn't didn didn't doesn doesn't hadn hadn't hasn hasn't haven haven't isn isn't ma mightn mightn't mustn mustn't needn needn't shan shan't shouldn shouldn't wasn wasn't weren weren't won won't wouldn wouldn't".split()
+# Action verbs, in past forms.
+ACTION_VERBS = "led managed built developed designed created launched delivered drove improved increased decreased reduced optimized implemented established spearheaded oversaw coordinated architected deployed scaled mentored negotiated authored directed generated transformed".split()
 # Importance labels and their weights.
-IMPORTANCE = {"very low": 1.0, "low": 2.0, "medium": 3.0, "high": 4.0, "very high": 5.0}
+IMPORTANCE = {"not important": 1.0, "somewhat important": 2.0, "important": 3.0, "very important": 4.0, "extremely important": 5.0}
 
 
 def sentences(text: Column) -> Column:
@@ -31,6 +31,21 @@ def ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
 
+def plain_tokens(text: Column) -> Column:
+    """Runs of [a-z0-9_] of the lower-case text: what stands between word ends, an apostrophe being one."""
+    return F.split(F.lower(text), "[^a-z0-9_]+")
+
+
+def numbers(tokens: Column) -> Column:
+    """How many tokens are digits throughout."""
+    return F.size(F.filter(tokens, lambda w: w.rlike("^[0-9]+$")))
+
+
+def capitals(tokens: Column) -> Column:
+    """How many tokens of two signs or more have letters, all upper case."""
+    return F.size(F.filter(tokens, lambda w: (F.length(w) > 1) & w.rlike("[A-Z]") & ~w.rlike("[a-z]")))
+
+
 def count_words(tokens: Column, wanted: list[str]) -> Column:
     return F.size(F.filter(tokens, lambda w: F.lower(w).isin(*wanted)))
 
@@ -122,6 +137,15 @@ def importance_label(value: Column) -> Column:
     return out.otherwise("")
 
 
+def importance_level(value: Column) -> Column:
+    """The label of the highest band whose lower end value exceeds; the lowest label otherwise, and null without a value."""
+    names = list(IMPORTANCE)
+    out = F.when(value.isNull(), None)
+    for low in range(len(names) - 1, 0, -1):
+        out = out.when(value > low, names[low])
+    return out.otherwise(names[0])
+
+
 def importance_weight(label: Column, default: float = 3.0) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in IMPORTANCE.items() for x in kv)), F.lower(label)), F.lit(default))
 
@@ -157,13 +181,12 @@ def model_of(run_name: Column, models: list[str], default: str = "unknown") -> C
     return out.otherwise(default)
 
 
-def failure_category(error: Column) -> Column:
-    """What went wrong, from the text of an error; null without one."""
-    low = F.lower(error)
-    out = F.when(error.isNull(), None)
-    for part, name in (("rate limit", "rate_limit"), ("timeout", "timeout"), ("timed out", "timeout"), ("context length", "too_long"), ("content", "filtered"), ("json", "bad_json")):
-        out = out.when(low.contains(part), name)
-    return out.otherwise("other")
+def failure_category(error: Column, answered: Column | None = None) -> Column:
+    """token_limit, content_filter, http_error or other_error by the text of an error; success without one; missing where there is no answer."""
+    out = F.when(~answered, "missing") if answered is not None else F.when(F.lit(False), "")
+    out = out.when(F.coalesce(error, F.lit("")) == "", "success")
+    out = out.when(error.contains("Token limit") | error.contains("max_output_tokens"), "token_limit").when(F.lower(error).contains("content_filter"), "content_filter")
+    return out.when(error.contains("HTTP"), "http_error").otherwise("other_error")
 
 
 def belongs_to_run(file: Column, run_name: Column) -> Column:

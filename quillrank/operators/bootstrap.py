@@ -1,7 +1,8 @@
 """Bootstrap intervals from per-unit partials: a draw is a sum over units, so no metric is computed again for it.
 
 Draws are made by a hash of (draw, slot), not by a random stream, so every engine and partitioning gives the same interval. The partials
-of n units are dealt n * draws times at most, but only as numbers: units are numbered, and draws are counted by (draw, unit).
+are written once and numbered. Up to SENT_UNITS of them, a count that is taken first, they are sent to all tasks, which make the slots
+and sum them by draw in place; more of them meet the slots by a join on the unit's number. Only one row a task and draw is shuffled after that.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch
+
 
 def hash_draw(key, n):
     """0 ... n - 1 from the first 32 bits of key's MD5."""
@@ -24,24 +27,51 @@ def numbered(units: DataFrame, *order: str) -> DataFrame:
     return ranged.join(F.broadcast(starts), "_p").withColumn("i", F.col("_i") + F.col("_s")).drop("_p", "_i", "_s")
 
 
-def intervals(partials: DataFrame, draws: int, order: list[str], num: str = "num", den: str = "den", level: float = 0.95, least_valid: int = 10) -> DataFrame:
-    """value, ci_lower, ci_upper, n_valid of sum(num) / sum(den) when the units are resampled with replacement.
+#: Units (of a few numbers each) that are sent to all tasks at most.
+SENT_UNITS = 500_000
+
+Term = tuple[str, str, int]
+
+
+def _ratio_sum(terms: list[Term], total) -> F.Column:
+    """The sum of sign * total(num) / total(den); null if any total(den) is 0."""
+    out = F.lit(0.0)
+    for num, den, sign in terms:
+        out = out + sign * (total(num) / F.nullif(total(den).cast("double"), F.lit(0.0)))
+    return out
+
+
+def statistics(partials: DataFrame, wanted: dict[str, list[Term]], draws: int, order: list[str], level: float = 0.95, least_valid: int = 10) -> DataFrame:
+    """metric, value, ci_lower, ci_upper, n_valid: for each wanted sum of (numerator, denominator, sign) columns' ratios, when the units
+    (rows of partials) are resampled with replacement. The units are told apart by order, and ties in it by nothing.
 
     Without max(least_valid, 10 % of draws) valid draws the ends are null.
     """
     spark = partials.sparkSession
-    units = numbered(partials, *order)
-    n = units.count()
-    whole = partials.agg((F.sum(num) / F.nullif(F.sum(den).cast("double"), F.lit(0.0))).alias("value"))
+    columns = sorted({c for terms in wanted.values() for t in terms for c in t[:2]})
+    path = scratch(spark, "partials")
+    partials.select(*dict.fromkeys([*order, *columns])).write.parquet(path)
+    partials = spark.read.parquet(path)
+    n = partials.count()
+    sums = partials.agg(*(F.sum(c).alias(c) for c in columns))
+    pack = lambda df, *keys: df.select(*keys, *(_ratio_sum(terms, F.col).alias(name) for name, terms in wanted.items()))
+    long = lambda df, *keys: df.unpivot(list(keys), list(wanted), "metric", "v")
+    whole = long(pack(sums)).withColumnRenamed("v", "value")
     if not n:
-        return whole.select("value", *(F.lit(None).cast("double").alias(c) for c in ("ci_lower", "ci_upper")), F.lit(0).cast("long").alias("n_valid"))
+        return whole.select("metric", "value", *(F.lit(None).cast("double").alias(c) for c in ("ci_lower", "ci_upper")), F.lit(0).cast("long").alias("n_valid"))
+    units = numbered(partials, *order).select("i", *columns)
+    units = F.broadcast(units) if n <= SENT_UNITS else units
     slots = spark.range(draws * n).select((F.col("id") / n).cast("long").alias("b"), hash_draw(F.col("id"), F.lit(n)).alias("i"))
-    counts = slots.groupBy("b", "i").agg(F.count("*").alias("w"))
-    drawn = counts.join(units.select("i", num, den), "i").groupBy("b").agg((F.sum(F.col("w") * F.col(num)) / F.nullif(F.sum(F.col("w") * F.col(den)).cast("double"), F.lit(0.0))).alias("v"))
+    drawn = slots.join(units, "i").groupBy("b").agg(*(F.sum(c).alias(c) for c in columns))
     a = (1 - level) / 2
-    ends = drawn.agg(F.percentile("v", F.array(F.lit(a), F.lit(1 - a))).alias("e"), F.count("v").alias("n_valid"))
+    ends = long(pack(drawn, "b"), "b").groupBy("metric").agg(F.percentile("v", F.array(F.lit(a), F.lit(1 - a))).alias("e"), F.count("v").alias("n_valid"))
     enough = F.col("n_valid") >= max(least_valid, draws // 10)
-    return whole.crossJoin(ends).select("value", F.when(enough, F.col("e")[0]).alias("ci_lower"), F.when(enough, F.col("e")[1]).alias("ci_upper"), "n_valid")
+    return whole.join(ends, "metric").select("metric", "value", F.when(enough, F.col("e")[0]).alias("ci_lower"), F.when(enough, F.col("e")[1]).alias("ci_upper"), "n_valid")
+
+
+def intervals(partials: DataFrame, draws: int, order: list[str], num: str = "num", den: str = "den", level: float = 0.95, least_valid: int = 10) -> DataFrame:
+    """value, ci_lower, ci_upper, n_valid of sum(num) / sum(den) under resampling."""
+    return statistics(partials, {"value": [(num, den, 1)]}, draws, order, level, least_valid).drop("metric")
 
 
 def weighted_sample(df: DataFrame, n: int, by: list[str], weight: str, key: str, seed: str = "0") -> DataFrame:
@@ -50,8 +80,8 @@ def weighted_sample(df: DataFrame, n: int, by: list[str], weight: str, key: str,
     Rows without a positive weight are last, so they are taken only if a group has too few others; if no row has one, all weigh the same.
     """
     u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))), 1, 8), 16, 10).cast("double") + 1) / F.lit(4294967297.0)
-    total = F.sum(weight).over(Window.partitionBy(*by))
-    w = F.when(total > 0, F.col(weight)).otherwise(F.lit(1.0))
-    drawn = df.withColumn("_k", F.when(w > 0, -F.log(u) / w))
+    totals = df.groupBy(*by).agg((F.sum(weight) > 0).alias("_any"))
+    w = F.when(F.col("_any"), F.col(weight)).otherwise(F.lit(1.0))
+    drawn = df.join(totals, by).withColumn("_k", F.when(w > 0, -F.log(u) / w)).drop("_any")
     at = F.row_number().over(Window.partitionBy(*by).orderBy(F.col("_k").asc_nulls_last(), key))
     return drawn.withColumn("_at", at).filter(F.col("_at") <= n).drop("_k", "_at")

@@ -1,7 +1,7 @@
 """Ontology closure and graphs of documents: edge repair, shadow nodes, hop distances and scores.
 
 Loops run until nothing changes, or to a stated depth; each round is a join on (document, node), so no graph is gathered in one place.
-Without a stated depth, what was found is written every ROUNDS rounds (DataFrame.checkpoint), which cuts the plan and shows whether it grew.
+Without a stated depth, what was found is written to the shared folder every ROUNDS rounds, which cuts the plan and shows whether it grew.
 """
 
 from __future__ import annotations
@@ -9,29 +9,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch
 from .profiles import DEGENERATE, on_scale
 
-
-#: Rounds of a loop without a stated depth between two checkpoints.
+#: Rounds of a loop without a stated depth between two written tables.
 ROUNDS = 4
 
 
-def _saved(df: DataFrame) -> DataFrame:
-    """df without its lineage: in the checkpoint folder if there is one, else with the executors."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
-
+def _until_same(now: DataFrame, step) -> DataFrame:
+    """step again and again until no value is added or lowered; rows are only added and values only lowered.
 
-def _until_same(now: DataFrame, step, value: str) -> DataFrame:
-    """step again and again until no value is added or lowered; rows are only added and values only lowered."""
-    seen = None
+    Every ROUNDS rounds the state is written to the shared folder and read back, with a mark of what its last round changed."""
+    spark = now.sparkSession
     while True:
-        for _ in range(ROUNDS):
-            now = step(now)
-        now = _saved(now)
-        mark = tuple(now.agg(F.count("*"), F.sum(F.col(value).cast("decimal(38,0)"))).first())
-        if mark == seen:
-            return now
-        seen = mark
+        for _ in range(ROUNDS - 1):
+            now = step(now).drop("_changed")
+        path = scratch(spark, "loop")
+        step(now).write.parquet(path)
+        now = spark.read.parquet(path)
+        if not now.filter("_changed").head(1):
+            return now.drop("_changed")
+        now = now.drop("_changed")
+
+
+def _settled(moved: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The least value of each key, and whether a move made or lowered it. moved has _stays beside keys and value."""
+    low = F.min(value)
+    stayed = F.min(F.when(F.col("_stays"), F.col(value)))
+    return moved.groupBy(*keys).agg(low.alias(value), (stayed.isNull() | (low < stayed)).alias("_changed"))
 
 
 def closure(parents: DataFrame, max_depth: int | None = None, child: str = "child", parent: str = "parent") -> DataFrame:
@@ -40,13 +45,14 @@ def closure(parents: DataFrame, max_depth: int | None = None, child: str = "chil
     nodes = edges.select(F.col("_c").alias("node")).union(edges.select("_p")).distinct()
     now = nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth"))
     if max_depth is None:
-        stay, go = F.struct("ancestor", "depth"), F.struct(F.col("_p").alias("ancestor"), (F.col("depth") + 1).alias("depth"))
+        stay = F.struct("ancestor", "depth", F.lit(True).alias("_stays"))
+        go = F.struct(F.col("_p").alias("ancestor"), (F.col("depth") + 1).alias("depth"), F.lit(False).alias("_stays"))
 
         def step(now):
             moved = now.join(edges, now.ancestor == edges["_c"], "left").select("node", F.explode(F.array(stay, go)).alias("_m")).select("node", "_m.*")
-            return moved.filter("ancestor is not null").groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))
+            return _settled(moved.filter("ancestor is not null"), ["node", "ancestor"], "depth")
 
-        return _until_same(now, step, "depth")
+        return _until_same(now, step)
     out = now
     for d in range(1, max_depth + 1):
         now = now.join(edges, now.ancestor == edges["_c"]).select("node", F.col("_p").alias("ancestor"), F.lit(d).alias("depth")).distinct()
@@ -123,17 +129,18 @@ def hops(starts: DataFrame, edges: DataFrame, max_rounds: int | None = None, doc
         both = both.join(anchors.select(doc, F.col("node").alias("source")), [doc, "source"], "left_anti").join(anchors.select(doc, F.col("node").alias("target")), [doc, "target"], "left_anti")
     now = starts.select(doc, "node", F.lit(0).alias("dist")).distinct()
     both = both.withColumnRenamed("source", "node")
-    stay, go = F.struct("node", "dist"), F.struct(F.col("target").alias("node"), (F.col("dist") + F.col("cost")).alias("dist"))
+    stay = F.struct("node", "dist", F.lit(True).alias("_stays"))
+    go = F.struct(F.col("target").alias("node"), (F.col("dist") + F.col("cost")).alias("dist"), F.lit(False).alias("_stays"))
 
     def step(now):
         # each round uses the last one once, so the plan grows by one join a round
         moved = now.join(both, [doc, "node"], "left").select(doc, F.explode(F.array(stay, go)).alias("_m")).select(doc, "_m.*")
-        return moved.filter("node is not null").groupBy(doc, "node").agg(F.min("dist").alias("dist"))
+        return _settled(moved.filter("node is not null"), [doc, "node"], "dist")
 
     if max_rounds is None:
-        return _until_same(now, step, "dist")
+        return _until_same(now, step)
     for _ in range(max_rounds):
-        now = step(now)
+        now = step(now).drop("_changed")
     return now
 
 
@@ -141,6 +148,11 @@ def node_score(matched: Column, dist: Column, discount: float = 0.5) -> Column:
     return F.when(matched, F.lit(1.0)).when(dist.isNotNull(), F.pow(F.lit(discount), dist)).otherwise(F.lit(0.0))
 
 
+def ablated_score(matched: Column, dist: Column) -> Column:
+    """A node's score without relations: 1 where its hop distance is 1, so for matched nodes and those reached over isA edges alone."""
+    return F.when(matched | (F.coalesce(dist, F.lit(-1)) == 0), F.lit(1.0)).otherwise(F.lit(0.0))
+
+
 def graph_score(nodes: DataFrame, by: list[str], weight: str = "w", score: str = "node_score") -> DataFrame:
     """by, score: weights times (2 * node score - 1), moved to 1 ... 10; 5.5 without weight."""
     w = F.col(weight)
@@ -158,4 +170,4 @@ def first_matches(wanted: DataFrame, nodes: DataFrame, on: list[str], condition:
     return wanted.select(*keep).distinct().join(rows, keep, "left")
 
 
-__all__ = ["DEGENERATE", "chains", "closure", "first_matches", "fixed_edges", "graph_score", "hops", "leaves", "matching_pair", "node_score", "numbered_nodes", "relation_bucket", "relative_gain", "shadows", "side", "undirected"]
+__all__ = ["DEGENERATE", "ablated_score", "chains", "closure", "first_matches", "fixed_edges", "graph_score", "hops", "leaves", "matching_pair", "node_score", "numbered_nodes", "relation_bucket", "relative_gain", "shadows", "side", "undirected"]

@@ -10,7 +10,7 @@ from ..operators import graph as G
 from .tables import query, rounded, table
 
 _PARENTS = "p AS (SELECT 'n' || n_nationkey AS child, 'r' || n_regionkey AS parent FROM nation UNION SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier)"
-_CLOSED = _PARENTS + ", k(node, ancestor, depth) AS (SELECT DISTINCT x, x, 0 FROM (SELECT child AS x FROM p UNION SELECT parent FROM p) UNION ALL SELECT k.node, p.parent, k.depth + 1 FROM k JOIN p ON k.ancestor = p.child WHERE k.depth < 6), closed AS (SELECT node, ancestor, min(depth) AS depth FROM k GROUP BY ALL)"
+_CLOSED = _PARENTS + ", k(node, ancestor, depth) AS (SELECT DISTINCT x, x, 0 FROM (SELECT child AS x FROM p UNION SELECT parent FROM p) UNION ALL SELECT k.node, p.parent, k.depth + 1 FROM k JOIN p ON k.ancestor = p.child), closed AS (SELECT node, ancestor, min(depth) AS depth FROM k GROUP BY ALL)"
 
 
 def _parents(spark, sf_dir):
@@ -23,12 +23,12 @@ def _parents(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {_CLOSED} SELECT node, ancestor, depth FROM closed")
 def superclass_closure(spark, sf_dir):
-    return G.closure(_parents(spark, sf_dir), 3)
+    return G.closure(_parents(spark, sf_dir))
 
 
 @query(f"WITH RECURSIVE {_CLOSED} SELECT node, string_agg(ancestor, '>' ORDER BY depth, ancestor) AS chain FROM closed GROUP BY node")
 def superclass_chain(spark, sf_dir):
-    return G.chains(G.closure(_parents(spark, sf_dir), 3)).select("node", F.array_join("chain", ">").alias("chain"))
+    return G.chains(G.closure(_parents(spark, sf_dir))).select("node", F.array_join("chain", ">").alias("chain"))
 
 
 @query(f"WITH {_PARENTS} SELECT DISTINCT child AS node FROM p WHERE child NOT IN (SELECT parent FROM p)")
@@ -44,7 +44,7 @@ def relation_buckets(spark, sf_dir):
 
 
 _NODES = "v AS (SELECT l_orderkey AS doc_id, l_linenumber AS node, bool_or(l_returnflag = 'R') AS matched, max(1 + l_quantity % 5)::DOUBLE AS w, min(l_linestatus) AS type FROM lineitem GROUP BY 1, 2), e AS (SELECT doc_id, node AS source, lead(node) OVER (PARTITION BY doc_id ORDER BY node) AS target, CASE WHEN node % 2 = 0 THEN 0 ELSE 1 END AS cost FROM v QUALIFY target IS NOT NULL)"
-_HOPS = _NODES + ", u AS (SELECT doc_id, source, target, cost FROM e UNION SELECT doc_id, target, source, cost FROM e), h(doc_id, node, d, i) AS (SELECT doc_id, node, 0, 0 FROM v WHERE matched UNION SELECT h.doc_id, u.target, h.d + u.cost, h.i + 1 FROM h JOIN u ON h.doc_id = u.doc_id AND h.node = u.source WHERE h.i < 6), dist AS (SELECT doc_id, node, min(d)::INTEGER AS dist FROM h GROUP BY 1, 2)"
+_HOPS = _NODES + ", u AS (SELECT doc_id, source, target, cost FROM e UNION SELECT doc_id, target, source, cost FROM e), h(doc_id, node, d, i) AS (SELECT doc_id, node, 0, 0 FROM v WHERE matched UNION SELECT h.doc_id, u.target, h.d + u.cost, h.i + 1 FROM h JOIN u ON h.doc_id = u.doc_id AND h.node = u.source WHERE h.i < (SELECT count(DISTINCT l_linenumber) FROM lineitem)), dist AS (SELECT doc_id, node, min(d)::INTEGER AS dist FROM h GROUP BY 1, 2)"
 
 
 def _nodes(spark, sf_dir):
@@ -74,9 +74,12 @@ def graph_score(spark, sf_dir):
     return rounded(G.graph_score(rows, ["doc_id"]))
 
 
-@query(f"WITH {_NODES}, n AS (SELECT doc_id, w, CASE WHEN matched THEN 1.0 ELSE 0 END AS s FROM v) SELECT doc_id, {_ON_SCALE} AS score FROM n GROUP BY doc_id")
+@query(f"WITH RECURSIVE {_HOPS}, n AS (SELECT v.doc_id, w, CASE WHEN coalesce(dist, 9) + 1 = 1 THEN 1.0 ELSE 0 END AS s FROM v LEFT JOIN dist ON v.doc_id = dist.doc_id AND v.node = dist.node) SELECT doc_id, {_ON_SCALE} AS score FROM n GROUP BY doc_id")
 def norel_ablation(spark, sf_dir):
-    rows = _nodes(spark, sf_dir).withColumn("node_score", F.col("matched").cast("double"))
+    nodes = _nodes(spark, sf_dir)
+    free = _edges(nodes).filter("cost = 0")  # what costs nothing is reached by isA edges alone
+    far = G.hops(nodes.filter("matched"), free)
+    rows = nodes.join(far, ["doc_id", "node"], "left").withColumn("node_score", G.ablated_score(F.col("matched"), F.col("dist")))
     return rounded(G.graph_score(rows, ["doc_id"]))
 
 

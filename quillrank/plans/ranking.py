@@ -146,11 +146,18 @@ def metric_means(spark, sf_dir):
     return rounded(long.groupBy("metric").agg(F.avg("v").alias("mean"), F.count("v").alias("n")))
 
 
-def _boot_sql(partials: str, order: str, draws: int) -> str:
-    return f"""WITH {SCORED}, p AS ({partials}), u AS (SELECT num, den, row_number() OVER (ORDER BY {order}) - 1 AS i, count(*) OVER () AS n FROM p),
+def _boot_cte(partials: str, order: str, draws: int, columns: str, values: str, more: str = "") -> str:
+    return f"""WITH {SCORED}{more}, p AS ({partials}), u AS (SELECT {columns}, row_number() OVER (ORDER BY {order}) - 1 AS i FROM p),
  s AS (SELECT (x.id // t.n)::BIGINT AS b, (('0x' || substr(md5(x.id::VARCHAR), 1, 8))::BIGINT % t.n) AS i FROM (SELECT count(*) AS n FROM p) t, LATERAL (SELECT unnest(range({draws} * t.n)) AS id) x),
- d AS (SELECT b, sum(num) / sum(den)::DOUBLE AS v FROM s JOIN u USING (i) GROUP BY b)
- SELECT round((SELECT sum(num) / sum(den)::DOUBLE FROM p), 6) AS value, round(quantile_cont(v::DOUBLE, 0.025), 6) AS ci_lower, round(quantile_cont(v::DOUBLE, 0.975), 6) AS ci_upper, count(v) AS n_valid FROM d"""
+ drawn AS (SELECT b, {values} FROM s JOIN u USING (i) GROUP BY b), w AS (SELECT {values} FROM p)"""
+
+
+def _boot_row(v: str) -> str:
+    return f"round((SELECT {v} FROM w), 6) AS value, round(quantile_cont({v}::DOUBLE, 0.025), 6) AS ci_lower, round(quantile_cont({v}::DOUBLE, 0.975), 6) AS ci_upper, count({v}) AS n_valid FROM drawn"
+
+
+def _boot_sql(partials: str, order: str, draws: int, more: str = "") -> str:
+    return f"{_boot_cte(partials, order, draws, 'num, den', 'sum(num) / nullif(sum(den), 0)::DOUBLE AS v', more)} SELECT {_boot_row('v')}"
 
 
 @query(_boot_sql("SELECT jd_id, sqrt(avg((score - gt) * (score - gt))) AS num, 1 AS den FROM c GROUP BY jd_id", "jd_id", 200))
@@ -165,3 +172,34 @@ def cluster_bootstrap_ci(spark, sf_dir):
     rows = scored(spark, sf_dir).withColumn("p", top.weight("score", "jd_id")).withColumn("q", top.weight("gt", "jd_id"))
     partials = rows.groupBy("jd_id").agg(F.sum(F.col("p") * F.col("q")).alias("num"), F.sum("p").alias("den"))
     return rounded(B.intervals(partials, 200, ["jd_id"]))
+
+
+@query(_boot_sql("SELECT jd_id, ndcg AS num, 1 AS den FROM n", "jd_id", 200, ", " + GAINED.removeprefix(SCORED + ", ") + ", " + _ndcg_sql("jd_id", "15")))
+def ndcg_bootstrap_ci(spark, sf_dir):
+    values = R.ndcg_per_query(R.with_gain(scored(spark, sf_dir)), 15)
+    return rounded(B.intervals(values.select("jd_id", F.col("ndcg").alias("num"), F.lit(1).alias("den")), 200, ["jd_id"]))
+
+
+_SIDES = "SELECT jd_id, " + ", ".join(f"coalesce(max(v) FILTER (grp = '{g}'), 0) AS n{g}, count(v) FILTER (grp = '{g}') AS d{g}" for g in GROUPS) + " FROM (SELECT jd_id, grp, sqrt(avg((score - gt) * (score - gt))) AS v FROM c GROUP BY jd_id, grp) GROUP BY jd_id"
+_CONTRASTS = [("A", "R"), ("A", "N"), ("R", "N")]
+_DIFFERENCES = ", ".join(f"sum(n{a}) / nullif(sum(d{a}), 0) - sum(n{b}) / nullif(sum(d{b}), 0) AS v{a}{b}" for a, b in _CONTRASTS)
+
+
+@query(_boot_cte(_SIDES, "jd_id", 200, ", ".join(f"n{g}, d{g}" for g in GROUPS), _DIFFERENCES) + " UNION ALL ".join(f" SELECT '{a}-{b}' AS metric, {_boot_row(f'v{a}{b}')}" for a, b in _CONTRASTS))
+def delta_bootstrap_ci(spark, sf_dir):
+    values = R.errors_per_query(scored(spark, sf_dir), ["jd_id", "grp"])
+    of = lambda g: F.when(F.col("grp") == g, F.col("rmse"))
+    sides = values.groupBy("jd_id").agg(*(f(of(g)) for g in GROUPS for f in (lambda c, g=g: F.coalesce(F.max(c), F.lit(0.0)).alias(f"n{g}"), lambda c, g=g: F.count(c).alias(f"d{g}"))))
+    return rounded(B.statistics(sides, {f"{a}-{b}": [(f"n{a}", f"d{a}", 1), (f"n{b}", f"d{b}", -1)] for a, b in _CONTRASTS}, 200, ["jd_id"]))
+
+
+@query(_boot_cte("SELECT jd_id, sqrt(avg((score - gt) * (score - gt))) AS rmse, avg(abs(score - gt)) AS mae, 1 AS den FROM c GROUP BY jd_id", "jd_id", 100, "rmse, mae, den", "sum(rmse) / sum(den) AS v1, sum(mae) / sum(den) AS v2") + f" SELECT 'rmse' AS metric, {_boot_row('v1')} UNION ALL SELECT 'mae', {_boot_row('v2')}")
+def metric_bootstrap_ci(spark, sf_dir):
+    values = R.errors_per_query(scored(spark, sf_dir)).select("jd_id", "rmse", "mae", F.lit(1).alias("den"))
+    return rounded(B.statistics(values, {m: [(m, "den", 1)] for m in ("rmse", "mae")}, 100, ["jd_id"]))
+
+
+@query(_boot_sql("SELECT jd_id, (score - gt) * (score - gt) AS num, 1 AS den FROM c WHERE grp = 'A'", "jd_id, num", 20))
+def row_bootstrap_ci(spark, sf_dir):
+    rows = scored(spark, sf_dir).filter("grp = 'A'").select("jd_id", F.pow(F.col("score") - F.col("gt"), 2).alias("num"), F.lit(1).alias("den"))
+    return rounded(B.intervals(rows, 20, ["jd_id", "num"]))

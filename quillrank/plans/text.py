@@ -52,16 +52,21 @@ def ling_counts(spark, sf_dir):
     return rows.select("doc_id", F.size("w").alias("n_words"), F.size("s").alias("n_sentences"), X.characters(F.col("text")).alias("n_chars"), F.size(F.array_distinct("lw")).alias("n_distinct"), X.punctuation(F.col("text")).alias("n_punctuation"))
 
 
-_STOP = "[" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + "]"
+def _sql_list(words):
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
 
 
-@query(f"WITH {_WORDS}, h AS (SELECT doc_id, count(*) FILTER (n = 1) AS hapax FROM (SELECT doc_id, t, count(*) AS n FROM (SELECT doc_id, unnest(lw) AS t FROM e) GROUP BY ALL) GROUP BY doc_id) SELECT e.doc_id, round(CASE WHEN len(w) > 0 THEN len(list_distinct(lw))::DOUBLE / len(w) ELSE 0 END, 6) AS type_token, round(CASE WHEN len(w) > 0 THEN coalesce(hapax, 0)::DOUBLE / len(w) ELSE 0 END, 6) AS hapax_ratio, round(CASE WHEN len(w) > 0 THEN len(list_filter(lw, lambda x: list_contains({_STOP}, x)))::DOUBLE / len(w) ELSE 0 END, 6) AS stop_ratio, round(CASE WHEN len(w) > 0 THEN list_sum(list_transform(w, lambda x: length(x)))::DOUBLE / len(w) ELSE 0 END, 6) AS word_length FROM e LEFT JOIN h ON e.doc_id = h.doc_id")
+_STOP = _sql_list(X.STOP_WORDS)
+
+
+@query(f"WITH {_WORDS}, h AS (SELECT doc_id, count(*) FILTER (n = 1) AS hapax FROM (SELECT doc_id, t, count(*) AS n FROM (SELECT doc_id, unnest(lw) AS t FROM e) GROUP BY ALL) GROUP BY doc_id) SELECT e.doc_id, round(CASE WHEN len(w) > 0 THEN len(list_distinct(lw))::DOUBLE / len(w) ELSE 0 END, 6) AS type_token, round(CASE WHEN len(w) > 0 THEN coalesce(hapax, 0)::DOUBLE / len(w) ELSE 0 END, 6) AS hapax_ratio, round(CASE WHEN len(w) > 0 THEN len(list_filter(lw, lambda x: list_contains({_STOP}, x)))::DOUBLE / len(w) ELSE 0 END, 6) AS stop_ratio, round(CASE WHEN len(w) > 0 THEN list_sum(list_transform(w, lambda x: length(x)))::DOUBLE / len(w) ELSE 0 END, 6) AS word_length, round(len(w)::DOUBLE / greatest(1, len(s)), 6) AS sentence_length, round(CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: regexp_full_match(x, '[0-9]+')))::DOUBLE / len(w) ELSE 0 END, 6) AS number_ratio, round(CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: length(x) > 1 AND x = upper(x) AND regexp_matches(x, '[A-Z]')))::DOUBLE / len(w) ELSE 0 END, 6) AS upper_ratio FROM e LEFT JOIN h ON e.doc_id = h.doc_id")
 def ling_ratios(spark, sf_dir):
     n = F.size("w")
     rows = _words(spark, sf_dir)
     return rounded(
         rows.select(
-            "doc_id", X.ratio(F.size(F.array_distinct("lw")), n).alias("type_token"), X.ratio(X.hapaxes(F.col("lw")), n).alias("hapax_ratio"), X.ratio(X.count_words(F.col("w"), X.STOP_WORDS), n).alias("stop_ratio"), X.ratio(X.total_length(F.col("w")), n).alias("word_length")
+            "doc_id", X.ratio(F.size(F.array_distinct("lw")), n).alias("type_token"), X.ratio(X.hapaxes(F.col("lw")), n).alias("hapax_ratio"), X.ratio(X.count_words(F.col("w"), X.STOP_WORDS), n).alias("stop_ratio"), X.ratio(X.total_length(F.col("w")), n).alias("word_length"),
+            (n / F.greatest(F.lit(1), F.size("s"))).alias("sentence_length"), X.ratio(X.numbers(F.col("w")), n).alias("number_ratio"), X.ratio(X.capitals(F.col("w")), n).alias("upper_ratio")
         )
     )
 
@@ -102,17 +107,18 @@ def fuzzy_match(spark, sf_dir):
     return rows.select("conv_id", X.labels_match(F.col("a"), F.col("b")).alias("labels_match"), X.strings_match(F.col("a"), F.col("b")).alias("strings_match"))
 
 
-_VERBS = "[" + ", ".join(f"'{w}'" for w in X.ACTION_VERBS) + "]"
+_VERBS = _sql_list(X.ACTION_VERBS)
 
 
-@query(f"WITH {_WORDS} SELECT doc_id, len(list_filter(lw, lambda x: list_contains({_VERBS}, x))) AS n_verbs, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^[ \\t]*([-*•]|[0-9]+\\.)[ \\t]'))) AS n_bullets FROM e")
+@query(f"WITH {_WORDS} SELECT doc_id, len(list_filter(string_split_regex(lower(text), '[^a-z0-9_]+'), lambda x: list_contains({_VERBS}, x))) AS n_verbs, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^[ \\t]*([-*•]|[0-9]+\\.)[ \\t]'))) AS n_bullets FROM e")
 def action_verbs(spark, sf_dir):
-    return _words(spark, sf_dir).select("doc_id", X.count_words(F.col("w"), X.ACTION_VERBS).alias("n_verbs"), X.bullets(F.col("text")).alias("n_bullets"))
+    return _words(spark, sf_dir).select("doc_id", X.count_words(X.plain_tokens(F.col("text")), X.ACTION_VERBS).alias("n_verbs"), X.bullets(F.col("text")).alias("n_bullets"))
 
 
-@query("WITH v AS (SELECT p_partkey, p_size / 8.0 - 0.5 AS v FROM part), l AS (SELECT p_partkey, CASE WHEN v < 0 OR v > 5 THEN '' WHEN v <= 1 THEN 'very low' WHEN v <= 2 THEN 'low' WHEN v <= 3 THEN 'medium' WHEN v <= 4 THEN 'high' ELSE 'very high' END AS label FROM v) SELECT p_partkey, label, CASE label WHEN 'very low' THEN 1.0 WHEN 'low' THEN 2.0 WHEN 'high' THEN 4.0 WHEN 'very high' THEN 5.0 ELSE 3.0 END::DOUBLE AS weight FROM l")
+@query("WITH v AS (SELECT p_partkey, p_size / 8.0 - 0.5 AS v FROM part), l AS (SELECT p_partkey, CASE WHEN v < 0 OR v > 5 THEN '' WHEN v <= 1 THEN 'not important' WHEN v <= 2 THEN 'somewhat important' WHEN v <= 3 THEN 'important' WHEN v <= 4 THEN 'very important' ELSE 'extremely important' END AS label, CASE WHEN v > 4 THEN 'extremely important' WHEN v > 3 THEN 'very important' WHEN v > 2 THEN 'important' WHEN v > 1 THEN 'somewhat important' ELSE 'not important' END AS level FROM v) SELECT p_partkey, label, CASE label WHEN 'not important' THEN 1.0 WHEN 'somewhat important' THEN 2.0 WHEN 'very important' THEN 4.0 WHEN 'extremely important' THEN 5.0 ELSE 3.0 END::DOUBLE AS weight, level FROM l")
 def importance_label(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").select("p_partkey", X.importance_label(F.col("p_size") / 8.0 - 0.5).alias("label"))
+    v = F.col("p_size") / 8.0 - 0.5
+    rows = table(spark, sf_dir, "part").select("p_partkey", X.importance_label(v).alias("label"), X.importance_level(v).alias("level"))
     return rows.withColumn("weight", X.importance_weight(F.col("label")))
 
 
@@ -127,11 +133,16 @@ def token_estimate(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.estimated_tokens(F.col("text")).alias("tokens"))
 
 
-@query("WITH e AS (SELECT CASE event_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'Rate limit reached' WHEN 2 THEN 'Request timed out' WHEN 3 THEN 'bad JSON' WHEN 4 THEN 'maximum context length' ELSE 'boom' END AS error FROM events) SELECT CASE WHEN error IS NULL THEN NULL WHEN error LIKE 'Rate%' THEN 'rate_limit' WHEN error LIKE '%timed out' THEN 'timeout' WHEN error LIKE '%JSON' THEN 'bad_json' WHEN error LIKE '%context length' THEN 'too_long' ELSE 'other' END AS category, count(*) AS n FROM e GROUP BY 1")
+_ERRORS = ["", "Token limit reached", "status incomplete: max_output_tokens", "blocked by Content_Filter", "HTTP 500: content", "boom"]
+
+
+@query(
+    f"WITH e AS (SELECT CASE event_id % 7 {' '.join(f'WHEN {i} THEN {chr(39)}{e}{chr(39)}' for i, e in enumerate(_ERRORS))} END AS error, event_id % 7 <> 6 AS answered FROM events) SELECT CASE WHEN NOT answered THEN 'missing' WHEN error = '' THEN 'success' WHEN contains(error, 'Token limit') OR contains(error, 'max_output_tokens') THEN 'token_limit' WHEN contains(lower(error), 'content_filter') THEN 'content_filter' WHEN contains(error, 'HTTP') THEN 'http_error' ELSE 'other_error' END AS category, count(*) AS n FROM e GROUP BY 1"
+)
 def failure_categories(spark, sf_dir):
-    k = F.col("event_id") % 6
-    error = F.when(k == 0, None).when(k == 1, "Rate limit reached").when(k == 2, "Request timed out").when(k == 3, "bad JSON").when(k == 4, "maximum context length").otherwise("boom")
-    return table(spark, sf_dir, "events").groupBy(X.failure_category(error).alias("category")).agg(F.count("*").alias("n"))
+    k = F.col("event_id") % 7
+    error = F.get(F.array(*map(F.lit, _ERRORS)), k.cast("int"))
+    return table(spark, sf_dir, "events").groupBy(X.failure_category(error, k != 6).alias("category")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT event_id, user_id AS number, event_type AS label, event_id % 2 = 0 AS keep FROM events")
