@@ -192,3 +192,49 @@ def failure_category(error: Column, answered: Column | None = None) -> Column:
 def belongs_to_run(file: Column, run_name: Column) -> Column:
     """The file's name begins with the run's, followed by _ or a dot."""
     return file.startswith(run_name) & F.substring(file, F.length(run_name) + 1, F.lit(1)).isin("_", ".")
+
+
+def safe_double(value: Column, default: float = 0.0) -> Column:
+    return F.coalesce(value.try_cast("double"), F.lit(default))
+
+
+def model_id(name: Column, known: dict[str, str]) -> Column:
+    """The id that a short name stands for, or the name itself."""
+    out = F.when(F.lit(False), "")
+    for short, full in known.items():
+        out = out.when(name == short, full)
+    return out.otherwise(name)
+
+
+def short_model(model: Column) -> Column:
+    """A short name from a model's id: what follows its last slash, in lower case, other signs as underscores."""
+    return F.regexp_replace(F.lower(F.element_at(F.split(model, "/"), -1)), "[^a-z0-9]+", "_")
+
+
+def short_style(style: Column) -> Column:
+    """The first letters of a style's parts, which underscores and dashes divide."""
+    return F.array_join(F.transform(F.filter(F.split(F.lower(style), "[_-]+"), lambda x: x != ""), lambda x: F.substring(x, 1, 1)), "")
+
+
+def id_prefix(label: Column) -> Column:
+    """The lower-case letters and digits of a class label."""
+    return F.regexp_replace(F.lower(label), "[^a-z0-9]", "")
+
+
+def node_lines(nodes: Column, offset: int = 0, header: str = "") -> Column:
+    """label[ENTi:type] of each node (struct<label, type>), one a line and numbered from offset, below a header."""
+    lines = F.transform(nodes, lambda n, i: F.concat(n["label"], F.lit("[ENT"), (i + offset).cast("string"), F.lit(":"), n["type"], F.lit("]")))
+    return F.array_join(F.concat(F.array(F.lit(header)), lines) if header else lines, "\n")
+
+
+def rendered(template: str, **values: Column) -> Column:
+    """template with each {{ name }} as the column of that name, null as nothing."""
+    out = F.lit(template)
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{{ " + name + " }}"), F.coalesce(value.cast("string"), F.lit("")))
+    return out
+
+
+def json_safe(value: Column) -> Column:
+    """A double without NaN and infinities, which JSON lacks."""
+    return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)

@@ -14,8 +14,12 @@ from ..session import scratch
 
 
 def hash_draw(key, n):
-    """0 ... n - 1 from the first 32 bits of key's MD5."""
-    return F.pmod(F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long"), n)
+    """0 ... n - 1 from a whole number: two rounds of multiplying and folding 32 bits, in whole numbers that every engine has."""
+    word = F.lit(1 << 32)
+    x = F.pmod(key.bitwiseXOR(F.shiftright(key, 29)), word)
+    for _ in range(2):
+        x = F.pmod(x.bitwiseXOR(F.shiftright(x, 16)) * F.lit(73244475).cast("long"), word)
+    return F.pmod(x.bitwiseXOR(F.shiftright(x, 16)), n)
 
 
 def numbered(units: DataFrame, *order: str) -> DataFrame:

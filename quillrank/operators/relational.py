@@ -127,3 +127,37 @@ def counterfactuals(records: DataFrame, variants: DataFrame, is_base: Column, ke
     expanded = base.withColumn(text, signal).withColumn(key, F.concat(F.col(key), F.lit("::cf_"), F.col("variant")))
     rest = records.filter(~is_base).withColumns({"variant": F.lit("original"), "info": F.lit(None).cast("string")})
     return expanded.unionByName(rest.select(*expanded.columns))
+
+
+def without_suffix(df: DataFrame, column: str, suffix: str) -> DataFrame:
+    """Rows whose column does not end in suffix."""
+    return df.filter(~F.col(column).endswith(suffix))
+
+
+def without_groups(df: DataFrame, excluded: DataFrame, on: str) -> DataFrame:
+    """Rows of no excluded group; rows without a group stay."""
+    return df.join(excluded.select(on).distinct(), on, "left_anti")
+
+
+def titled(df: DataFrame, reference: DataFrame, code: str, title: str, required: bool = False) -> DataFrame:
+    """df with its own title, else the reference's (one a code), else one made of the code; with required, rows that only the last would serve go."""
+    own = F.when(F.trim(title) != "", F.trim(title))
+    rows = df.join(reference.select(code, F.col(title).alias("_ref")), code, "left").withColumn(title, F.coalesce(own, F.col("_ref")))
+    rows = rows.filter(F.col(title).isNotNull()) if required else rows.withColumn(title, F.coalesce(title, F.concat(F.lit("Occupation "), F.col(code).cast("string"))))
+    return rows.select(*df.columns)
+
+
+def with_profiles(completions: DataFrame, profiles: DataFrame, sides: tuple[str, ...] = ("cv", "jd"), no_input: str = "no_input") -> DataFrame:
+    """completions (cv_id, jd_id, parse_status ...) with both profiles' texts; a named id without a profile gives an empty text and no_input."""
+    lacks = F.lit(False)
+    for side in sides:
+        found = profiles.select(F.col("profile_id").alias(f"{side}_id"), F.col("profile_text").alias(f"{side}_profile_text"))
+        completions = completions.join(found, f"{side}_id", "left")
+        lacks = lacks | ((F.coalesce(F.col(f"{side}_id").cast("string"), F.lit("")) != "") & F.col(f"{side}_profile_text").isNull())
+    rows = completions.withColumn("parse_status", F.when(lacks, no_input).otherwise(F.col("parse_status")))
+    return rows.fillna("", [f"{side}_profile_text" for side in sides])
+
+
+def only(df: DataFrame, column: str, wanted: list[str]) -> DataFrame:
+    """Rows of the wanted values: over a table partitioned by column, only their files are read."""
+    return df.filter(F.col(column).isin(*wanted))

@@ -146,9 +146,16 @@ def metric_means(spark, sf_dir):
     return rounded(long.groupBy("metric").agg(F.avg("v").alias("mean"), F.count("v").alias("n")))
 
 
+def _draw_sql(key: str) -> str:
+    x = f"(xor({key}, {key} >> 29) % 4294967296)"
+    for _ in range(2):
+        x = f"((xor({x}, {x} >> 16) * 73244475) % 4294967296)"
+    return f"xor({x}, {x} >> 16)"
+
+
 def _boot_cte(partials: str, order: str, draws: int, columns: str, values: str, more: str = "") -> str:
     return f"""WITH {SCORED}{more}, p AS ({partials}), u AS (SELECT {columns}, row_number() OVER (ORDER BY {order}) - 1 AS i FROM p),
- s AS (SELECT (x.id // t.n)::BIGINT AS b, (('0x' || substr(md5(x.id::VARCHAR), 1, 8))::BIGINT % t.n) AS i FROM (SELECT count(*) AS n FROM p) t, LATERAL (SELECT unnest(range({draws} * t.n)) AS id) x),
+ s AS (SELECT (x.id // t.n)::BIGINT AS b, ({_draw_sql('x.id')} % t.n) AS i FROM (SELECT count(*) AS n FROM p) t, LATERAL (SELECT unnest(range({draws} * t.n)) AS id) x),
  drawn AS (SELECT b, {values} FROM s JOIN u USING (i) GROUP BY b), w AS (SELECT {values} FROM p)"""
 
 

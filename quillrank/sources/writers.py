@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.reports import compared, nested
+
 
 def jsonl(df: DataFrame, path: str, append: bool = False) -> None:
     """One object a line; fields without a value are left out."""
@@ -39,3 +41,55 @@ def report(metrics: DataFrame, title: str, most: int = 1000) -> str:
         raise ValueError(f"over {most} rows are no report")
     lines = [f"{r['metric']:<24} {r['value']:>12.6f}" + (f"  [{r['ci_lower']:.6f}, {r['ci_upper']:.6f}]" if "ci_lower" in r and r["ci_lower"] is not None else "") for r in rows]
     return "\n".join([title, "-" * len(title), *lines])
+
+
+def nested_metrics(metrics: DataFrame, path: str, by: list[str]) -> None:
+    """One JSON object for each by: its metrics by name, each with value and ends."""
+    jsonl(nested(metrics, by), path)
+
+
+def comparison_csv(metrics: DataFrame, path: str, by: list[str], condition: str, first: str, second: str) -> None:
+    """Metrics that both conditions have, side by side, to six places."""
+    compared(metrics, by, condition, first, second).write.mode("overwrite").option("header", True).csv(path)
+
+
+def pairs_jsonl(df: DataFrame, path: str, columns: list[str]) -> None:
+    jsonl(df.select(*columns), path)
+
+
+def copied(spark: SparkSession, source: str, target: str) -> None:
+    """The lines of source, as they are, in target."""
+    spark.read.text(source).write.mode("overwrite").text(target)
+
+
+def step_log(df: DataFrame, path: str, step: str = "step") -> None:
+    """Prompts and raw completions, a folder for each step, added to what is there."""
+    df.write.mode("append").partitionBy(step).json(path)
+
+
+def stage_table(df: DataFrame, path: str) -> None:
+    """A stage's table in place of the last: under another name first, so that df may be read from path."""
+    spark = df.sparkSession
+    df.write.mode("overwrite").parquet(f"{path}_next")
+    spark.read.parquet(f"{path}_next").write.mode("overwrite").parquet(path)
+
+
+def schema_dump(classes: DataFrame, relations: DataFrame, path: str) -> None:
+    """Classes (side, label, comment) and relations (bucket, label, domain, range), sorted, as JSON lines in two folders."""
+    jsonl(classes.orderBy("side", "label"), f"{path}/classes")
+    jsonl(relations.orderBy("bucket", "label"), f"{path}/relations")
+
+
+def batch_files(results: DataFrame, path: str) -> None:
+    """Results and errors of a batch apart: rows with an error, and the others."""
+    failed = F.coalesce(F.col("error"), F.lit("")) != ""
+    jsonl(results.filter(~failed), f"{path}/results")
+    jsonl(results.filter(failed), f"{path}/errors")
+
+
+def counts_text(df: DataFrame, title: str, most: int = 100) -> str:
+    """Lines of name and number from df's first two columns; more than most rows are refused."""
+    rows = df.orderBy(df.columns[0]).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"over {most} rows are no summary")
+    return "\n".join([title, *(f"  {r[0]}: {r[1]}" for r in rows)])
