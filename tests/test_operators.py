@@ -95,7 +95,7 @@ def test_text(spark):
     assert one(spark, "a b a c", lambda v: X.hapaxes(F.split(v, " "))) == 2
     assert one(spark, "- a\n1. b\nc", X.bullets) == 2
     assert one(spark, "ab?>c~", lambda v: X.decoded_id(X.encoded_id(v))) == "ab?>c~"
-    assert one(spark, "5", lambda v: X.importance_label(v.cast("double"))) == "very high"
+    assert one(spark, "5", lambda v: X.importance_label(v.cast("double"))) == "extremely important"
     assert one(spark, "run_1.json", lambda v: X.belongs_to_run(v, F.lit("run"))) and not one(spark, "runs.json", lambda v: X.belongs_to_run(v, F.lit("run")))
     assert one(spark, "x", lambda v: X.flesch(F.lit(0), F.lit(0), F.lit(0))) == 0
 
@@ -151,3 +151,39 @@ def test_sources_and_sinks(spark, tmp_path):
     writers.summary_csv(metrics, str(tmp_path / "csv"), "metric")
     key = one(spark, "cv::b::11-1::s::0::cf_male", readers.parsed_key)
     assert (key["type"], key["occ"], key["cf"]) == ("cv", "11-1", "male")
+
+
+def test_loops_run_to_their_end(spark):
+    edges = spark.createDataFrame([(1, i, i + 1, 1) for i in range(30)], "doc_id int, source int, target int, cost int")
+    far = {r["node"]: r["dist"] for r in G.hops(edges.select("doc_id", F.lit(0).alias("node")).distinct(), edges).collect()}
+    assert far == {i: i for i in range(31)}
+    parents = spark.createDataFrame([(i, i + 1) for i in range(50)], "child int, parent int")
+    assert G.closure(parents).agg(F.max("depth")).first()[0] == 50
+
+
+def test_ablation_counts_what_isa_reaches(spark):
+    # weights 5, 4, 3, 2, 3: matched, over isA alone, one hop, two hops, out of reach
+    rows = [(1, 5.0, True, 0), (1, 4.0, False, 0), (1, 3.0, False, 1), (1, 2.0, False, 2), (1, 3.0, False, None)]
+    df = spark.createDataFrame(rows, "doc int, w double, matched boolean, dist int")
+    score = lambda c: round(G.graph_score(df.withColumn("node_score", c), ["doc"]).first()["score"], 3)
+    assert score(G.node_score(F.col("matched"), F.col("dist"))) == 6.824
+    assert score(G.ablated_score(F.col("matched"), F.col("dist"))) == 5.765
+
+
+def test_new_sinks(spark, tmp_path):
+    from quillrank.sources import writers as W
+
+    m = spark.createDataFrame([("g", "rmse", 1.0, float("nan"), 2.0), ("h", "rmse", 3.0, 1.0, 4.0)], "grp string, metric string, value double, ci_lower double, ci_upper double")
+    W.nested_metrics(m, f"{tmp_path}/n", ["grp"])
+    kept = {r["grp"]: r["metrics"]["rmse"] for r in spark.read.json(f"{tmp_path}/n").collect()}
+    assert kept["g"]["value"] == 1.0 and kept["g"]["ci_lower"] is None and kept["h"]["ci_upper"] == 4.0
+    W.comparison_csv(m, f"{tmp_path}/c", [], "grp", "g", "h")
+    assert spark.read.csv(f"{tmp_path}/c", header=True).first()["difference"] == "-2.0"
+    W.batch_files(spark.createDataFrame([(1, None), (2, "HTTP 500")], "id int, error string"), f"{tmp_path}/b")
+    assert spark.read.json(f"{tmp_path}/b/errors").count() == 1 == spark.read.json(f"{tmp_path}/b/results").count()
+    W.copied(spark, f"{tmp_path}/b/errors", f"{tmp_path}/copy")
+    assert spark.read.json(f"{tmp_path}/copy").first()["id"] == 2
+    W.stage_table(spark.range(3).toDF("id"), f"{tmp_path}/stage")
+    W.stage_table(spark.read.parquet(f"{tmp_path}/stage").filter("id > 0"), f"{tmp_path}/stage")
+    assert spark.read.parquet(f"{tmp_path}/stage").count() == 2
+    assert W.counts_text(spark.createDataFrame([("ok", 3)], "status string, n int"), "Status") == "Status\n  ok: 3"
