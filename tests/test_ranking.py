@@ -80,14 +80,21 @@ def test_ndcg_is_the_mean_over_orders_of_ties(spark, pairs, k):
 
 
 def test_bootstrap_is_the_literal_resampling(spark):
-    import hashlib
-
     import numpy as np
 
     values = [1.0, 5.0, 2.0, 8.0, 3.0]
     df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(values)], "q int, num double, den int")
     got = B.intervals(df, 50, ["q"]).first()
-    draw = lambda x: int(hashlib.md5(str(x).encode()).hexdigest()[:8], 16) % 5
+
+    def draw(x):
+        x = (x ^ (x >> 29)) % (1 << 32)
+        for _ in range(2):
+            x = ((x ^ (x >> 16)) * 73244475) % (1 << 32)
+        return (x ^ (x >> 16)) % 5
+
     means = [np.mean([values[draw(b * 5 + j)] for j in range(5)]) for b in range(50)]
     assert (got["ci_lower"], got["ci_upper"]) == pytest.approx(tuple(np.percentile(means, [2.5, 97.5])))
+    counts = np.bincount([draw(x) for x in range(100_000)], minlength=5)
+    pairs = np.bincount([5 * draw(x) + draw(x + 1) for x in range(0, 100_000, 2)], minlength=25)
+    assert abs(counts / 20_000 - 1).max() < 0.03 and abs(pairs / 2_000 - 1).max() < 0.1  # draws are even, and so are neighbours
     assert B.intervals(df.limit(0), 50, ["q"]).first()["ci_lower"] is None
