@@ -50,13 +50,31 @@ def count_words(tokens: Column, wanted: list[str]) -> Column:
     return F.size(F.filter(tokens, lambda w: F.lower(w).isin(*wanted)))
 
 
-def syllables(word: Column) -> Column:
-    """Groups of vowels after final e's are cut, 1 at least."""
-    return F.greatest(F.lit(1), F.regexp_count(F.regexp_replace(F.lower(word), "e+$", ""), F.lit("[aeiou]+")))
+# The next five go over a whole text in linear passes, without a lambda for each word. They need flat().
+def flat(text: Column) -> Column:
+    """The words of text in lower case, between single spaces."""
+    return F.lower(F.regexp_replace(text, "[^a-zA-Z0-9']+", " "))
 
 
-def total_syllables(tokens: Column) -> Column:
-    return F.aggregate(tokens, F.lit(0), lambda a, w: a + syllables(w))
+def flat_alphabetic(flat_text: Column) -> Column:
+    """flat() without words that hold digits or apostrophes; more than one space may stand between words."""
+    return F.regexp_replace(flat_text, "(?<![^ ])[a-z]*+[0-9'][a-z0-9']*+", "")
+
+
+def flat_words(flat_text: Column) -> Column:
+    return F.array_remove(F.split(flat_text, " "), "")
+
+
+def count_sentences(text: Column) -> Column:
+    """As many as sentences() gives: parts between marks that hold more than white space."""
+    return F.regexp_count(text, F.lit(r"[^.!?\s][^.!?]*+"))
+
+
+def count_syllables(letters: Column) -> Column:
+    """Groups of vowels of each word after its final e's are cut, 1 at least, summed over flat_alphabetic() text."""
+    cut = F.regexp_replace(letters, "(?<!e)e++(?![a-z])", "")
+    voiced = F.regexp_count(cut, F.lit("(?<![a-z])[b-df-hj-np-tv-z]*+[aeiou]"))
+    return F.regexp_count(cut, F.lit("[aeiou]++")) + F.size(flat_words(letters)) - voiced
 
 
 def total_length(tokens: Column) -> Column:
@@ -80,11 +98,11 @@ def flesch(n_words: Column, n_sentences: Column, n_syllables: Column) -> Column:
 
 
 def characters(text: Column) -> Column:
-    return F.length(F.translate(text, " \n", ""))
+    return F.length(F.replace(F.replace(text, F.lit(" ")), F.lit("\n")))
 
 
 def punctuation(text: Column) -> Column:
-    return F.length(text) - F.length(F.translate(text, ".,;:!?", ""))
+    return F.length(F.regexp_replace(text, "[^.,;:!?]++", ""))
 
 
 def bullets(text: Column) -> Column:

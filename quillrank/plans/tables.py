@@ -27,6 +27,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt out evenly if they come in no more parts than there are cores, as those of a small or unsplit file do; work on each row is then shared.
+
+    Larger inputs come in more parts than that and stay where they are, so no more than a part a core is moved."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() <= cores else rows
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """jd_id, grp, score, gt: candidates of a query, in three groups."""
     rows = table(spark, sf_dir, "lineitem")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import completions as C
 from ..functions import text as X
-from .tables import query, rounded, table
+from .tables import query, rounded, spread, table
 
 _K = "regexp_extract(props, '([0-9]+)', 1)"
 _RAW = f"""r AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN '{{"score": ' || {_K} || ', "justification": "ok"}}' WHEN 1 THEN '```json' || chr(10) || '{{"score": ' || {_K} || ', "justification": "ok"}}' || chr(10) || '```' WHEN 2 THEN '{{"score": ' || {_K} || '.5, "justification": "cut off' WHEN 3 THEN 'I cannot say' ELSE '  ' END AS raw FROM events)"""
@@ -41,15 +41,19 @@ def repair_json(spark, sf_dir):
 _WORDS = "d AS (SELECT doc_id, text, list_filter(string_split_regex(text, '[^a-zA-Z0-9'']+'), lambda w: w <> '') AS w, list_filter(string_split_regex(text, '[.!?]+'), lambda s: trim(regexp_replace(s, '\\s+', ' ', 'g')) <> '') AS s FROM documents), e AS (SELECT *, list_filter(w, lambda x: regexp_full_match(x, '[a-zA-Z]+')) AS a, list_transform(w, lambda x: lower(x)) AS lw FROM d)"
 
 
+def _texts(spark, sf_dir):
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def _words(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text", X.words(F.col("text")).alias("w"), X.sentences(F.col("text")).alias("s"))
+    rows = _texts(spark, sf_dir).select("doc_id", "text", X.words(F.col("text")).alias("w"), X.sentences(F.col("text")).alias("s"))
     return rows.withColumns({"a": X.alphabetic(F.col("w")), "lw": F.transform("w", lambda x: F.lower(x))})
 
 
 @query(f"WITH {_WORDS} SELECT doc_id, len(w) AS n_words, len(s) AS n_sentences, length(translate(text, ' ' || chr(10), '')) AS n_chars, len(list_distinct(lw)) AS n_distinct, length(text) - length(translate(text, '.,;:!?', '')) AS n_punctuation FROM e")
 def ling_counts(spark, sf_dir):
-    rows = _words(spark, sf_dir)
-    return rows.select("doc_id", F.size("w").alias("n_words"), F.size("s").alias("n_sentences"), X.characters(F.col("text")).alias("n_chars"), F.size(F.array_distinct("lw")).alias("n_distinct"), X.punctuation(F.col("text")).alias("n_punctuation"))
+    text, words = F.col("text"), X.flat_words(X.flat(F.col("text")))
+    return _texts(spark, sf_dir).select("doc_id", F.size(words).alias("n_words"), X.count_sentences(text).alias("n_sentences"), X.characters(text).alias("n_chars"), F.size(F.array_distinct(words)).alias("n_distinct"), X.punctuation(text).alias("n_punctuation"))
 
 
 def _sql_list(words):
@@ -73,7 +77,8 @@ def ling_ratios(spark, sf_dir):
 
 @query(f"WITH {_WORDS}, f AS (SELECT doc_id, len(a) AS nw, len(s) AS ns, list_sum(list_transform(a, lambda x: greatest(1, len(regexp_extract_all(regexp_replace(lower(x), 'e+$', ''), '[aeiou]+'))))) AS ny FROM e) SELECT doc_id, coalesce(ny, 0)::INTEGER AS n_syllables, round(CASE WHEN nw > 0 AND ns > 0 THEN greatest(0.0, least(100.0, 206.835 - 1.015 * (nw::DOUBLE / ns) - 84.6 * (ny::DOUBLE / nw))) ELSE 0 END, 6) AS flesch FROM f")
 def flesch(spark, sf_dir):
-    rows = _words(spark, sf_dir).select("doc_id", F.size("a").alias("nw"), F.size("s").alias("ns"), X.total_syllables(F.col("a")).alias("n_syllables"))
+    letters = X.flat_alphabetic(X.flat(F.col("text")))
+    rows = _texts(spark, sf_dir).select("doc_id", F.size(X.flat_words(letters)).alias("nw"), X.count_sentences(F.col("text")).alias("ns"), F.coalesce(X.count_syllables(letters), F.lit(0)).alias("n_syllables"))
     return rounded(rows.select("doc_id", "n_syllables", X.flesch(F.col("nw"), F.col("ns"), F.col("n_syllables")).alias("flesch")))
 
 
