@@ -19,17 +19,24 @@ ROUNDS = 4
 def _until_same(now: DataFrame, step) -> DataFrame:
     """step again and again until no value is added or lowered; rows are only added and values only lowered.
 
-    Every ROUNDS rounds the state is written to the shared folder and read back, with a mark of what its last round changed."""
+    _changed marks what the last round added or lowered; only that need be moved on, as all else was moved on before.
+    Every ROUNDS rounds the state is written to the shared folder and read back, so that the plan stays short."""
     spark = now.sparkSession
+    now = now.withColumn("_changed", F.lit(True))
     while True:
-        for _ in range(ROUNDS - 1):
-            now = step(now).drop("_changed")
-        path = scratch(spark, "loop")
-        step(now).write.parquet(path)
-        now = spark.read.parquet(path)
+        for _ in range(ROUNDS):
+            now = step(now)
+        now = _written(now, "loop")
         if not now.filter("_changed").head(1):
             return now.drop("_changed")
-        now = now.drop("_changed")
+
+
+def _written(rows: DataFrame, name: str) -> DataFrame:
+    """rows by way of a table in the shared folder."""
+    spark = rows.sparkSession
+    path = scratch(spark, name)
+    rows.write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def _settled(moved: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -45,11 +52,12 @@ def closure(parents: DataFrame, max_depth: int | None = None, child: str = "chil
     nodes = edges.select(F.col("_c").alias("node")).union(edges.select("_p")).distinct()
     now = nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth"))
     if max_depth is None:
+        edges = _written(edges, "edges")
         stay = F.struct("ancestor", "depth", F.lit(True).alias("_stays"))
         go = F.struct(F.col("_p").alias("ancestor"), (F.col("depth") + 1).alias("depth"), F.lit(False).alias("_stays"))
 
         def step(now):
-            moved = now.join(edges, now.ancestor == edges["_c"], "left").select("node", F.explode(F.array(stay, go)).alias("_m")).select("node", "_m.*")
+            moved = now.join(edges, (now.ancestor == edges["_c"]) & F.col("_changed"), "left").select("node", F.explode(F.array(stay, go)).alias("_m")).select("node", "_m.*")
             return _settled(moved.filter("ancestor is not null"), ["node", "ancestor"], "depth")
 
         return _until_same(now, step)
@@ -128,20 +136,23 @@ def hops(starts: DataFrame, edges: DataFrame, max_rounds: int | None = None, doc
     if anchors is not None:
         both = both.join(anchors.select(doc, F.col("node").alias("source")), [doc, "source"], "left_anti").join(anchors.select(doc, F.col("node").alias("target")), [doc, "target"], "left_anti")
     now = starts.select(doc, "node", F.lit(0).alias("dist")).distinct()
-    both = both.withColumnRenamed("source", "node")
+    both = both.select(F.col(doc).alias("_d"), F.col("source").alias("_n"), "target", "cost")
+    if max_rounds is None:
+        both = _written(both, "edges")
     stay = F.struct("node", "dist", F.lit(True).alias("_stays"))
     go = F.struct(F.col("target").alias("node"), (F.col("dist") + F.col("cost")).alias("dist"), F.lit(False).alias("_stays"))
 
     def step(now):
         # each round uses the last one once, so the plan grows by one join a round
-        moved = now.join(both, [doc, "node"], "left").select(doc, F.explode(F.array(stay, go)).alias("_m")).select(doc, "_m.*")
+        moved = now.join(both, (F.col(doc) == F.col("_d")) & (F.col("node") == F.col("_n")) & F.col("_changed"), "left").select(doc, F.explode(F.array(stay, go)).alias("_m")).select(doc, "_m.*")
         return _settled(moved.filter("node is not null"), [doc, "node"], "dist")
 
     if max_rounds is None:
         return _until_same(now, step)
+    now = now.withColumn("_changed", F.lit(True))
     for _ in range(max_rounds):
-        now = step(now).drop("_changed")
-    return now
+        now = step(now)
+    return now.drop("_changed")
 
 
 def node_score(matched: Column, dist: Column, discount: float = 0.5) -> Column:
