@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,8 +26,9 @@ def jsonl(spark: SparkSession, path: str, schema: str, mode: str = "strict", mis
 
 def damaged_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """line: those that can't be read by schema."""
-    rows = spark.read.schema(f"{schema}, _line STRING").option("columnNameOfCorruptRecord", "_line").json(path).cache()
-    return rows.filter(F.col("_line").isNotNull()).select(F.col("_line").alias("line"))
+    rows = spark.read.text(path).filter(F.trim("value") != "")
+    kept = F.from_json("value", f"{schema}, _line STRING", {"columnNameOfCorruptRecord": "_line"})
+    return rows.select(kept["_line"].alias("line")).filter("line is not null")
 
 
 def json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -88,27 +90,42 @@ def parsed_key(key: Column) -> Column:
     return F.struct(*(F.get(parts, i).alias(n) for i, n in enumerate(("type", "batch", "occ", "style", "idx"))), F.when(cf == "", None).otherwise(cf).alias("cf"))
 
 
-_TOKEN = re.compile(r'"""(?:[^"\\]|\\.|"(?!""))*"""|"(?:[^"\\\n]|\\.)*"|<[^>\s]*>|#[^\n]*|@prefix|\^\^|@[A-Za-z-]+|[^\s;,.<>"#]+(?:\.[^\s;,.<>"#]+)*|[;,.\[\]]')
+_TOKEN = re.compile(r'"""(?:[^"\\]|\\.|"(?!""))*"""|"(?:[^"\\\n]|\\.)*"|<[^>\s]*>|#[^\n]*|@prefix|\^\^|@[A-Za-z-]+|[^\s;,.<>"#\[\]]+(?:\.[^\s;,.<>"#\[\]]+)*|[;,.\[\]]')
 
 
 def triples_of(text: str) -> list[tuple[str, str, str]]:
-    """(subject, predicate, object) of a Turtle text without blank nodes; names stay as written, literals lose quotes and tags."""
-    out, subject, predicate, held, after = [], None, None, [], None
+    """(subject, predicate, object) of a Turtle text; names stay as written, literals lose quotes and tags.
+
+    A node in brackets is named _:[n] by its place among them; lists in parentheses are left out."""
+    out, subject, predicate, held, outer, bare, i = [], None, None, [], [], 0, 0
     tokens = [t for t in _TOKEN.findall(text) if not t.startswith("#")]
-    i = 0
+
+    def settle():
+        if len(held) == 1 and subject and predicate:
+            out.append((subject, predicate, held[0]))
+
     while i < len(tokens):
         t = tokens[i]
         if t == "@prefix":
             i = tokens.index(".", i) + 1
             continue
         if t in (".", ";", ","):
-            if len(held) == 1 and subject and predicate:
-                out.append((subject, predicate, held[0]))
+            settle()
             held = []
             if t != ",":
                 predicate = None
             if t == ".":
                 subject = None
+        elif t == "[":
+            name, bare = f"_:[{bare}]", bare + 1
+            outer.append((subject, predicate, held + [name]))
+            subject, predicate, held = name, None, []
+        elif t == "]" and outer:
+            settle()
+            name = subject
+            subject, predicate, held = outer.pop()
+            if subject is None:
+                subject, held = name, []
         elif t == "^^":
             i += 1
         elif t.startswith("@"):
@@ -125,8 +142,15 @@ def triples_of(text: str) -> list[tuple[str, str, str]]:
     return out
 
 
+def _triple_batches(batches):
+    for batch in batches:
+        for text in batch.column(0):
+            found = triples_of(text.as_py() or "")
+            s, p, o = zip(*found) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (s, p, o)], ["s", "p", "o"])
+
+
 def turtle(spark: SparkSession, path: str) -> DataFrame:
     """s, p, o of an ontology file, which is small by its nature: one file is read by one task."""
     text = spark.read.option("wholetext", True).text(path)
-    rows = text.select(F.udf(triples_of, "array<struct<s:string,p:string,o:string>>")("value").alias("t"))
-    return rows.select(F.explode("t").alias("t")).select("t.*")
+    return text.mapInArrow(_triple_batches, "s string, p string, o string")

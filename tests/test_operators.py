@@ -166,6 +166,8 @@ def test_sources_and_sinks(spark, tmp_path):
     ttl = tmp_path / "o.ttl"
     ttl.write_text('@prefix ex: <http://x/> .\nex:A a ex:Class ; ex:label "an A"@en , "other" .\nex:B ex:sub ex:A .\n')
     assert sorted(map(tuple, readers.turtle(spark, str(ttl)).collect())) == [("ex:A", "ex:label", "an A"), ("ex:A", "ex:label", "other"), ("ex:A", "rdf:type", "ex:Class"), ("ex:B", "ex:sub", "ex:A")]
+    nested = 'ex:C ex:on [ a ex:R ; ex:of [ ex:is ex:D ] , ex:E ] ; ex:label "c" . [ ex:p ex:F ] ex:q ex:G . [] a ex:H .'
+    assert readers.triples_of(nested) == [("_:[0]", "rdf:type", "ex:R"), ("_:[1]", "ex:is", "ex:D"), ("_:[0]", "ex:of", "_:[1]"), ("_:[0]", "ex:of", "ex:E"), ("ex:C", "ex:on", "_:[0]"), ("ex:C", "ex:label", "c"), ("_:[2]", "ex:p", "ex:F"), ("_:[2]", "ex:q", "ex:G"), ("_:[3]", "rdf:type", "ex:H")]
     metrics = spark.createDataFrame([("rmse", 1.5, 1.0, 2.0)], "metric string, value double, ci_lower double, ci_upper double")
     assert "1.500000" in writers.report(metrics, "Metrics")
     writers.summary_csv(metrics, str(tmp_path / "csv"), "metric")
