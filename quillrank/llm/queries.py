@@ -7,6 +7,7 @@ and op10 (a fitted model) have none; their tests compare them with brute force,
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,14 +81,65 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_token_store, op4_lattice_dedup, op5_bpe_tree, op6_warc, op7_line_dedup, op8_minhash, op9_license_scan, op10_quality)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_chars has since grown by one where 7 divides the checksum of the id."""
+    from .merkle import verified
+
+    later = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    return verified(_table(spark, sf_dir, "documents"), {"n_chars": later})
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_decontamination,
+        op2_token_counts,
+        op3_token_store,
+        op4_lattice_dedup,
+        op5_bpe_tree,
+        op6_warc,
+        op7_line_dedup,
+        op8_minhash,
+        op9_license_scan,
+        op10_quality,
+        op11_merkle_manifest,
+    )
+}
 
 #: Components by the least vertex over paths; ids has id, links has a and b in both directions.
 _PARTS = """
 paths AS (SELECT DISTINCT id AS node, id AS seen FROM ids UNION SELECT p.node, l.b FROM paths p JOIN links l ON l.a = p.seen),
 parts AS (SELECT node, min(seen) AS component_id FROM paths GROUP BY node)"""
 
+#: CRC-32 of a decimal id, bit by bit.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(strlen(CAST(doc_id AS VARCHAR))), lambda i: CAST(ascii(substr(CAST(doc_id AS VARCHAR), CAST(i + 1 AS INT), 1)) AS BIGINT))),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(CAST(strlen(CAST({value} AS VARCHAR)) AS VARCHAR) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return f"sha256({' || '.join(map(_field, ('doc_id', 'source', 'lang', n_chars, 'text')))})"
+
+
 ORACLES: dict[str, str] = {
+    "op11_merkle_manifest": f"""
+WITH RECURSIVE d AS (SELECT doc_id, lang, {_leaf("n_chars")} AS leaf, {_leaf(f"CASE WHEN {_CRC} % 7 = 0 THEN n_chars + 1 ELSE n_chars END")} AS now FROM documents),
+r AS (SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n, row_number() OVER () AS rid FROM d),
+tree AS (SELECT g, 0 AS l, i, leaf AS h, n FROM r
+  UNION ALL SELECT g, l + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM tree WHERE n > 1 GROUP BY g, l, i // 2, n),
+tops AS (SELECT 0 AS l, g AS i, h, count(*) OVER () AS n FROM tree WHERE n = 1
+  UNION ALL SELECT l + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM tops WHERE n > 1 GROUP BY l, i // 2, n),
+steps AS (
+  SELECT r.rid, t.l AS k, t.i, s.h FROM r JOIN tree t ON t.g = r.g AND t.n > 1 AND t.i = r.i >> CAST(t.l AS BIGINT) LEFT JOIN tree s ON s.g = t.g AND s.l = t.l AND s.i = xor(t.i, 1)
+  UNION ALL SELECT r.rid, 1000 + t.l, t.i, s.h FROM r JOIN tops t ON t.n > 1 AND t.i = r.g >> CAST(t.l AS BIGINT) LEFT JOIN tops s ON s.l = t.l AND s.i = xor(t.i, 1)),
+p AS (SELECT rid, list(CASE WHEN h IS NULL THEN '' WHEN i % 2 = 1 THEN 'L' || h ELSE 'R' || h END ORDER BY k) AS path, coalesce(string_agg(h, '' ORDER BY k), '') AS proof FROM steps GROUP BY rid),
+o AS (SELECT r.doc_id, r.leaf, t.h AS subroot, u.h AS root, sha256(coalesce(p.proof, '')) AS proof_sha256,
+  list_reduce(list_prepend(r.now, coalesce(p.path, [])), lambda a, s: sha256(CASE substr(s, 1, 1) WHEN 'L' THEN substr(s, 2) || a WHEN 'R' THEN a || substr(s, 2) ELSE a END)) AS folded_root
+  FROM r JOIN tree t ON t.g = r.g AND t.n = 1 JOIN tops u ON u.n = 1 LEFT JOIN p ON p.rid = r.rid)
+SELECT *, folded_root = root AS verified FROM o""",
     "op4_lattice_dedup": f"""
 WITH RECURSIVE good AS (
   SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
