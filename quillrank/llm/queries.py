@@ -89,6 +89,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verified(_table(spark, sf_dir, "documents"), {"n_chars": later})
 
 
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .runs import digests, find_runs
+
+    return digests(find_runs(_table(spark, sf_dir, "documents"), planted=True))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -103,6 +109,7 @@ QUERIES = {
         op9_license_scan,
         op10_quality,
         op11_merkle_manifest,
+        op13_runs,
     )
 }
 
@@ -148,6 +155,20 @@ links AS (SELECT x.id AS a, y.id AS b FROM good x JOIN good y ON x.label = y.lab
 ids AS (SELECT vec_id AS id FROM embeddings), {_PARTS}
 SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links, p.component_id, e.vec_id = p.component_id AS kept
 FROM embeddings e JOIN parts p ON p.node = e.vec_id""",
+    "op13_runs": f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_CRC} AS h, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN h // 10 % len(w) ELSE len(w) END AS a FROM d),
+k AS (SELECT *, 1 + (n - a) // (3 + h // 10 % 8) AS p FROM g),
+e AS (SELECT rid, n, unnest(range(n)) AS i, unnest(list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END)) AS w FROM k),
+same AS (SELECT x.rid, y.i - x.i AS q, x.i FROM e x JOIN e y ON x.rid = y.rid AND x.w = y.w AND y.i > x.i AND (y.i - x.i) * 4 <= x.n),
+island AS (SELECT rid, q, i, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS island FROM same),
+every AS (SELECT rid, min(i) AS s, count(*) + q AS len, q FROM island GROUP BY rid, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+r AS (SELECT * FROM every x WHERE NOT EXISTS (SELECT 1 FROM every y WHERE y.rid = x.rid AND y.q < x.q AND y.s <= x.s AND y.s + y.len >= x.s + x.len)),
+best AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY len::DOUBLE / q DESC, s, q) AS place FROM r),
+lines AS (SELECT rid, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM r GROUP BY rid),
+kept AS (SELECT rid, string_agg(w, ' ' ORDER BY i) AS words FROM e WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.rid = e.rid AND e.i >= r.s + r.q AND e.i < r.s + r.len) GROUP BY rid)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, len AS length, q AS period, 1000 * len // q AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(words, '')) AS collapsed_sha256
+FROM d LEFT JOIN best b ON b.rid = d.rid AND b.place = 1 LEFT JOIN lines l ON l.rid = d.rid LEFT JOIN kept c ON c.rid = d.rid""",
     "op6_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
 l AS (SELECT html, max(page_id) AS last FROM p GROUP BY html),
