@@ -89,6 +89,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verified(_table(spark, sf_dir, "documents"), {"n_chars": later})
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import digests, scan
+
+    return digests(scan(_table(spark, sf_dir, "documents")))
+
+
 def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .runs import digests, find_runs
 
@@ -109,6 +115,7 @@ QUERIES = {
         op9_license_scan,
         op10_quality,
         op11_merkle_manifest,
+        op12_secret_scan,
         op13_runs,
     )
 }
@@ -131,7 +138,43 @@ def _leaf(n_chars: str) -> str:
     return f"sha256({' || '.join(map(_field, ('doc_id', 'source', 'lang', n_chars, 'text')))})"
 
 
+_KEY = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word) for word in ("password", "passwd", "secret", "token", "api_?key"))
+#: Kind, pattern, group and its least length, as op12 states them.
+_SECRETS = [
+    ("assign", f"""(?:{_KEY})["\']?\\x20*[:=]\\x20*["\']?([A-Za-z0-9+/_.=-]+)""", 1, 12),
+    ("access", "AKIA[A-Z0-9]+", 0, 18),
+    ("hex", "[0-9a-f]+", 0, 16),
+    ("github", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 0),
+    ("gitlab", "glpat-[A-Za-z0-9_-]{20,}", 0, 0),
+    ("npm", "npm_[A-Za-z0-9]{36,}", 0, 0),
+    ("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0),
+    ("google", "AIza[A-Za-z0-9_-]{35,}", 0, 0),
+    ("stripe", "[rs]k_live_[A-Za-z0-9]{16,}", 0, 0),
+    ("jwt", "eyJ[A-Za-z0-9_-]{8,}\\.eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}", 0, 0),
+    ("pem", "-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", 0, 0),
+    ("bearer", "[Bb][Ee][Aa][Rr][Ee][Rr] +[A-Za-z0-9._~+/-]{20,}=*", 0, 0),
+    ("url", "://[^\\x00-\\x20/:@]{1,64}:[^\\x00-\\x20/@]{3,64}@", 0, 0),
+]
+
+
+def _secret_matches(number: int) -> str:
+    name, pattern, group, least = _SECRETS[number]
+    p = "'" + pattern.replace("'", "''") + "'"
+    return f"""SELECT rid, '{name}' AS kind, {number} AS k, i, m, v, g, {least} AS least FROM (
+  SELECT rid, unnest(range(len(m))) AS i, unnest(m) AS m, unnest(v) AS v, unnest(list_slice(g, 1, len(m))) AS g
+  FROM (SELECT rid, regexp_extract_all(text, {p}, 0) AS m, regexp_extract_all(text, {p}, {group}) AS v, regexp_split_to_array(text, {p}) AS g FROM d WHERE regexp_matches(text, {p})))"""
+
+
 ORACLES: dict[str, str] = {
+    "op12_secret_scan": f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+f AS ({" UNION ALL ".join(map(_secret_matches, range(len(_SECRETS))))}),
+e AS (SELECT *, sum(length(g) + length(m)) OVER (PARTITION BY rid, k ORDER BY i)::BIGINT AS stop FROM f),
+s AS (SELECT rid, kind, k, stop - length(m) AS start, stop FROM e WHERE length(v) >= least),
+o AS (SELECT rid, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+  coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k) FILTER (k < 3), '') AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k) AS spans FROM s GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN o USING (rid)""",
     "op11_merkle_manifest": f"""
 WITH RECURSIVE d AS (SELECT doc_id, lang, {_leaf("n_chars")} AS leaf, {_leaf(f"CASE WHEN {_CRC} % 7 = 0 THEN n_chars + 1 ELSE n_chars END")} AS now FROM documents),
 r AS (SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n, row_number() OVER () AS rid FROM d),

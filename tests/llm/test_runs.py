@@ -70,11 +70,11 @@ def test_rows(spark, monkeypatch, group_words):
     monkeypatch.setattr(runs, "GROUP_WORDS", group_words)
     rng = np.random.default_rng(3)
     rows = [(i, " ".join(rng.choice(["a", "b", "çé", "d e", " "], rng.integers(0, 60))) + " x y" * int(rng.integers(0, 9) ** 2 // 8)) for i in range(160)]
-    rows += [(None, "a " * 9), (None, None), (7, None), (8, ""), (9, " \t\r\n\v\f "), (10, "a\tb\va\fb\ra\nb a b"), (10, "a\tb\va\fb\ra\nb a b"), (11, "w" * 100_000), (12, "q " * 30_000)]
+    rows += [(None, "a " * 9), (None, None), (7, None), (8, ""), (9, " \t\r\n\v\f "), (10, "a\tb\va\fb\ra\nb a b"), (10, "a\tb\va\fb\ra\nb a b"), (11, "w" * 100_000), (1000, "q " * 30_000)]
     docs = spark.createDataFrame([(*r, 1, "s") for r in rows], "doc_id long, text string, runs int, kept string")
     got = list(map(tuple, runs.digests(runs.find_runs(docs, planted=True)).collect()))
-    assert sorted(map(repr, (r for r in got if r[0] != 12))) == sorted(repr(expected(*r)) for r in rows[:-1])
-    long = [r for r in got if r[0] == 12 and r[3] == 30_000]
+    assert sorted(map(repr, (r for r in got if r[0] != 1000))) == sorted(repr(expected(*r)) for r in rows[:-1])
+    long = [r for r in got if r[0] == 1000 and r[3] == 30_000]
     assert len(long) == 1 and long[0][1:6] == (1, 0, 30_000, 1, 30_000_000)
     assert runs.find_runs(docs.limit(0)).count() == 0
 
