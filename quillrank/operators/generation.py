@@ -29,11 +29,13 @@ def compiled(results: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 
 def outcomes(inputs: DataFrame, results: DataFrame) -> DataFrame:
-    """custom_id, category: null for what worked, else what went wrong; missing for inputs without a result."""
-    error = F.when(F.col("status_code") != 200, F.concat(F.lit("status "), F.col("status_code").cast("string"))).otherwise(F.col("error"))
+    """custom_id, category: success, or what went wrong by an error's own message or else by "HTTP <code>"; missing for inputs without a result."""
+    failed = ~F.col("status_code").eqNullSafe(F.lit(200))
+    code = F.concat(F.lit("HTTP "), F.coalesce(F.col("status_code").cast("string"), F.lit("None")))
+    error = F.coalesce(F.nullif(F.col("error"), F.lit("")), F.when(failed, code))
     found = results.select("custom_id", error.alias("_e"), F.lit(True).alias("_found"))
     rows = inputs.select("custom_id").join(found, "custom_id", "left")
-    return rows.select("custom_id", F.when(F.col("_found").isNull(), "missing").otherwise(X.failure_category(F.col("_e"))).alias("category"))
+    return rows.select("custom_id", X.failure_category(F.col("_e"), F.col("_found").isNotNull()).alias("category"))
 
 
 def next_requests(results: DataFrame, template: str, text: str = "text") -> DataFrame:

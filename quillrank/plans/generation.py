@@ -23,10 +23,14 @@ def compile_final(spark, sf_dir):
     return N.compiled(results, table(spark, sf_dir, "customer").select(key("c_custkey").alias("custom_id"), F.col("c_name").alias("title"))).select("custom_id", "title", "text")
 
 
-@query("SELECT CASE WHEN o.o_custkey IS NULL THEN 'missing' WHEN o.bad THEN 'other' END AS category, count(*) AS n FROM customer LEFT JOIN (SELECT o_custkey, bool_or(o_orderstatus = 'F') AS bad FROM orders GROUP BY 1) o ON c_custkey = o_custkey GROUP BY 1")
+@query(
+    """WITH o AS (SELECT o_custkey, CASE WHEN bool_or(o_orderstatus = 'P') THEN 'Token limit reached' WHEN min(o_orderkey) % 7 = 0 THEN '' END AS error, CASE WHEN bool_or(o_orderstatus = 'F') THEN 500 ELSE 200 END AS code FROM orders GROUP BY 1)
+ SELECT CASE WHEN o.o_custkey IS NULL THEN 'missing' WHEN error <> '' THEN 'token_limit' WHEN code <> 200 THEN 'http_error' ELSE 'success' END AS category, count(*) AS n FROM customer LEFT JOIN o ON c_custkey = o_custkey GROUP BY 1"""
+)
 def batch_outcomes(spark, sf_dir):
-    results = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("custom_id")).agg(F.max(F.col("o_orderstatus") == "F").alias("bad"))
-    results = results.select("custom_id", F.when(F.col("bad"), 500).otherwise(200).alias("status_code"), F.lit(None).cast("string").alias("error"))
+    has = lambda status: F.bool_or(F.col("o_orderstatus") == status)
+    error = F.when(has("P"), "Token limit reached").when(F.min("o_orderkey") % 7 == 0, "")
+    results = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("custom_id")).agg(error.alias("error"), F.when(has("F"), 500).otherwise(200).alias("status_code"))
     inputs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custom_id"))
     return N.outcomes(inputs, results).groupBy("category").agg(F.count("*").alias("n"))
 

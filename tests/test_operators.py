@@ -209,3 +209,12 @@ def test_new_sinks(spark, tmp_path):
     W.stage_table(spark.read.parquet(f"{tmp_path}/stage").filter("id > 0"), f"{tmp_path}/stage")
     assert spark.read.parquet(f"{tmp_path}/stage").count() == 2
     assert W.counts_text(spark.createDataFrame([("ok", 3)], "status string, n int"), "Status") == "Status\n  ok: 3"
+
+
+def test_outcomes_of_a_batch(spark):
+    from quillrank.operators import generation as N
+
+    results = [("a", 200, None), ("b", 500, None), ("c", 429, "Rate limit"), ("d", 400, "INCOMPLETE: Token limit reached"), ("e", None, "Content_Filter"), ("f", 200, ""), ("g", None, None)]
+    inputs = spark.createDataFrame([(k,) for k in "abcdefgh"], "custom_id string")
+    got = N.outcomes(inputs, spark.createDataFrame(results, "custom_id string, status_code int, error string"))
+    assert {r["custom_id"]: r["category"] for r in got.collect()} == dict(zip("abcdefgh", ["success", "http_error", "other_error", "token_limit", "content_filter", "success", "http_error", "missing"]))
