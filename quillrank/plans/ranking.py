@@ -146,17 +146,20 @@ def metric_means(spark, sf_dir):
     return rounded(long.groupBy("metric").agg(F.avg("v").alias("mean"), F.count("v").alias("n")))
 
 
-def _draw_sql(key: str) -> str:
-    x = f"(xor({key}, {key} >> 29) % 4294967296)"
-    for _ in range(2):
-        x = f"((xor({x}, {x} >> 16) * 73244475) % 4294967296)"
-    return f"xor({x}, {x} >> 16)"
+def _mixed_sql(x: str) -> str:
+    return f"list_reduce([({x})::BIGINT, 1, 1, 2], lambda a, k: CASE WHEN k = 1 THEN (xor(a, a >> 16) * {B.MIX}) % 4294967296 ELSE xor(a, a >> 16) END)"
 
 
 def _boot_cte(partials: str, order: str, draws: int, columns: str, values: str, more: str = "") -> str:
-    return f"""WITH {SCORED}{more}, p AS ({partials}), u AS (SELECT {columns}, row_number() OVER (ORDER BY {order}) - 1 AS i FROM p),
- s AS (SELECT (x.id // t.n)::BIGINT AS b, ({_draw_sql('x.id')} % t.n) AS i FROM (SELECT count(*) AS n FROM p) t, LATERAL (SELECT unnest(range({draws} * t.n)) AS id) x),
- drawn AS (SELECT b, {values} FROM s JOIN u USING (i) GROUP BY b), w AS (SELECT {values} FROM p)"""
+    """drawn: a row for each draw, by the weights of its units; w: the values without weights."""
+    cells = [c.strip() for c in columns.split(",")]
+    weight = " + ".join(f"(x >= {bound})::INT" for bound in B.BOUNDS)
+    return f"""WITH {SCORED}{more}, p AS ({partials}), u AS (SELECT {columns}, row_number() OVER (ORDER BY {order}, {columns}) - 1 AS i FROM p),
+ l AS (SELECT *, {_mixed_sql("i % 4294967296")} AS low, {_mixed_sql("i >> 32")} AS high FROM u),
+ m AS (SELECT l.*, b.b, {_mixed_sql(f"(low + (b.b + 1) * {B.STEP}) % 4294967296")} AS y FROM l CROSS JOIN range({draws}) b(b)),
+ x AS (SELECT *, {_mixed_sql("xor(y, high)")} AS x FROM m),
+ k AS (SELECT b, {", ".join(f"({weight}) * {c} AS {c}" for c in cells)} FROM x),
+ drawn AS (SELECT b, {values} FROM k GROUP BY b), w AS (SELECT {values} FROM p)"""
 
 
 def _boot_row(v: str) -> str:
@@ -206,7 +209,7 @@ def metric_bootstrap_ci(spark, sf_dir):
     return rounded(B.statistics(values, {m: [(m, "den", 1)] for m in ("rmse", "mae")}, 100, ["jd_id"]))
 
 
-@query(_boot_sql("SELECT jd_id, (score - gt) * (score - gt) AS num, 1 AS den FROM c WHERE grp = 'A'", "jd_id, num", 20))
+@query(_boot_sql("SELECT jd_id, (score - gt) * (score - gt) AS num, 1 AS den FROM c", "jd_id, num", 20))
 def row_bootstrap_ci(spark, sf_dir):
-    rows = scored(spark, sf_dir).filter("grp = 'A'").select("jd_id", F.pow(F.col("score") - F.col("gt"), 2).alias("num"), F.lit(1).alias("den"))
+    rows = scored(spark, sf_dir).select("jd_id", F.pow(F.col("score") - F.col("gt"), 2).alias("num"), F.lit(1).alias("den"))
     return rounded(B.intervals(rows, 20, ["jd_id", "num"]))

@@ -79,22 +79,58 @@ def test_ndcg_is_the_mean_over_orders_of_ties(spark, pairs, k):
     assert w == pytest.approx(min(k, len(pairs)))
 
 
-def test_bootstrap_is_the_literal_resampling(spark):
+def test_bootstrap_is_the_weighted_resampling(spark):
     import numpy as np
 
-    values = [1.0, 5.0, 2.0, 8.0, 3.0]
+    values = [1.0, 5.0, 2.0, 8.0, 3.0, 3.0]
     df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(values)], "q int, num double, den int")
-    got = B.intervals(df, 50, ["q"]).first()
 
-    def draw(x):
-        x = (x ^ (x >> 29)) % (1 << 32)
+    def mix(x):
         for _ in range(2):
             x = ((x ^ (x >> 16)) * 73244475) % (1 << 32)
-        return (x ^ (x >> 16)) % 5
-
-    means = [np.mean([values[draw(b * 5 + j)] for j in range(5)]) for b in range(50)]
-    assert (got["ci_lower"], got["ci_upper"]) == pytest.approx(tuple(np.percentile(means, [2.5, 97.5])))
-    counts = np.bincount([draw(x) for x in range(100_000)], minlength=5)
-    pairs = np.bincount([5 * draw(x) + draw(x + 1) for x in range(0, 100_000, 2)], minlength=25)
-    assert abs(counts / 20_000 - 1).max() < 0.03 and abs(pairs / 2_000 - 1).max() < 0.1  # draws are even, and so are neighbours
-    assert B.intervals(df.limit(0), 50, ["q"]).first()["ci_lower"] is None
+        return x ^ (x >> 16)
+
+    def weight(i, b):
+        x, below, k = mix(mix((mix(i % (1 << 32)) + (b + 1) * 2654435769) % (1 << 32)) ^ mix(i >> 32)), math.exp(-1), 0
+        while x >= math.floor(below * (1 << 32)) and k < 12:
+            k += 1
+            below += math.exp(-1) / math.factorial(k)
+        return k
+
+    units = np.array([0, 1, 5, (1 << 32) - 1, 1 << 32, (7 << 32) + 5])
+    assert B.poisson_weights(units, 40).tolist() == [[weight(int(i), b) for b in range(40)] for i in units]
+    draws = [[weight(i, b) for i in range(6)] for b in range(60)]
+    means = [np.average(values, weights=w) for w in draws if sum(w)]
+    for parts in (1, 3):
+        got = B.intervals(df.repartition(parts), 60, ["q"]).first()
+        assert (got["value"], got["ci_lower"], got["ci_upper"]) == pytest.approx((np.mean(values), *np.percentile(means, [2.5, 97.5])))
+        assert got["n_valid"] == len(means)
+    none = B.intervals(df.limit(0), 50, ["q"]).first()
+    assert none["ci_lower"] is None and none["n_valid"] == 0
+    assert B.intervals(df, 9, ["q"]).first()["ci_lower"] is None  # too few draws
+
+
+def test_weights_are_poisson_and_independent():
+    import numpy as np
+
+    w = B.poisson_weights(np.arange(200_000), 20).astype(float)
+    assert np.allclose(w.mean(0), 1, atol=0.012) and np.allclose(w.var(0), 1, atol=0.03)
+    for a, b in ((w[:, 0], w[:, 1]), (w[:-1, 0], w[1:, 0]), (w[:-1, 3], w[1:, 4]), (w[:100_000, 5], w[100_000:, 5])):
+        assert abs(np.corrcoef(a, b)[0, 1]) < 0.012
+    assert np.abs(np.bincount(w.astype(int).ravel(), minlength=6)[:6] / w.size - [math.exp(-1) / math.factorial(k) for k in range(6)]).max() < 0.002
+
+
+def test_intervals_have_the_width_of_the_normal_ones(spark):
+    import numpy as np
+
+    values = np.random.default_rng(2).normal(3, 2, 4000)
+    df = spark.createDataFrame([(i, float(v), 1) for i, v in enumerate(values)], "q int, num double, den int")
+    got = B.intervals(df, 1000, ["q"]).first()
+    half = 1.96 * values.std(ddof=1) / math.sqrt(len(values))
+    assert got["ci_upper"] - got["ci_lower"] == pytest.approx(2 * half, rel=0.1) and abs((got["ci_upper"] + got["ci_lower"]) / 2 - values.mean()) < 0.1 * half
+
+
+def test_numbers_of_equal_rows(spark):
+    df = spark.createDataFrame([(7,)] * 50 + [(k,) for k in range(20)], "q int").repartition(5)
+    rows = B.numbered(df, "q").collect()
+    assert sorted(r["i"] for r in rows) == list(range(70)) and [r["q"] for r in sorted(rows, key=lambda r: r["i"])] == sorted(r["q"] for r in df.collect())
