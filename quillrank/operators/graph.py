@@ -6,7 +6,9 @@ Without a stated depth, what was found is written to the shared folder every ROU
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch
@@ -14,6 +16,10 @@ from .profiles import DEGENERATE, on_scale
 
 #: Rounds of a loop without a stated depth between two written tables.
 ROUNDS = 4
+#: Rows of an ontology's tables that are sent to all tasks at most; more of them are joined by shuffles.
+SENT_ROWS = 200_000
+#: Rounds of a search within documents between two written tables.
+HOP_ROUNDS = 8
 
 
 def _until_same(now: DataFrame, step) -> DataFrame:
@@ -21,7 +27,6 @@ def _until_same(now: DataFrame, step) -> DataFrame:
 
     _changed marks what the last round added or lowered; only that need be moved on, as all else was moved on before.
     Every ROUNDS rounds the state is written to the shared folder and read back, so that the plan stays short."""
-    spark = now.sparkSession
     now = now.withColumn("_changed", F.lit(True))
     while True:
         for _ in range(ROUNDS):
@@ -39,6 +44,12 @@ def _written(rows: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _sent_if_small(rows: DataFrame, name: str) -> DataFrame:
+    """rows as a written table, sent to all tasks if it has at most SENT_ROWS rows."""
+    rows = _written(rows, name)
+    return F.broadcast(rows) if rows.count() <= SENT_ROWS else rows
+
+
 def _settled(moved: DataFrame, keys: list[str], value: str) -> DataFrame:
     """The least value of each key, and whether a move made or lowered it. moved has _stays beside keys and value."""
     low = F.min(value)
@@ -90,16 +101,21 @@ def relation_bucket(domain_side: Column, range_side: Column) -> Column:
 def fixed_edges(edges: DataFrame, types: DataFrame, relations: DataFrame, closed: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Edges whose ends fit their relation's (domain, range), turned round if only that fits; others go. isA and unknown relations stay.
 
-    types: doc, node, type; relations: label, domain, range (all rows of a label count); closed: closure() of the types.
+    types: doc, node, type (of several types of a node the least counts); relations: label, domain, range (all rows of a label count); closed:
+    closure() of the types. Nodes and edges meet by document, in one shuffle each.
     """
-    t = types.select(doc, "node", "type")
-    rows = edges.join(t.withColumnsRenamed({"node": "source", "type": "_s"}), [doc, "source"], "left").join(t.withColumnsRenamed({"node": "target", "type": "_t"}), [doc, "target"], "left")
+    listed = types.groupBy(doc).agg(F.array_sort(F.collect_set(F.struct("node", "type"))).alias("_all"))
+    first = F.filter("_all", lambda x, i: (i == 0) | (x["node"] != F.get("_all", i - 1)["node"]))
+    t = listed.select(doc, F.map_from_entries(first).alias("_types"))  # both ends are looked up in their document
+    kind = lambda end: F.try_element_at("_types", F.col(end))
+    rows = edges.join(t, doc, "left").select(*edges.columns, kind("source").alias("_s"), kind("target").alias("_t"))
     up = lambda name: closed.select(F.col("node").alias(name), F.col("ancestor"))
     allowed = relations.join(up("_s").withColumnRenamed("ancestor", "domain"), "domain").join(up("_t").withColumnRenamed("ancestor", "range"), "range").select(F.col("label").alias("relation"), "_s", "_t").distinct()
     known = relations.select(F.col("label").alias("relation"), F.lit(True).alias("_known")).distinct()
-    fits = allowed.withColumn("_fits", F.lit(True))
-    turned = allowed.select("relation", F.col("_s").alias("_t"), F.col("_t").alias("_s"), F.lit(True).alias("_turned"))
-    rows = rows.join(known, "relation", "left").join(fits, ["relation", "_s", "_t"], "left").join(turned, ["relation", "_s", "_t"], "left")
+    fits = allowed.select("relation", "_s", "_t", F.lit(True).alias("_fits"), F.lit(None).cast("boolean").alias("_turned"))
+    turned = allowed.select("relation", F.col("_t").alias("_s"), F.col("_s").alias("_t"), F.lit(None).cast("boolean").alias("_fits"), F.lit(True).alias("_turned"))
+    ways = fits.unionByName(turned).groupBy("relation", "_s", "_t").agg(F.max("_fits").alias("_fits"), F.max("_turned").alias("_turned"))
+    rows = rows.join(_sent_if_small(known, "relations"), "relation", "left").join(_sent_if_small(ways, "ways"), ["relation", "_s", "_t"], "left")
     free = F.col("_known").isNull() | (F.col("relation") == "isA")
     flip = ~free & F.col("_fits").isNull()
     rows = rows.filter(free | F.col("_fits").isNotNull() | F.col("_turned").isNotNull())
@@ -127,32 +143,108 @@ def numbered_nodes(nodes: DataFrame, doc: str, kind: str, order: str, prefix: st
 
 
 def undirected(edges: DataFrame, doc: str = "doc_id") -> DataFrame:
-    return edges.select(doc, "source", "target", "cost").union(edges.select(doc, F.col("target").alias("source"), F.col("source").alias("target"), "cost")).distinct()
+    """Each edge in both directions, once; edges that are partitioned by document stay where they are."""
+    end = lambda a, b: F.struct(F.col(a).alias("source"), F.col(b).alias("target"))
+    return edges.select(doc, "cost", F.explode(F.array(end("source", "target"), end("target", "source"))).alias("_e")).select(doc, "_e.*", "cost").distinct()
+
+
+@contextmanager
+def _served_by(spark: SparkSession):
+    """Joins on (document, node) are served by a partitioning by document; for plans that run inside."""
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def reach(starts: DataFrame, edges: DataFrame, max_rounds: int | None = None, doc: str = "doc_id", anchors: DataFrame | None = None) -> DataFrame:
+    """doc, node, dist, edges, pred for each node that can be reached from a start (which has pred null): the least cost (isA edges cost 0, others
+    1), by the fewest edges of those, and of the nodes before it the least. Over at most max_rounds edges, where stated; anchors are not passed.
+
+    No path leaves a document: edges and state are partitioned by document once a pass of HOP_ROUNDS rounds, and joins and minima within it
+    need no shuffle of their own. A pass ends in a written table, and the search when nothing was lowered."""
+    spark = starts.sparkSession
+    both = undirected(edges, doc)
+    if anchors is not None:
+        both = both.join(anchors.select(doc, F.col("node").alias("source")), [doc, "source"], "left_anti").join(anchors.select(doc, F.col("node").alias("target")), [doc, "target"], "left_anti")
+    with _served_by(spark):
+        both = _written(both.select(F.col(doc).alias("_d"), F.col("source").alias("_n"), "target", "cost"), "edges")
+        none = F.lit(None).cast(dict(both.dtypes)["_n"])
+        first = F.struct(F.lit(0).alias("dist"), F.lit(0).alias("edges"), none.alias("pred"))
+        now = starts.select(doc, "node").distinct().select(doc, "node", first.alias("best"), F.lit(True).alias("_changed"))
+        stay = F.struct("node", "best", F.lit(True).alias("_stays"))
+        further = F.struct((F.col("best.dist") + F.col("cost")).alias("dist"), (F.col("best.edges") + 1).alias("edges"), F.col("node").alias("pred"))
+        go = F.struct(F.col("target").alias("node"), further.alias("best"), F.lit(False).alias("_stays"))
+        left = max_rounds
+        while left is None or left > 0:
+            rounds = HOP_ROUNDS if left is None else min(left, HOP_ROUNDS)
+            now, dealt = now.repartition(F.col(doc)), both.repartition(F.col("_d"))
+            for _ in range(rounds):
+                # each round uses the last one once, so the plan grows by one join a round
+                moved = now.join(dealt, (F.col(doc) == F.col("_d")) & (F.col("node") == F.col("_n")) & F.col("_changed"), "left").select(doc, F.explode(F.array(stay, go)).alias("_m")).select(doc, "_m.*")
+                now = _settled(moved.filter("node is not null"), [doc, "node"], "best")
+            now = _written(now, "reached")
+            left = None if left is None else left - rounds
+            if not now.filter("_changed").head(1):
+                break
+    return now.select(doc, "node", "best.*")
 
 
 def hops(starts: DataFrame, edges: DataFrame, max_rounds: int | None = None, doc: str = "doc_id", anchors: DataFrame | None = None) -> DataFrame:
     """doc, node, dist: least cost (isA edges cost 0, others 1) from any start, or over at most max_rounds edges; anchors are not passed."""
-    both = undirected(edges, doc)
-    if anchors is not None:
-        both = both.join(anchors.select(doc, F.col("node").alias("source")), [doc, "source"], "left_anti").join(anchors.select(doc, F.col("node").alias("target")), [doc, "target"], "left_anti")
-    now = starts.select(doc, "node", F.lit(0).alias("dist")).distinct()
-    both = both.select(F.col(doc).alias("_d"), F.col("source").alias("_n"), "target", "cost")
-    if max_rounds is None:
-        both = _written(both, "edges")
-    stay = F.struct("node", "dist", F.lit(True).alias("_stays"))
-    go = F.struct(F.col("target").alias("node"), (F.col("dist") + F.col("cost")).alias("dist"), F.lit(False).alias("_stays"))
-
-    def step(now):
-        # each round uses the last one once, so the plan grows by one join a round
-        moved = now.join(both, (F.col(doc) == F.col("_d")) & (F.col("node") == F.col("_n")) & F.col("_changed"), "left").select(doc, F.explode(F.array(stay, go)).alias("_m")).select(doc, "_m.*")
-        return _settled(moved.filter("node is not null"), [doc, "node"], "dist")
-
-    if max_rounds is None:
-        return _until_same(now, step)
-    now = now.withColumn("_changed", F.lit(True))
-    for _ in range(max_rounds):
-        now = step(now)
-    return now.drop("_changed")
+    return reach(starts, edges, max_rounds, doc, anchors).select(doc, "node", "dist")
+
+
+def with_paths(reached: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """reach() with path: the nodes from the start on, the node itself last. Each round doubles the part of every path that is known, by a join of
+    each node with the one where its part begins."""
+    most = reached.agg(F.max("edges")).first()[0] or 0  # one number
+    now = _written(reached.withColumns({"_at": F.col("pred"), "path": F.array("node")}), "paths")
+    known = 1
+    while known <= most:
+        before = now.select(F.col(doc).alias("_d"), F.col("node").alias("_n"), F.col("_at").alias("_before"), F.col("path").alias("_more"))
+        joined = now.join(before, (F.col(doc) == F.col("_d")) & (F.col("_at") == F.col("_n")), "left")
+        grown = F.when(F.col("_n").isNull(), F.col("path")).otherwise(F.concat("_more", "path"))
+        now = _written(joined.select(*reached.columns, F.col("_before").alias("_at"), grown.alias("path")), "paths")
+        known *= 2
+    return now.drop("_at")
+
+
+def detail(nodes: DataFrame, found: DataFrame, discount: float = 0.5, doc: str = "doc_id") -> DataFrame:
+    """doc, node and detail (label, importance, weight, hop_distance, path, node_score) of each node. nodes: doc, node, label, importance, w, matched;
+    found: with_paths(). A matched node has hop distance 1; one that is not reached has none, an empty path and the score 0."""
+    rows = nodes.join(found.select(doc, "node", "dist", "path"), [doc, "node"], "left")
+    far = F.when(F.col("matched"), F.lit(1)).otherwise(F.col("dist") + 1)
+    path = F.when(F.col("matched"), F.array("node")).otherwise(F.coalesce("path", F.filter(F.array("node"), lambda _: F.lit(False))))
+    parts = {"label": F.coalesce("label", F.col("node").cast("string")), "importance": F.coalesce("importance", F.lit("important")), "weight": F.col("w"), "hop_distance": far, "path": path, "node_score": F.round(node_score(F.col("matched"), F.col("dist"), discount), 4)}
+    return rows.select(doc, "node", F.struct(*(c.alias(k) for k, c in parts.items())).alias("detail"))
+
+
+def detail_maps(details: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """doc, detail: a map from node to its detail."""
+    return details.groupBy(doc).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("node", "detail")))).alias("detail"))
+
+
+def explained(wanted: DataFrame, matches: DataFrame, by: list[str], title: str) -> DataFrame:
+    """by, explanation: a report of each pair of documents. wanted: by, node, type, label, importance, w of the query's nodes; matches: by, node, and other,
+    other_type, other_label, conf of the candidate's nodes that meet them. Nodes stand by id, matches by falling confidence, then by id."""
+    number = lambda c: F.format_string("%.2f", c)
+    match = F.struct((-F.col("conf")).alias("back"), "other", F.coalesce("other_type", F.lit("")).alias("type"), F.coalesce("other_label", F.col("other").cast("string")).alias("label"), "conf")
+    met = matches.groupBy(*by, "node").agg(F.array_sort(F.collect_list(match)).alias("met"))
+    rows = wanted.join(met, [*by, "node"], "left")
+    head = F.concat(F.lit("["), F.coalesce("type", F.lit("")), F.lit("] ["), F.coalesce("importance", F.lit("important")), F.lit("] "), F.coalesce("label", F.col("node").cast("string")), F.lit("  \u2192  "))
+    below = F.array_join(F.transform("met", lambda m: F.concat(F.lit("\n    ["), m["type"], F.lit("] "), m["label"], F.lit("  (conf="), number(m["conf"]), F.lit(")"))), "")
+    hit = F.concat(F.lit("\n\u2713 "), head, F.lit("+"), number(F.col("w") * F.col("met")[0]["conf"]), below)
+    line = F.coalesce(hit, F.concat(F.lit("\n\u2717 "), head, F.lit("-"), number(F.col("w")), F.lit("  (no match)")))
+    grouped = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("node", line.alias("line")))).alias("lines"), F.count("met").alias("n"), F.count("*").alias("all"))
+    text = F.concat_ws("\n", F.lit(title), F.lit("=" * 60), F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), F.format_string("\nSummary: %d matched, %d unmatched out of %d JD nodes", F.col("n"), F.col("all") - F.col("n"), F.col("all")))
+    return grouped.select(*by, text.alias("explanation"))
 
 
 def node_score(matched: Column, dist: Column, discount: float = 0.5) -> Column:
@@ -181,4 +273,4 @@ def first_matches(wanted: DataFrame, nodes: DataFrame, on: list[str], condition:
     return wanted.select(*keep).distinct().join(rows, keep, "left")
 
 
-__all__ = ["DEGENERATE", "ablated_score", "chains", "closure", "first_matches", "fixed_edges", "graph_score", "hops", "leaves", "matching_pair", "node_score", "numbered_nodes", "relation_bucket", "relative_gain", "shadows", "side", "undirected"]
+__all__ = ["DEGENERATE", "ablated_score", "chains", "closure", "detail", "detail_maps", "explained", "first_matches", "fixed_edges", "graph_score", "hops", "leaves", "matching_pair", "node_score", "numbered_nodes", "reach", "relation_bucket", "relative_gain", "shadows", "side", "undirected", "with_paths"]

@@ -48,7 +48,9 @@ _HOPS = _NODES + ", u AS (SELECT doc_id, source, target, cost FROM e UNION SELEC
 
 
 def _nodes(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("node"))
+    """Partitioned by document once, so that what goes by document, or by document and node, is not shuffled again."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("node"), "l_returnflag", "l_quantity", "l_linestatus")
+    rows = rows.repartition("doc_id").groupBy("doc_id", "node")
     return rows.agg(F.max(F.col("l_returnflag") == "R").alias("matched"), F.max(1 + F.col("l_quantity") % 5).alias("w"), F.min("l_linestatus").alias("type"))
 
 
@@ -63,6 +65,45 @@ def bfs_hops(spark, sf_dir):
     return G.hops(nodes.filter("matched"), _edges(nodes))
 
 
+_SIMPLE = (
+    _NODES
+    + """, u AS (SELECT doc_id, source, target, cost FROM e UNION SELECT doc_id, target, source, cost FROM e),
+ h(doc_id, node, d, i, r) AS (SELECT doc_id, node, 0, 0, [node] FROM v WHERE matched UNION ALL SELECT h.doc_id, u.target, h.d + u.cost, h.i + 1, list_prepend(u.target, h.r) FROM h JOIN u ON h.doc_id = u.doc_id AND h.node = u.source WHERE NOT list_contains(h.r, u.target)),
+ best AS (SELECT doc_id, node, d, list_reverse(r) AS path FROM h QUALIFY row_number() OVER (PARTITION BY doc_id, node ORDER BY d, i, r) = 1)"""
+)
+
+
+@query(
+    f"""WITH RECURSIVE {_SIMPLE} SELECT v.doc_id, v.node, (CASE WHEN matched THEN 1 ELSE d + 1 END)::INTEGER AS hop_distance, coalesce(array_to_string(path, '>'), '') AS path, w AS weight,
+ round(CASE WHEN matched THEN 1.0 WHEN d IS NOT NULL THEN pow(0.5, d) ELSE 0 END, 4)::DOUBLE AS node_score FROM v LEFT JOIN best b ON v.doc_id = b.doc_id AND v.node = b.node"""
+)
+def hop_paths(spark, sf_dir):
+    nodes = _nodes(spark, sf_dir).withColumns({"label": F.lit(None).cast("string"), "importance": F.lit(None).cast("string")})
+    found = G.with_paths(G.reach(nodes.filter("matched"), _edges(nodes)))
+    maps = G.detail_maps(G.detail(nodes, found))
+    rows = maps.select("doc_id", F.explode("detail").alias("node", "d")).select("doc_id", "node", "d.*")
+    return rows.select("doc_id", "node", "hop_distance", F.array_join(F.transform("path", lambda n: n.cast("string")), ">").alias("path"), "weight", "node_score")
+
+
+_EXPLAINED = """j AS (SELECT l_orderkey AS doc_id, l_partkey AS node, min(l_linestatus) AS type, CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE 'very important' END AS importance, any_value(p_name) AS label, (1 + l_partkey % 5)::DOUBLE AS w FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'N' GROUP BY l_orderkey, l_partkey),
+ c AS (SELECT l_orderkey AS doc_id, l_partkey AS other, min(l_linestatus) AS other_type, any_value(p_name) AS other_label, (1 + l_partkey % 4)::DOUBLE / 4 AS conf FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag <> 'N' GROUP BY l_orderkey, l_partkey),
+ m AS (SELECT j.doc_id, node, count(*) AS n, max(conf) AS top, string_agg(printf(chr(10) || '    [%s] %s  (conf=%.2f)', other_type, other_label, conf), '' ORDER BY conf DESC, other) AS lines FROM j JOIN c ON j.doc_id = c.doc_id AND node % 2 = other % 2 GROUP BY ALL),
+ l AS (SELECT j.doc_id, j.node, n, CASE WHEN n > 0 THEN printf(chr(10) || '✓ [%s] [%s] %s  →  +%.2f', type, coalesce(importance, 'important'), label, w * top) || lines ELSE printf(chr(10) || '✗ [%s] [%s] %s  →  -%.2f  (no match)', type, coalesce(importance, 'important'), label, w) END AS line FROM j LEFT JOIN m ON j.doc_id = m.doc_id AND j.node = m.node)"""
+
+
+@query(
+    f"WITH {_EXPLAINED} SELECT doc_id, 'MATCHES' || chr(10) || repeat('=', 60) || chr(10) || string_agg(line, chr(10) ORDER BY node) || chr(10) || printf('%sSummary: %d matched, %d unmatched out of %d JD nodes', chr(10), count(n), count(*) - count(n), count(*)) AS explanation FROM l GROUP BY doc_id"
+)
+def pair_explanations(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.col("p_name").alias("label"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_partkey").alias("node"), F.col("l_linestatus").alias("type"), (F.col("l_returnflag") == "N").alias("wanted"))
+    lines = lines.groupBy("doc_id", "node", "wanted").agg(F.min("type").alias("type")).join(part, "node")
+    wanted = lines.filter("wanted").select("doc_id", "node", "type", "label", F.when(F.col("node") % 3 != 0, "very important").alias("importance"), (1 + F.col("node") % 5).cast("double").alias("w"))
+    held = lines.filter("not wanted").select("doc_id", F.col("node").alias("other"), F.col("type").alias("other_type"), F.col("label").alias("other_label"), ((1 + F.col("node") % 4).cast("double") / 4).alias("conf"))
+    met = wanted.select("doc_id", "node", (F.col("node") % 2).alias("_k")).join(held.withColumn("_k", F.col("other") % 2), ["doc_id", "_k"]).drop("_k")
+    return G.explained(wanted, met, ["doc_id"], "MATCHES")
+
+
 _ON_SCALE = "round(greatest(1.0, least(10.0, 1 + 9 * (sum(w * (2 * s - 1)) + sum(w)) / (2 * sum(w)))), 6)"
 
 

@@ -218,3 +218,70 @@ def test_outcomes_of_a_batch(spark):
     inputs = spark.createDataFrame([(k,) for k in "abcdefgh"], "custom_id string")
     got = N.outcomes(inputs, spark.createDataFrame(results, "custom_id string, status_code int, error string"))
     assert {r["custom_id"]: r["category"] for r in got.collect()} == dict(zip("abcdefgh", ["success", "http_error", "other_error", "token_limit", "content_filter", "success", "http_error", "missing"]))
+
+
+def test_paths_of_least_cost(spark):
+    from collections import defaultdict
+    from heapq import heappop, heappush
+
+    rng = np.random.default_rng(9)
+    edges = {(d, *sorted(map(int, rng.choice(9, 2, replace=False)))): int(rng.integers(0, 2)) for d in range(12) for _ in range(11)}
+    starts, anchors = {(d, int(rng.integers(9))) for d in range(12) for _ in range(2)}, {(d, 8) for d in range(0, 12, 3)}
+    starts -= anchors
+    near = defaultdict(list)
+    for (d, a, b), c in edges.items():
+        if (d, a) not in anchors and (d, b) not in anchors:
+            near[d, a].append((b, c))
+            near[d, b].append((a, c))
+    want = {}
+    for d in range(12):
+        heap, seen = [(0, 0, (n,)) for e, n in starts if e == d], {}
+        heap.sort()
+        while heap:  # by cost, number of edges, and the path from its end
+            cost, n, path = heappop(heap)
+            if path[0] not in seen:
+                seen[path[0]] = (cost, n, path[::-1])
+                for other, c in near[d, path[0]]:
+                    heappush(heap, (cost + c, n + 1, (other, *path)))
+        want |= {(d, node): v for node, v in seen.items()}
+    df = spark.createDataFrame([(d, a, b, c) for (d, a, b), c in edges.items()], "doc_id int, source int, target int, cost int")
+    nodes = lambda rows: spark.createDataFrame(sorted(rows), "doc_id int, node int")
+    got = G.with_paths(G.reach(nodes(starts), df, anchors=nodes(anchors))).collect()
+    assert {(r["doc_id"], r["node"]): (r["dist"], r["edges"], tuple(r["path"])) for r in got} == want
+    bounded = G.hops(nodes(starts), df, 1, anchors=nodes(anchors)).collect()
+    assert {(r["doc_id"], r["node"]) for r in bounded} == {k for k, v in want.items() if v[1] <= 1} | {k for k in want if any((k[0], o) in starts for o, _ in near[k])}
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+    assert G.with_paths(G.reach(nodes(starts).limit(0), df)).count() == 0
+
+
+def test_paths_of_long_chains(spark):
+    n = 40
+    edges = spark.createDataFrame([(1, i, i + 1, i % 2) for i in range(n)], "doc_id int, source int, target int, cost int")
+    found = G.with_paths(G.reach(spark.createDataFrame([(1, 3)], "doc_id int, node int"), edges))
+    assert {r["node"]: r["path"] for r in found.collect()} == {i: list(range(3, i + 1)) if i >= 3 else list(range(3, i - 1, -1)) for i in range(n + 1)}
+
+
+def test_detail_of_a_score(spark):
+    nodes = spark.createDataFrame([("d", "a", "A", "important", 3.0, True), ("d", "b", None, None, 5.0, False), ("d", "c", "C", "x", 1.0, False)], "doc_id string, node string, label string, importance string, w double, matched boolean")
+    edges = spark.createDataFrame([("d", "a", "b", 1)], "doc_id string, source string, target string, cost int")
+    found = G.with_paths(G.reach(nodes.filter("matched"), edges))
+    got = G.detail_maps(G.detail(nodes, found)).first()["detail"]
+    assert {k: tuple(v) for k, v in got.items()} == {"a": ("A", "important", 3.0, 1, ["a"], 1.0), "b": ("b", "important", 5.0, 2, ["a", "b"], 0.5), "c": ("C", "x", 1.0, None, [], 0.0)}
+
+
+def test_explanation(spark):
+    wanted = spark.createDataFrame([("p", "n2", "S", "Java", None, 3.0), ("p", "n1", None, None, "very important", 4.0)], "pair string, node string, type string, label string, importance string, w double")
+    matches = spark.createDataFrame([("p", "n2", "c2", "T", "JVM", 0.5), ("p", "n2", "c1", None, None, 1.0), ("p", "n2", "c0", "T", "J", 0.5)], "pair string, node string, other string, other_type string, other_label string, conf double")
+    want = ["T", "=" * 60, "\n✗ [] [very important] n1  →  -4.00  (no match)", "\n✓ [S] [important] Java  →  +3.00", "    [] c1  (conf=1.00)", "    [T] J  (conf=0.50)", "    [T] JVM  (conf=0.50)", "\nSummary: 1 matched, 1 unmatched out of 2 JD nodes"]
+    assert G.explained(wanted, matches, ["pair"], "T").first()["explanation"] == "\n".join(want)
+
+
+def test_edges_that_fit(spark, monkeypatch):
+    edges = spark.createDataFrame([("d", "a", "b", "needs"), ("d", "b", "a", "needs"), ("d", "a", "a", "needs"), ("d", "a", "x", "isA"), ("d", "b", "a", "free"), ("e", "a", "b", "needs")], "doc_id string, source string, target string, relation string")
+    types = spark.createDataFrame([("d", "a", "F"), ("d", "b", "O"), ("d", "a", "F"), ("d", "a", "Z")], "doc_id string, node string, type string")
+    relations = spark.createDataFrame([("needs", "Finished", "Open"), ("isA", "Open", "Open")], "label string, domain string, range string")
+    closed = G.closure(spark.createDataFrame([("F", "Finished"), ("O", "Open")], "child string, parent string"))
+    for limit in (200_000, 0):  # sent to all tasks, and joined
+        monkeypatch.setattr(G, "SENT_ROWS", limit)
+        got = G.fixed_edges(edges, types, relations, closed)
+        assert sorted(map(tuple, got.collect())) == [("d", "a", "b", "needs"), ("d", "a", "x", "isA"), ("d", "b", "a", "free")]
