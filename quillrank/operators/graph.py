@@ -6,6 +6,7 @@ Without a stated depth, what was found is written to the shared folder every ROU
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -44,10 +45,10 @@ def _written(rows: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def _sent_if_small(rows: DataFrame, name: str) -> DataFrame:
-    """rows as a written table, sent to all tasks if it has at most SENT_ROWS rows."""
+def _sent_if_small(rows: DataFrame, name: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """rows as a written table, and what sends parts of it to all tasks if it has at most SENT_ROWS rows, or leaves them as they are."""
     rows = _written(rows, name)
-    return F.broadcast(rows) if rows.count() <= SENT_ROWS else rows
+    return rows, F.broadcast if rows.count() <= SENT_ROWS else lambda part: part
 
 
 def _settled(moved: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -111,11 +112,14 @@ def fixed_edges(edges: DataFrame, types: DataFrame, relations: DataFrame, closed
     rows = edges.join(t, doc, "left").select(*edges.columns, kind("source").alias("_s"), kind("target").alias("_t"))
     up = lambda name: closed.select(F.col("node").alias(name), F.col("ancestor"))
     allowed = relations.join(up("_s").withColumnRenamed("ancestor", "domain"), "domain").join(up("_t").withColumnRenamed("ancestor", "range"), "range").select(F.col("label").alias("relation"), "_s", "_t").distinct()
-    known = relations.select(F.col("label").alias("relation"), F.lit(True).alias("_known")).distinct()
-    fits = allowed.select("relation", "_s", "_t", F.lit(True).alias("_fits"), F.lit(None).cast("boolean").alias("_turned"))
-    turned = allowed.select("relation", F.col("_t").alias("_s"), F.col("_s").alias("_t"), F.lit(None).cast("boolean").alias("_fits"), F.lit(True).alias("_turned"))
-    ways = fits.unionByName(turned).groupBy("relation", "_s", "_t").agg(F.max("_fits").alias("_fits"), F.max("_turned").alias("_turned"))
-    rows = rows.join(_sent_if_small(known, "relations"), "relation", "left").join(_sent_if_small(ways, "ways"), ["relation", "_s", "_t"], "left")
+    yes, no = F.lit(True), F.lit(None).cast("boolean")
+    fits = allowed.select("relation", "_s", "_t", yes.alias("_fits"), no.alias("_turned"))
+    turned = allowed.select("relation", F.col("_t").alias("_s"), F.col("_s").alias("_t"), no.alias("_fits"), yes.alias("_turned"))
+    named = relations.select(F.col("label").alias("relation"), *(F.lit(None).cast("string").alias(c) for c in ("_s", "_t")), no.alias("_fits"), no.alias("_turned"))
+    ways = fits.unionByName(turned).unionByName(named).groupBy("relation", "_s", "_t").agg(F.max("_fits").alias("_fits"), F.max("_turned").alias("_turned"))
+    ways, sent = _sent_if_small(ways, "ways")
+    known = sent(ways.filter("_s is null and _fits is null and _turned is null").select("relation", yes.alias("_known")))
+    rows = rows.join(known, "relation", "left").join(sent(ways.filter("_fits or _turned")), ["relation", "_s", "_t"], "left")
     free = F.col("_known").isNull() | (F.col("relation") == "isA")
     flip = ~free & F.col("_fits").isNull()
     rows = rows.filter(free | F.col("_fits").isNotNull() | F.col("_turned").isNotNull())
