@@ -31,21 +31,87 @@ def damaged_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.select(kept["_line"].alias("line")).filter("line is not null")
 
 
-def json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Whole files of one object or list each; files that can't be read are left out."""
+def json_document(spark: SparkSession, path: str, schema: str, default: DataFrame | None = None) -> DataFrame:
+    """Whole files of one object or list each; files that can't be read are left out. default is what stands for a path without files."""
+    if default is not None and not exists(spark, path):
+        return default
     return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
 
 
+def files(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files that a path (with wildcards, or a folder) stands for, as Spark gives them; hidden ones are left out."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs, out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), []
+    for status in fs.globStatus(at) or []:
+        found = fs.listFiles(status.getPath(), True)
+        while found.hasNext():
+            name = found.next().getPath().toString()
+            out += [name] if not name.rsplit("/", 1)[1].startswith(("_", ".")) else []
+    return out
+
+
+def json_documents(spark: SparkSession, paths: list[str], schema: str) -> tuple[DataFrame, DataFrame]:
+    """(rows with the file each came from as path, report) of files that hold one JSON object each; paths may have wildcards.
+
+    report has path and problem: missing for a path without files, unreadable for a file whose text is no object of the schema. The good files'
+    rows don't depend on the others."""
+    names = {p: files(spark, p) for p in paths}
+    listed = spark.createDataFrame([(f,) for found in names.values() for f in found], "path STRING").distinct()
+    missing = spark.createDataFrame([(p, "missing") for p, found in names.items() if not found], "path STRING, problem STRING")
+    if not any(names.values()):
+        return spark.createDataFrame([], f"{schema}, path STRING"), missing
+    texts = spark.read.text([p for p, found in names.items() if found], wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    rows = texts.select("path", F.from_json("value", f"{schema}, _damaged STRING", {"columnNameOfCorruptRecord": "_damaged"}).alias("d"))
+    good = rows.filter(F.col("d").isNotNull() & F.col("d._damaged").isNull()).select("d.*", "path").drop("_damaged")
+    return good, missing.union(listed.join(good.select("path"), "path", "left_anti").withColumn("problem", F.lit("unreadable")))
+
+
+def experiments(spark: SparkSession, folder: str, names: list[str], fallback: dict[str, DataFrame] | None = None) -> tuple[DataFrame | None, DataFrame]:
+    """(rows of all experiments with their name, report) of folder/<name>.parquet; a name without a file takes its fallback, if it has one.
+
+    report has name and problem: missing, or unreadable where no schema can be read. Experiments may differ in columns; what one lacks is null.
+    Without any rows the first is None."""
+    out, report = None, []
+    for name in names:  # as many as the caller names; only footers are read
+        path = f"{folder.rstrip('/')}/{name}.parquet"
+        rows, problem = None, None
+        if not exists(spark, path):
+            problem, rows = "missing", (fallback or {}).get(name)
+        else:
+            try:
+                rows = spark.read.parquet(path)
+            except Exception as e:  # Spark's errors of analysis and of tasks, whatever the store
+                problem = f"unreadable: {type(e).__name__}"
+        if problem:
+            report.append((name, problem))
+        if rows is not None:
+            rows = rows.withColumn("experiment", F.lit(name))
+            out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out, spark.createDataFrame(report, "experiment STRING, problem STRING")
+
+
 def table(spark: SparkSession, path: str, schema: str, columns: list[str] | None = None, rename: dict[str, str] | None = None, sep: str = "\t") -> DataFrame:
     """A delimited file with a header, of which columns are read and renamed."""
     rows = spark.read.schema(schema).option("header", True).option("sep", sep).option("quote", '"').csv(path)
     return rows.select(*(columns or rows.columns)).withColumnsRenamed(rename or {})
 
 
-def employment(spark: SparkSession, path: str) -> DataFrame:
-    """SOC_BASE, TOT_EMP of a CSV export, one row a code (the largest figure)."""
-    rows = table(spark, path, "SOC_BASE STRING, TOT_EMP STRING", sep=",")
-    return rows.groupBy("SOC_BASE").agg(F.max(F.translate("TOT_EMP", ",", "").try_cast("double")).alias("TOT_EMP"))
+def workbook(spark: SparkSession, path: str, schema: str, **options: str) -> DataFrame:
+    """Rows of a sheet of an XLSX file, or of all such files in a folder, by the names in its header."""
+    from .xlsx import XlsxSource
+
+    spark.dataSource.register(XlsxSource)
+    return spark.read.format("xlsx").schema(schema).options(**options).load(path)
+
+
+def employment(spark: SparkSession, path: str, code: str = "OCC_CODE", total: str = "TOT_EMP") -> DataFrame:
+    """SOC_BASE, TOT_EMP of a workbook (.xlsx) or a CSV export, one row a code: the first. Figures may have commas; what is no number is null."""
+    if path.lower().endswith(".xlsx"):
+        rows = workbook(spark, path, f"`{code}` STRING, `{total}` STRING, _row BIGINT")
+    else:
+        rows = spark.read.option("header", True).csv(path).withColumn("_row", F.monotonically_increasing_id())
+    rows = rows.select(F.col(code).alias("SOC_BASE"), F.translate(total, ",", "").try_cast("double").alias("_n"), "_row")
+    return rows.groupBy("SOC_BASE").agg(F.min_by(F.struct("_n"), "_row")["_n"].alias("TOT_EMP"))
 
 
 def occupation_reference(spark: SparkSession, path: str) -> DataFrame:
@@ -66,6 +132,14 @@ def parquet(spark: SparkSession, path: str, fallback: DataFrame | None = None) -
     return spark.read.parquet(path)
 
 
+def stage_table(spark: SparkSession, path: str) -> DataFrame:
+    """The table that writers.stage_table wrote; a swap that was stopped is ended first."""
+    from .writers import ended_swap
+
+    ended_swap(spark, path)
+    return spark.read.parquet(path)
+
+
 def job_files(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
     """Rows of all files that match, with the batch that each one's name begins with; an error if none does."""
     if not exists(spark, pattern):

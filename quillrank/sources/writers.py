@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,8 @@ def jsonl(df: DataFrame, path: str, append: bool = False) -> None:
 
 
 def by_experiment(df: DataFrame, path: str, column: str = "experiment") -> None:
-    df.write.mode("overwrite").partitionBy(column).parquet(path)
+    """A folder for each experiment; those in df are replaced, and all others stay."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
 
 
 def summary_csv(df: DataFrame, path: str, first: str = "group", digits: int = 6) -> None:
@@ -67,11 +70,44 @@ def step_log(df: DataFrame, path: str, step: str = "step") -> None:
     df.write.mode("append").partitionBy(step).json(path)
 
 
+def _fs(spark: SparkSession, path: str):
+    """(file system, what makes a path) of Hadoop's API."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def ended_swap(spark: SparkSession, path: str) -> None:
+    """End a swap that was stopped after it was decided: its manifest stands beside path and names the new table."""
+    fs, at = _fs(spark, path)
+    decided, old = at(f"{path}_swap"), at(f"{path}_old")
+    if not fs.exists(decided):
+        return
+    stream = fs.open(decided)
+    new = at(stream.readUTF())
+    stream.close()
+    if fs.exists(new):
+        if fs.exists(at(path)):
+            fs.delete(old, True)
+            fs.rename(at(path), old)
+        fs.rename(new, at(path))
+    fs.delete(old, True)
+    fs.delete(decided, False)
+
+
 def stage_table(df: DataFrame, path: str) -> None:
-    """A stage's table in place of the last: under another name first, so that df may be read from path."""
+    """A stage's table in place of the last, from which df may be read. It is written whole under another name; a manifest then decides the swap, which is
+    two renames. Stopped before, the old table stands; stopped after, the new one is complete, and reading or writing the stage ends the swap."""
     spark = df.sparkSession
-    df.write.mode("overwrite").parquet(f"{path}_next")
-    spark.read.parquet(f"{path}_next").write.mode("overwrite").parquet(path)
+    ended_swap(spark, path)
+    fs, at = _fs(spark, path)
+    new = f"{path}_next-{uuid.uuid4().hex}"
+    df.write.parquet(new)
+    draft = at(f"{new}_swap")
+    stream = fs.create(draft, True)
+    stream.writeUTF(new)
+    stream.close()
+    fs.rename(draft, at(f"{path}_swap"))
+    ended_swap(spark, path)
 
 
 def schema_dump(classes: DataFrame, relations: DataFrame, path: str) -> None:
