@@ -13,74 +13,16 @@ ACTION_VERBS = "led managed built developed designed created launched delivered
 IMPORTANCE = {"not important": 1.0, "somewhat important": 2.0, "important": 3.0, "very important": 4.0, "extremely important": 5.0}
 
 
-def sentences(text: Column) -> Column:
-    return F.filter(F.split(text, r"[.!?]+"), lambda s: F.trim(F.regexp_replace(s, r"\s+", " ")) != "")
-
-
-def words(text: Column) -> Column:
-    """Runs of ASCII letters, digits and apostrophes."""
-    return F.filter(F.split(text, r"[^a-zA-Z0-9']+"), lambda w: w != "")
-
-
-def alphabetic(tokens: Column) -> Column:
-    return F.filter(tokens, lambda w: w.rlike("^[a-zA-Z]+$"))
-
-
 def ratio(part: Column, whole: Column) -> Column:
     """part / whole, and 0 where whole is 0."""
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
 
-def plain_tokens(text: Column) -> Column:
-    """Runs of [a-z0-9_] of the lower-case text: what stands between word ends, an apostrophe being one."""
-    return F.split(F.lower(text), "[^a-z0-9_]+")
-
-
-def numbers(tokens: Column) -> Column:
-    """How many tokens are digits throughout."""
-    return F.size(F.filter(tokens, lambda w: w.rlike("^[0-9]+$")))
-
-
 def capitals(tokens: Column) -> Column:
     """How many tokens of two signs or more have letters, all upper case."""
     return F.size(F.filter(tokens, lambda w: (F.length(w) > 1) & w.rlike("[A-Z]") & ~w.rlike("[a-z]")))
 
 
-def count_words(tokens: Column, wanted: list[str]) -> Column:
-    return F.size(F.filter(tokens, lambda w: F.lower(w).isin(*wanted)))
-
-
-# The next five go over a whole text in linear passes, without a lambda for each word. They need flat().
-def flat(text: Column) -> Column:
-    """The words of text in lower case, between single spaces."""
-    return F.lower(F.regexp_replace(text, "[^a-zA-Z0-9']+", " "))
-
-
-def flat_alphabetic(flat_text: Column) -> Column:
-    """flat() without words that hold digits or apostrophes; more than one space may stand between words."""
-    return F.regexp_replace(flat_text, "(?<![^ ])[a-z]*+[0-9'][a-z0-9']*+", "")
-
-
-def flat_words(flat_text: Column) -> Column:
-    return F.array_remove(F.split(flat_text, " "), "")
-
-
-def count_sentences(text: Column) -> Column:
-    """As many as sentences() gives: parts between marks that hold more than white space."""
-    return F.regexp_count(text, F.lit(r"[^.!?\s][^.!?]*+"))
-
-
-def count_syllables(letters: Column) -> Column:
-    """Groups of vowels of each word after its final e's are cut, 1 at least, summed over flat_alphabetic() text."""
-    cut = F.regexp_replace(letters, "(?<!e)e++(?![a-z])", "")
-    voiced = F.regexp_count(cut, F.lit("(?<![a-z])[b-df-hj-np-tv-z]*+[aeiou]"))
-    return F.regexp_count(cut, F.lit("[aeiou]++")) + F.size(flat_words(letters)) - voiced
-
-
-def total_length(tokens: Column) -> Column:
-    return F.aggregate(tokens, F.lit(0), lambda a, w: a + F.length(w))
-
-
 def hapaxes(tokens: Column) -> Column:
     """How many distinct tokens stand once: in sorted order, those that differ from both neighbours."""
 
@@ -91,35 +33,11 @@ def hapaxes(tokens: Column) -> Column:
     return F.get(F.transform(F.array(F.array_sort(tokens)), alone), 0)
 
 
-def flesch(n_words: Column, n_sentences: Column, n_syllables: Column) -> Column:
-    """Reading ease within 0 ... 100; 0 without words or sentences."""
-    ease = 206.835 - 1.015 * (n_words / n_sentences) - 84.6 * (n_syllables / n_words)
-    return F.when((n_words > 0) & (n_sentences > 0), F.greatest(F.lit(0.0), F.least(F.lit(100.0), ease))).otherwise(F.lit(0.0))
-
-
-def characters(text: Column) -> Column:
-    return F.length(F.replace(F.replace(text, F.lit(" ")), F.lit("\n")))
-
-
-def punctuation(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, "[^.,;:!?]++", ""))
-
-
-def bullets(text: Column) -> Column:
-    """Lines that begin with a bullet sign or a number and a dot."""
-    return F.size(F.filter(F.split(text, "\n"), lambda line: line.rlike(r"^[ \t]*([-*\x{2022}]|[0-9]+\.)[ \t]")))
-
-
 def token_set(text: Column) -> Column:
     """Distinct lower-case tokens of [a-z0-9]."""
     return F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != ""))
 
 
-def content_tokens(text: Column) -> Column:
-    """Lower-case words of [a-z], in order, without stop words."""
-    return F.filter(F.split(F.lower(text), "[^a-z]+"), lambda w: (w != "") & ~w.isin(*STOP_WORDS))
-
-
 def jaccard(a: Column, b: Column) -> Column:
     """Of arrays without repeats; 0 if both are empty."""
     return ratio(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b)))

@@ -13,7 +13,7 @@ DEGENERATE = 5.5
 #: Kinds whose weight is fixed, and which match by level instead of by code.
 LEVEL_KINDS, LEVEL_WEIGHT = ("required education", "related experience"), 5.0
 # The eight kinds of items.
-KINDS = ["skill", "knowledge", "ability", "work style", "tech skill", "task", "required education", "related experience"]
+KINDS = ["skill", "knowledge", "abilities", "task", "tech_skill", "work_style", "required education", "related experience"]
 
 
 def items(profiles: DataFrame, profile: str, *keys: str) -> DataFrame:
@@ -21,9 +21,10 @@ def items(profiles: DataFrame, profile: str, *keys: str) -> DataFrame:
     return profiles.select(*keys, F.explode(profile).alias("code", "_i")).select(*keys, "code", "_i.*")
 
 
-def item_map(rows: DataFrame, by: list[str], code: str, *fields: str) -> DataFrame:
-    """by, profile: a map of structs; of items with one code, that with the largest fields stays."""
-    one = rows.groupBy(*by, code).agg(F.max(F.struct(*fields)).alias("_i"))
+def item_map(rows: DataFrame, by: list[str], code: str, *fields: str, order: list[str] | None = None) -> DataFrame:
+    """by, profile: a map of structs; of items with one code the last by order stays (without an order, that with the largest fields)."""
+    item = F.struct(*fields)
+    one = rows.groupBy(*by, code).agg((F.max_by(item, F.struct(*order, *fields)) if order else F.max(item)).alias("_i"))
     return one.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(code, "_i")))).alias("profile"))
 
 

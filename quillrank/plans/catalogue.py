@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import extraction, generation, graphs, profiles, ranking, relational, statistics, text  # noqa: F401
+from . import extraction, features, generation, graphs, profiles, ranking, relational, statistics, text  # noqa: F401
 from .tables import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import completions as C
+from ..functions import linguistics as Z
 from ..functions import text as X
 from .tables import query, rounded, spread, table
 
@@ -38,22 +40,45 @@ def repair_json(spark, sf_dir):
     return _completions(spark, sf_dir).select("event_id", C.repaired_json("raw").alias("repaired"))
 
 
-_WORDS = "d AS (SELECT doc_id, text, list_filter(string_split_regex(text, '[^a-zA-Z0-9'']+'), lambda w: w <> '') AS w, list_filter(string_split_regex(text, '[.!?]+'), lambda s: trim(regexp_replace(s, '\\s+', ' ', 'g')) <> '') AS s FROM documents), e AS (SELECT *, list_filter(w, lambda x: regexp_full_match(x, '[a-zA-Z]+')) AS a, list_transform(w, lambda x: lower(x)) AS lw FROM d)"
+# The rules of words in SQL whose regular expressions have no look-around: runs of letters, digits, underscores and apostrophes, without apostrophes at
+# their ends, are cut where a part between apostrophes holds anything but ASCII letters and digits.
+_SPACE = r"\t\n\x0B\f\r\x1c-\x1f \x{85}\pZ"
+_LING = rf"""d AS (SELECT doc_id, CASE WHEN regexp_matches(text, '[^{_SPACE}]') THEN text END AS text FROM documents),
+ v AS (SELECT *, list_filter(string_split(array_to_string(list_transform(regexp_extract_all(text, '[\pL\pN_'']+'), lambda r: regexp_replace(trim(r, ''''), '[\pL\pN_]*[^a-zA-Z0-9''][\pL\pN_]*', ' ', 'g')), ' '), ' '), lambda w: w <> '') AS w,
+  len(list_filter(string_split_regex(text, '[.!?]+'), lambda s: regexp_matches(s, '[^{_SPACE}]'))) AS s, length(translate(text, ' ' || chr(10), '')) AS c, len(regexp_extract_all(text, '[!-/:-@\[-`{{-~]')) AS p,
+  len(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(text, '\pL', 'x', 'g'), '\p{{Nd}}', '0', 'g'), '[\p{{No}}\p{{Nl}}]', 'x', 'g'), '(?m:^)[{_SPACE}]*[-*•–]|\b[0-9]+\.[{_SPACE}]')) AS b FROM d),
+ e AS (SELECT *, list_transform(w, lambda x: lower(x)) AS lw, list_filter(w, lambda x: regexp_matches(x, '[a-zA-Z]')) AS a FROM v),
+ h AS (SELECT doc_id, count(*) FILTER (n = 1) AS hapax FROM (SELECT doc_id, t, count(*) AS n FROM (SELECT doc_id, unnest(lw) AS t FROM e) GROUP BY ALL) GROUP BY doc_id),
+ f AS (SELECT e.*, CASE WHEN text IS NOT NULL THEN coalesce(hapax, 0) END AS hapax, len(w)::DOUBLE / greatest(s, 1) AS per_sentence, coalesce(list_sum(list_transform(a, lambda x: greatest(1, len(regexp_extract_all(regexp_replace(lower(x), 'e+$', ''), '[aeiou]+'))))), CASE WHEN text IS NOT NULL THEN 0 END) AS y FROM e LEFT JOIN h USING (doc_id))"""
 
 
 def _texts(spark, sf_dir):
     return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-def _words(spark, sf_dir):
-    rows = _texts(spark, sf_dir).select("doc_id", "text", X.words(F.col("text")).alias("w"), X.sentences(F.col("text")).alias("s"))
-    return rows.withColumns({"a": X.alphabetic(F.col("w")), "lw": F.transform("w", lambda x: F.lower(x))})
+def _features(spark, sf_dir):
+    return Z.features(_texts(spark, sf_dir), "text", "t")
 
 
-@query(f"WITH {_WORDS} SELECT doc_id, len(w) AS n_words, len(s) AS n_sentences, length(translate(text, ' ' || chr(10), '')) AS n_chars, len(list_distinct(lw)) AS n_distinct, length(text) - length(translate(text, '.,;:!?', '')) AS n_punctuation FROM e")
-def ling_counts(spark, sf_dir):
-    text, words = F.col("text"), X.flat_words(X.flat(F.col("text")))
-    return _texts(spark, sf_dir).select("doc_id", F.size(words).alias("n_words"), X.count_sentences(text).alias("n_sentences"), X.characters(text).alias("n_chars"), F.size(F.array_distinct(words)).alias("n_distinct"), X.punctuation(text).alias("n_punctuation"))
+_LONG = {
+    "word_count": "len(w)",
+    "sentence_count": "s",
+    "char_count": "c",
+    "avg_word_len": "list_sum(list_transform(a, lambda x: length(x)))::DOUBLE / nullif(len(a), 0)",
+    "avg_sentence_len": "CASE WHEN text IS NOT NULL THEN per_sentence END",
+    "type_token_ratio": "len(list_distinct(lw))::DOUBLE / nullif(len(w), 0)",
+    "hapax_ratio": "hapax::DOUBLE / nullif(len(w), 0)",
+    "stopword_ratio": "len(list_filter(lw, lambda x: list_contains({stop}, x)))::DOUBLE / nullif(len(w), 0)",
+    "number_ratio": "len(list_filter(w, lambda x: regexp_full_match(x, '[0-9]+')))::DOUBLE / nullif(len(w), 0)",
+    "uppercase_ratio": "len(list_filter(w, lambda x: length(x) > 1 AND regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]')))::DOUBLE / nullif(len(w), 0)",
+    "avg_syllables_per_word": "y::DOUBLE / nullif(len(a), 0)",
+    "flesch_reading_ease": "CASE WHEN len(a) > 0 THEN greatest(0.0, least(100.0, 206.835 - 1.015 * per_sentence - 84.6 * (y::DOUBLE / len(a)))) END",
+    "punctuation_density": "p::DOUBLE / nullif(c, 0)",
+    "bullet_count": "b",
+    "punctuation": "p",
+    "syllables": "y",
+    "distinct": "len(list_distinct(lw))",
+}
 
 
 def _sql_list(words):
@@ -63,23 +88,41 @@ def _sql_list(words):
 _STOP = _sql_list(X.STOP_WORDS)
 
 
-@query(f"WITH {_WORDS}, h AS (SELECT doc_id, count(*) FILTER (n = 1) AS hapax FROM (SELECT doc_id, t, count(*) AS n FROM (SELECT doc_id, unnest(lw) AS t FROM e) GROUP BY ALL) GROUP BY doc_id) SELECT e.doc_id, round(CASE WHEN len(w) > 0 THEN len(list_distinct(lw))::DOUBLE / len(w) ELSE 0 END, 6) AS type_token, round(CASE WHEN len(w) > 0 THEN coalesce(hapax, 0)::DOUBLE / len(w) ELSE 0 END, 6) AS hapax_ratio, round(CASE WHEN len(w) > 0 THEN len(list_filter(lw, lambda x: list_contains({_STOP}, x)))::DOUBLE / len(w) ELSE 0 END, 6) AS stop_ratio, round(CASE WHEN len(w) > 0 THEN list_sum(list_transform(w, lambda x: length(x)))::DOUBLE / len(w) ELSE 0 END, 6) AS word_length, round(len(w)::DOUBLE / greatest(1, len(s)), 6) AS sentence_length, round(CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: regexp_full_match(x, '[0-9]+')))::DOUBLE / len(w) ELSE 0 END, 6) AS number_ratio, round(CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: length(x) > 1 AND x = upper(x) AND regexp_matches(x, '[A-Z]')))::DOUBLE / len(w) ELSE 0 END, 6) AS upper_ratio FROM e LEFT JOIN h ON e.doc_id = h.doc_id")
+def _ling_sql(**named: str) -> str:
+    """SQL of features under other names; shares are rounded."""
+    cells = {k: _LONG[v].format(stop=_STOP) for k, v in named.items()}
+    return f"WITH {_LING} SELECT doc_id, " + ", ".join(f"round({c}, 6) AS {k}" if "/" in c or "per_" in c else f"({c})::BIGINT AS {k}" for k, c in cells.items()) + " FROM f"
+
+
+def _named(rows, **named: str):
+    kind = dict(rows.dtypes)
+    return rounded(rows.select("doc_id", *(F.col(f"t_{v}").cast("double" if kind[f"t_{v}"] == "double" else "long").alias(k) for k, v in named.items())))
+
+
+_COUNTS = {"n_words": "word_count", "n_sentences": "sentence_count", "n_chars": "char_count", "n_distinct": "distinct", "n_punctuation": "punctuation", "punctuation_density": "punctuation_density"}
+_RATIOS = {"type_token": "type_token_ratio", "hapax_ratio": "hapax_ratio", "stop_ratio": "stopword_ratio", "word_length": "avg_word_len", "sentence_length": "avg_sentence_len", "number_ratio": "number_ratio", "upper_ratio": "uppercase_ratio"}
+_EASE = {"n_syllables": "syllables", "syllables_per_word": "avg_syllables_per_word", "flesch": "flesch_reading_ease"}
+_FOURTEEN = {f: f for f in Z.FEATURES}
+
+
+@query(_ling_sql(**_COUNTS))
+def ling_counts(spark, sf_dir):
+    return _named(_features(spark, sf_dir), **_COUNTS)
+
+
+@query(_ling_sql(**_RATIOS))
 def ling_ratios(spark, sf_dir):
-    n = F.size("w")
-    rows = _words(spark, sf_dir)
-    return rounded(
-        rows.select(
-            "doc_id", X.ratio(F.size(F.array_distinct("lw")), n).alias("type_token"), X.ratio(X.hapaxes(F.col("lw")), n).alias("hapax_ratio"), X.ratio(X.count_words(F.col("w"), X.STOP_WORDS), n).alias("stop_ratio"), X.ratio(X.total_length(F.col("w")), n).alias("word_length"),
-            (n / F.greatest(F.lit(1), F.size("s"))).alias("sentence_length"), X.ratio(X.numbers(F.col("w")), n).alias("number_ratio"), X.ratio(X.capitals(F.col("w")), n).alias("upper_ratio")
-        )
-    )
+    return _named(_features(spark, sf_dir), **_RATIOS)
 
 
-@query(f"WITH {_WORDS}, f AS (SELECT doc_id, len(a) AS nw, len(s) AS ns, list_sum(list_transform(a, lambda x: greatest(1, len(regexp_extract_all(regexp_replace(lower(x), 'e+$', ''), '[aeiou]+'))))) AS ny FROM e) SELECT doc_id, coalesce(ny, 0)::INTEGER AS n_syllables, round(CASE WHEN nw > 0 AND ns > 0 THEN greatest(0.0, least(100.0, 206.835 - 1.015 * (nw::DOUBLE / ns) - 84.6 * (ny::DOUBLE / nw))) ELSE 0 END, 6) AS flesch FROM f")
+@query(_ling_sql(**_EASE))
 def flesch(spark, sf_dir):
-    letters = X.flat_alphabetic(X.flat(F.col("text")))
-    rows = _texts(spark, sf_dir).select("doc_id", F.size(X.flat_words(letters)).alias("nw"), X.count_sentences(F.col("text")).alias("ns"), F.coalesce(X.count_syllables(letters), F.lit(0)).alias("n_syllables"))
-    return rounded(rows.select("doc_id", "n_syllables", X.flesch(F.col("nw"), F.col("ns"), F.col("n_syllables")).alias("flesch")))
+    return _named(_features(spark, sf_dir), **_EASE)
+
+
+@query(_ling_sql(**_FOURTEEN))
+def ling_features(spark, sf_dir):
+    return _named(_features(spark, sf_dir), **_FOURTEEN)
 
 
 _TURNS = "t AS (SELECT conv_id, max(text) FILTER (turn = 0) AS cv, max(text) FILTER (turn = 1) AS jd FROM conversations GROUP BY conv_id)"
@@ -97,13 +140,22 @@ def token_jaccard(spark, sf_dir):
     return rounded(rows.select("conv_id", X.jaccard(F.col("a"), F.col("b")).alias("jaccard"), X.coverage(F.col("b"), F.col("a")).alias("coverage")))
 
 
-_CONTENT = "list_filter(string_split_regex(lower(coalesce({c}, '')), '[^a-z]+'), lambda w: w <> '' AND NOT list_contains(" + _STOP + ", w))"
+# Neighbouring turns of a conversation are the pair; a conversation of one turn has none.
+_NEXT = "t AS (SELECT conv_id, turn, text AS cv, lead(text) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS jd FROM conversations)"
+_CONTENT = r"list_filter(string_split_regex(lower({c}), '[^\pL\pN_]+'), lambda w: regexp_full_match(w, '[a-z]+') AND NOT list_contains(" + _STOP + ", w))"
+_PAIRS_OF = "list_distinct(list_transform(range(1, len({c})), lambda i: {c}[i] || ' ' || {c}[i + 1]))"
 
 
-@query(f"WITH {_TURNS}, c AS (SELECT conv_id, {_CONTENT.format(c='cv')} AS a, {_CONTENT.format(c='jd')} AS b FROM t), g AS (SELECT conv_id, list_distinct(a) AS a, list_distinct(b) AS b, list_distinct(list_transform(range(1, len(a)), lambda i: a[i] || ' ' || a[i + 1])) AS x, list_distinct(list_transform(range(1, len(b)), lambda i: b[i] || ' ' || b[i + 1])) AS y FROM c) SELECT conv_id, round(CASE WHEN len(b) > 0 THEN len(list_intersect(a, b))::DOUBLE / len(b) ELSE 0 END, 6) AS coverage, round(CASE WHEN len(list_distinct(list_concat(x, y))) > 0 THEN len(list_intersect(x, y))::DOUBLE / len(list_distinct(list_concat(x, y))) ELSE 0 END, 6) AS bigram_jaccard FROM g")
+@query(
+    f"""WITH {_NEXT}, c AS (SELECT conv_id, turn, cv, jd, {_CONTENT.format(c="cv")} AS a, {_CONTENT.format(c="jd")} AS b FROM t),
+ g AS (SELECT *, list_distinct(a) AS p, list_distinct(b) AS q, {_PAIRS_OF.format(c="a")} AS x, {_PAIRS_OF.format(c="b")} AS y FROM c WHERE cv IS NOT NULL AND jd IS NOT NULL)
+ SELECT conv_id, turn, round(len(list_intersect(p, q))::DOUBLE / nullif(len(list_distinct(list_concat(p, q))), 0), 6) AS token_jaccard, round(len(list_intersect(p, q))::DOUBLE / nullif(len(q), 0), 6) AS jd_coverage,
+  round(len(list_intersect(x, y))::DOUBLE / nullif(len(list_distinct(list_concat(x, y))), 0), 6) AS bigram_jaccard FROM g"""
+)
 def content_coverage(spark, sf_dir):
-    rows = _turns(spark, sf_dir).select("conv_id", X.content_tokens(F.col("cv")).alias("a"), X.content_tokens(F.col("jd")).alias("b"))
-    return rounded(rows.select("conv_id", X.coverage(F.array_distinct("b"), F.array_distinct("a")).alias("coverage"), X.jaccard(X.bigrams(F.col("a")), X.bigrams(F.col("b"))).alias("bigram_jaccard")))
+    following = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("cv"), following.alias("jd")).filter("cv is not null and jd is not null")
+    return rounded(rows.select("conv_id", "turn", *(c.alias(k) for k, c in Z.overlap(F.col("cv"), F.col("jd")).items())))
 
 
 @query(f"WITH {_TURNS}, {_SETS}, n AS (SELECT conv_id, a, b, len(list_intersect(a, b)) AS i, len(list_distinct(list_concat(a, b))) AS u, array_to_string(list_sort(a), ' ') AS x, array_to_string(list_sort(b), ' ') AS y FROM s) SELECT conv_id, len(a) > 0 AND len(b) > 0 AND (((i = len(a) OR i = len(b)) AND least(len(a), len(b))::DOUBLE / greatest(len(a), len(b), 1) >= 0.5) OR i::DOUBLE / greatest(u, 1) >= 0.8) AS labels_match, len(a) > 0 AND len(b) > 0 AND (contains(x, y) OR contains(y, x) OR i::DOUBLE / greatest(u, 1) >= 0.5) AS strings_match FROM n")
@@ -115,9 +167,10 @@ def fuzzy_match(spark, sf_dir):
 _VERBS = _sql_list(X.ACTION_VERBS)
 
 
-@query(f"WITH {_WORDS} SELECT doc_id, len(list_filter(string_split_regex(lower(text), '[^a-z0-9_]+'), lambda x: list_contains({_VERBS}, x))) AS n_verbs, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^[ \\t]*([-*•]|[0-9]+\\.)[ \\t]'))) AS n_bullets FROM e")
+@query(rf"WITH {_LING} SELECT doc_id, len(list_filter(string_split_regex(lower(text), '[^\pL\pN_]+'), lambda x: list_contains({_VERBS}, x))) AS n_verbs, b AS n_bullets FROM f")
 def action_verbs(spark, sf_dir):
-    return _words(spark, sf_dir).select("doc_id", X.count_words(X.plain_tokens(F.col("text")), X.ACTION_VERBS).alias("n_verbs"), X.bullets(F.col("text")).alias("n_bullets"))
+    text = Z.said(F.col("text"))
+    return _texts(spark, sf_dir).select("doc_id", F.when(text.isNotNull(), Z.count_verbs(text)).cast("long").alias("n_verbs"), Z.count_bullets(text).cast("long").alias("n_bullets"))
 
 
 @query("WITH v AS (SELECT p_partkey, p_size / 8.0 - 0.5 AS v FROM part), l AS (SELECT p_partkey, CASE WHEN v < 0 OR v > 5 THEN '' WHEN v <= 1 THEN 'not important' WHEN v <= 2 THEN 'somewhat important' WHEN v <= 3 THEN 'important' WHEN v <= 4 THEN 'very important' ELSE 'extremely important' END AS label, CASE WHEN v > 4 THEN 'extremely important' WHEN v > 3 THEN 'very important' WHEN v > 2 THEN 'important' WHEN v > 1 THEN 'somewhat important' ELSE 'not important' END AS level FROM v) SELECT p_partkey, label, CASE label WHEN 'not important' THEN 1.0 WHEN 'somewhat important' THEN 2.0 WHEN 'very important' THEN 4.0 WHEN 'extremely important' THEN 5.0 ELSE 3.0 END::DOUBLE AS weight, level FROM l")

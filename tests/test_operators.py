@@ -43,23 +43,6 @@ def test_graph_score(spark):
     assert G.graph_score(df.limit(0), []).first()["score"] == 5.5
 
 
-def test_counts_of_whole_texts_equal_those_word_by_word(spark):
-    rng = np.random.default_rng(5)
-    signs = list("aeeiouybcstAEX019''..!? \n\t\u00e9\u0130\u212a\u00a0")
-    texts = ["", " ", "e", "ee e", "a.b", "Free, the 3rd one's e.", "...", " . ! ?", "e" * 3000, " " * 3000, "don't" * 500] + ["".join(rng.choice(signs, n)) for n in rng.integers(1, 60, 300)]
-    df = spark.createDataFrame(list(enumerate(texts)), "i int, v string")
-    letters = X.flat_alphabetic(X.flat(F.col("v")))
-    got = df.select("i", X.flat_words(X.flat(F.col("v"))).alias("w"), X.flat_words(letters).alias("a"), X.count_syllables(letters).alias("y"), X.count_sentences(F.col("v")).alias("s"), X.characters(F.col("v")).alias("c"), X.punctuation(F.col("v")).alias("p"))
-    for r in got.collect():
-        text = texts[r["i"]]
-        words = re.findall("[a-z0-9']+", re.sub("[^a-zA-Z0-9']", " ", text).lower())
-        plain = [w for w in words if re.fullmatch("[a-z]+", w)]
-        parts = [p for p in re.split("[.!?]", text) if p.strip(" \t\n")]
-        assert r["w"] == words and r["a"] == plain and r["s"] == len(parts), text
-        assert r["y"] == sum(max(1, len(re.findall("[aeiou]+", re.sub("e+$", "", w)))) for w in plain), text
-        assert r["c"] == sum(c not in " \n" for c in text) and r["p"] == sum(c in ".,;:!?" for c in text)
-
-
 def test_anchors_are_not_passed(spark):
     nodes = spark.createDataFrame([("d", "a")], "doc_id string, node string")
     edges = spark.createDataFrame([("d", "a", "x", 1), ("d", "x", "b", 1)], "doc_id string, source string, target string, cost int")
@@ -110,14 +93,10 @@ def test_annotation_and_sentences(spark):
 
 
 def test_text(spark):
-    syllables = lambda v: X.count_syllables(X.flat_alphabetic(X.flat(v)))
-    assert one(spark, "sentence", syllables) == 2 and one(spark, "the", syllables) == 1
     assert one(spark, "a b a c", lambda v: X.hapaxes(F.split(v, " "))) == 2
-    assert one(spark, "- a\n1. b\nc", X.bullets) == 2
     assert one(spark, "ab?>c~", lambda v: X.decoded_id(X.encoded_id(v))) == "ab?>c~"
     assert one(spark, "5", lambda v: X.importance_label(v.cast("double"))) == "extremely important"
     assert one(spark, "run_1.json", lambda v: X.belongs_to_run(v, F.lit("run"))) and not one(spark, "runs.json", lambda v: X.belongs_to_run(v, F.lit("run")))
-    assert one(spark, "x", lambda v: X.flesch(F.lit(0), F.lit(0), F.lit(0))) == 0
 
 
 def test_relational(spark):
