@@ -110,7 +110,7 @@ def intervals(partials: DataFrame, draws: int, order: list[str], num: str = "num
     return statistics(partials, {"value": [(num, den, 1)]}, draws, order, level, least_valid).drop("metric")
 
 
-def weighted_sample(df: DataFrame, n: int, by: list[str], weight: str, key: str, seed: str = "0") -> DataFrame:
+def weighted_sample(df: DataFrame, n: int | F.Column, by: list[str], weight: str, key: str, seed: str = "0") -> DataFrame:
     """n rows of each group without replacement, by exponential keys -ln(u) / weight with u from the MD5 of (seed, key); ties by key.
 
     Rows without a positive weight are last, so they are taken only if a group has too few others; if no row has one, all weigh the same.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import completions as C
 from ..functions import text as X
+from ..session import written
 
 
 def requests(occupations: DataFrame, styles: DataFrame, n: int, batch: str, occ: str = "occ") -> DataFrame:
@@ -54,6 +55,32 @@ def sampled_profiles(items: DataFrame, n_profiles: int, n_items: int, by: list[s
     return weighted_sample(rows, n_items, [*by, "profile"], "_w", "_key", seed).select(*by, "profile", key)
 
 
+def built_profiles(items: DataFrame, wanted: dict[str, int], n_profiles: int, by: list[str], kind: str, code: str, weight: str, seed: str = "0", valid: Column | None = None, max_fails: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(by, profile, kind, code and attempt of the profiles' items, by and profile of those that could not be filled).
+
+    Each of n_profiles of a group holds wanted[kind] items of each kind, or all if there are fewer, drawn by weight squared without replacement; kinds that
+    aren't wanted are left out. A draw fails if it has to take an item without a weight while others of its kind have one, or if valid, an
+    aggregate over its items, is not true. Failed profiles alone are drawn again, max_fails times at most, and the rest is reported."""
+    from .bootstrap import weighted_sample
+
+    n = F.coalesce(*(F.when(F.col(kind) == k, F.lit(v)) for k, v in wanted.items()))
+    rows = items.filter(F.col(kind).isin(*wanted)).select(*by, kind, code, weight, F.max(F.coalesce(F.col(weight) > 0, F.lit(False))).over(Window.partitionBy(*by, kind)).alias("_weighed"), n.alias("_n"), *(c for c in items.columns if c not in (*by, kind, code, weight)))
+    todo = rows.select(*by).distinct().withColumn("profile", F.explode(F.sequence(F.lit(0), F.lit(n_profiles - 1))))
+    built = None
+    for attempt in range(max_fails + 1):
+        drawn = todo.join(rows, by).withColumn("_w", F.col(weight) * F.col(weight))
+        drawn = drawn.withColumn("_key", F.concat_ws("/", F.lit(str(attempt)), *(F.col(c).cast("string") for c in ("profile", kind, code))))
+        drawn = written(weighted_sample(drawn, F.col("_n"), [*by, "profile", kind], "_w", "_key", seed), "drawn")
+        filled = F.bool_and(F.coalesce(F.col(weight) > 0, F.lit(False)) | ~F.col("_weighed"))
+        good = drawn.groupBy(*by, "profile").agg((filled if valid is None else filled & valid).alias("_ok")).filter("_ok").drop("_ok")
+        kept = drawn.join(good, [*by, "profile"], "left_semi").select(*by, "profile", kind, code, F.lit(attempt).alias("attempt"))
+        built = kept if built is None else built.unionByName(kept)
+        todo = written(todo.join(good, [*by, "profile"], "left_anti"), "unfilled")
+        if not todo.head(1):
+            break
+    return built, todo
+
+
 def minted_names(names: DataFrame, taken: DataFrame) -> DataFrame:
     """name, run_name: name itself, or with (i) after it where that many of that name are taken."""
     used = taken.groupBy("name").agg(F.count("*").alias("_n"))

@@ -12,7 +12,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import scratch
+from ..session import written
 from .profiles import DEGENERATE, on_scale
 
 #: Rounds of a loop without a stated depth between two written tables.
@@ -32,22 +32,14 @@ def _until_same(now: DataFrame, step) -> DataFrame:
     while True:
         for _ in range(ROUNDS):
             now = step(now)
-        now = _written(now, "loop")
+        now = written(now, "loop")
         if not now.filter("_changed").head(1):
             return now.drop("_changed")
 
 
-def _written(rows: DataFrame, name: str) -> DataFrame:
-    """rows by way of a table in the shared folder."""
-    spark = rows.sparkSession
-    path = scratch(spark, name)
-    rows.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def _sent_if_small(rows: DataFrame, name: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """rows as a written table, and what sends parts of it to all tasks if it has at most SENT_ROWS rows, or leaves them as they are."""
-    rows = _written(rows, name)
+    rows = written(rows, name)
     return rows, F.broadcast if rows.count() <= SENT_ROWS else lambda part: part
 
 
@@ -64,7 +56,7 @@ def closure(parents: DataFrame, max_depth: int | None = None, child: str = "chil
     nodes = edges.select(F.col("_c").alias("node")).union(edges.select("_p")).distinct()
     now = nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth"))
     if max_depth is None:
-        edges = _written(edges, "edges")
+        edges = written(edges, "edges")
         stay = F.struct("ancestor", "depth", F.lit(True).alias("_stays"))
         go = F.struct(F.col("_p").alias("ancestor"), (F.col("depth") + 1).alias("depth"), F.lit(False).alias("_stays"))
 
@@ -178,7 +170,7 @@ def reach(starts: DataFrame, edges: DataFrame, max_rounds: int | None = None, do
     if anchors is not None:
         both = both.join(anchors.select(doc, F.col("node").alias("source")), [doc, "source"], "left_anti").join(anchors.select(doc, F.col("node").alias("target")), [doc, "target"], "left_anti")
     with _served_by(spark):
-        both = _written(both.select(F.col(doc).alias("_d"), F.col("source").alias("_n"), "target", "cost"), "edges")
+        both = written(both.select(F.col(doc).alias("_d"), F.col("source").alias("_n"), "target", "cost"), "edges")
         none = F.lit(None).cast(dict(both.dtypes)["_n"])
         first = F.struct(F.lit(0).alias("dist"), F.lit(0).alias("edges"), none.alias("pred"))
         now = starts.select(doc, "node").distinct().select(doc, "node", first.alias("best"), F.lit(True).alias("_changed"))
@@ -193,7 +185,7 @@ def reach(starts: DataFrame, edges: DataFrame, max_rounds: int | None = None, do
                 # each round uses the last one once, so the plan grows by one join a round
                 moved = now.join(dealt, (F.col(doc) == F.col("_d")) & (F.col("node") == F.col("_n")) & F.col("_changed"), "left").select(doc, F.explode(F.array(stay, go)).alias("_m")).select(doc, "_m.*")
                 now = _settled(moved.filter("node is not null"), [doc, "node"], "best")
-            now = _written(now, "reached")
+            now = written(now, "reached")
             left = None if left is None else left - rounds
             if not now.filter("_changed").head(1):
                 break
@@ -209,13 +201,13 @@ def with_paths(reached: DataFrame, doc: str = "doc_id") -> DataFrame:
     """reach() with path: the nodes from the start on, the node itself last. Each round doubles the part of every path that is known, by a join of
     each node with the one where its part begins."""
     most = reached.agg(F.max("edges")).first()[0] or 0  # one number
-    now = _written(reached.withColumns({"_at": F.col("pred"), "path": F.array("node")}), "paths")
+    now = written(reached.withColumns({"_at": F.col("pred"), "path": F.array("node")}), "paths")
     known = 1
     while known <= most:
         before = now.select(F.col(doc).alias("_d"), F.col("node").alias("_n"), F.col("_at").alias("_before"), F.col("path").alias("_more"))
         joined = now.join(before, (F.col(doc) == F.col("_d")) & (F.col("_at") == F.col("_n")), "left")
         grown = F.when(F.col("_n").isNull(), F.col("path")).otherwise(F.concat("_more", "path"))
-        now = _written(joined.select(*reached.columns, F.col("_before").alias("_at"), grown.alias("path")), "paths")
+        now = written(joined.select(*reached.columns, F.col("_before").alias("_at"), grown.alias("path")), "paths")
         known *= 2
     return now.drop("_at")
 

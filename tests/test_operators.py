@@ -264,3 +264,22 @@ def test_edges_that_fit(spark, monkeypatch):
         monkeypatch.setattr(G, "SENT_ROWS", limit)
         got = G.fixed_edges(edges, types, relations, closed)
         assert sorted(map(tuple, got.collect())) == [("d", "a", "b", "needs"), ("d", "a", "x", "isA"), ("d", "b", "a", "free")]
+
+
+def test_profiles_are_drawn_again(spark):
+    from quillrank.operators import generation as N
+
+    rows = [("full", k, f"{k}{i}", float(i + 1)) for k in "ab" for i in range(6)] + [("poor", "a", f"a{i}", 1.0 if i == 0 else None) for i in range(4)] + [("flat", "a", f"a{i}", 0.0) for i in range(3)] + [("few", "b", "b0", 2.0)]
+    items = spark.createDataFrame(rows, "occ string, kind string, code string, w double")
+    built, unfilled = N.built_profiles(items, {"a": 2, "b": 3}, 4, ["occ"], "kind", "code", "w")
+    got = {}
+    for r in built.collect():
+        got.setdefault((r["occ"], r["profile"]), []).append((r["kind"], r["code"], r["attempt"]))
+    assert {o: {len(v) for (occ, _), v in got.items() if occ == o} for o in ("full", "flat", "few")} == {"full": {5}, "flat": {2}, "few": {1}}
+    assert {(r["occ"], r["profile"]) for r in unfilled.collect()} == {("poor", i) for i in range(4)} and all(a == 0 for v in got.values() for _, _, a in v)
+    # a rule of its own: the profile holds the heaviest item
+    built, unfilled = N.built_profiles(items.filter("occ = 'full'"), {"a": 1}, 40, ["occ"], "kind", "code", "w", valid=F.max("w") == 6)
+    kept = {r["profile"]: r["attempt"] for r in built.collect()}
+    left = {r["profile"] for r in unfilled.collect()}
+    assert not left & kept.keys() and left | kept.keys() == set(range(40)) and max(kept.values()) > 0 and {r["code"] for r in built.collect()} == {"a5"}
+    assert N.built_profiles(items.limit(0), {"a": 1}, 2, ["occ"], "kind", "code", "w")[0].count() == 0
