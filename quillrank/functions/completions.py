@@ -153,3 +153,43 @@ def output_text(body: Column) -> Column:
     kind = "struct<output:array<struct<type:string,content:array<struct<type:string,text:string>>>>>"
     message = F.get(F.filter(F.from_json(body, kind)["output"], lambda o: o["type"] == "message"), 0)
     return F.get(F.filter(message["content"], lambda c: c["type"] == "output_text"), 0)["text"]
+
+
+_LINE = """struct<custom_id:string,text:string,error:string,
+ response:struct<status_code:int,body:struct<error:struct<message:string>,status:string,incomplete_details:struct<reason:string>,output:array<struct<type:string,content:array<struct<type:string,text:string>>>>>>,
+ result:struct<type:string,message:struct<stop_reason:string,content:array<struct<type:string,text:string>>>,error:struct<type:string,message:string>>>"""
+# Messages for answers that are not complete, by the reason.
+INCOMPLETE = {"max_output_tokens": "Token limit reached (max_output_tokens exceeded)", "content_filter": "Content filter triggered", "max_completion_tokens": "Completion token limit exceeded"}
+
+
+def _error_text(error: Column) -> Column:
+    """An error's message, or the error as it stands; null for none."""
+    blank = F.coalesce(error, F.lit("")).isin("", "null", "{}")
+    return F.when(~blank, F.coalesce(F.get_json_object(error, "$.message"), error))
+
+
+def batch_line(line: Column) -> Column:
+    """struct<custom_id, text, error> of a line of batch results, in any of three shapes: normalised (text, error), a response with a status code and a
+    body of outputs, or a result with a type and a message of blocks. An answer that was cut off has an error, and keeps what text the third shape has."""
+    d = F.from_json(line, _LINE)
+    body, reason = d["response"]["body"], d["response"]["body"]["incomplete_details"]["reason"]
+    cut = F.lit("INCOMPLETE: ")
+    known = F.coalesce(*(F.when(reason == k, F.concat(cut, F.lit(v))) for k, v in INCOMPLETE.items()), F.concat(cut, F.lit("Status incomplete (reason: "), F.coalesce(reason, F.lit("unknown")), F.lit(")")))
+    firsts = F.flatten(F.transform(F.filter(body["output"], lambda o: o["type"] == "message"), lambda o: F.slice(F.filter(o["content"], lambda c: c["type"] == "output_text"), 1, 1)))
+    said = F.coalesce(F.get(F.filter(firsts, lambda c: c["text"] != ""), F.lit(0))["text"], F.try_element_at(firsts, F.lit(-1))["text"])
+    ok = d["response"]["status_code"].eqNullSafe(F.lit(200))
+    failed = F.when(d["response"].isNull(), "Missing response object").when(~ok, F.coalesce(body["error"]["message"], F.concat(F.lit("HTTP "), F.coalesce(d["response"]["status_code"].cast("string"), F.lit("None")))))
+    failed = F.coalesce(failed, body["error"]["message"], F.when(body["status"] == "incomplete", known), F.when(said.isNull(), "No output_text found"))
+    error = _error_text(d["error"])
+    first = F.struct(d["custom_id"].alias("custom_id"), F.when(error.isNull() & failed.isNull(), said).alias("text"), F.coalesce(error, failed).alias("error"))
+    plain = F.struct(d["custom_id"].alias("custom_id"), F.when(error.isNull(), d["text"]).alias("text"), error.alias("error"))
+    result, why = d["result"], F.coalesce(d["result"]["error"]["message"], F.lit(""))
+    blocks = F.trim(F.array_join(F.transform(F.filter(result["message"]["content"], lambda b: (b["type"] == "text") & b["text"].isNotNull()), lambda b: b["text"]), "\n"))
+    blocks = F.when(blocks != "", blocks)
+    limit = F.lower(why).contains("max_tokens") | F.lower(why).contains("length")
+    broken = F.when(limit, F.concat(cut, F.lit("Token limit - "), why)).otherwise(F.coalesce(F.when(why != "", why), F.get_json_object(line, "$.result.error"), F.get_json_object(line, "$.result")))
+    stopped = F.when(result["message"]["stop_reason"] == "max_tokens", F.concat(cut, F.lit("Token limit reached (max_tokens)"))).when(blocks.isNull(), "No text content found")
+    whole = result["type"].eqNullSafe(F.lit("succeeded"))
+    second = F.struct(d["custom_id"].alias("custom_id"), F.when(whole, blocks).alias("text"), F.when(whole, stopped).otherwise(broken).alias("error"))
+    has = lambda name: F.array_contains(F.json_object_keys(line), name)
+    return F.when(has("text"), plain).when(has("result"), second).otherwise(first)

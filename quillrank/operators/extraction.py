@@ -127,6 +127,34 @@ def definitions(schema: DataFrame, side: str, without: str = "") -> DataFrame:
     return schema.filter((F.col("side") == side) & (F.coalesce("comment", F.lit("")) != "") & (F.col("label") != without)).select("label", "comment").distinct()
 
 
+def enriched_comments(classes: DataFrame, wording: DataFrame) -> DataFrame:
+    """classes (side, label, comment) with comments of their own for those in wording (label, lead, of): its lead, then the comments of the classes of the
+    other side that of names (an array), by " / "; one that has none adds nothing."""
+    comments = classes.filter("side = 'cv'").groupBy("label").agg(F.min("comment").alias("_c"))
+    parts = wording.select("label", "lead", F.posexplode("of").alias("_at", "_of")).join(comments.withColumnRenamed("label", "_of"), "_of", "left")
+    texts = parts.groupBy("label").agg(F.max("lead").alias("_lead"), F.transform(F.array_sort(F.collect_list(F.struct("_at", F.coalesce("_c", F.lit("")).alias("c")))), lambda x: x["c"]).alias("_parts"))
+    made = texts.select("label", F.lit("jd").alias("side"), F.rtrim(F.concat_ws(" ", "_lead", F.array_join("_parts", " / "))).alias("_made"))
+    return classes.join(made, ["label", "side"], "left").withColumn("comment", F.coalesce("_made", "comment")).select(*classes.columns)
+
+
+def relation_definitions(relations: DataFrame, buckets: list[str]) -> DataFrame:
+    """label, domain, range, comment of the relations of some buckets, one a label (the first by domain and range)."""
+    rows = relations.filter(F.col("bucket").isin(*buckets))
+    return rows.groupBy("label").agg(F.min(F.struct("domain", "range", F.coalesce("comment", F.lit("")).alias("comment"))).alias("_r")).select("label", "_r.*")
+
+
+def definition_section(rows: DataFrame, by: list[str], label: str = "label", comment: str = "comment") -> DataFrame:
+    """by, section: a line "label: comment" for each row, by label."""
+    line = F.struct(label, F.concat_ws(": ", label, comment).alias("line"))
+    return rows.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_set(line)), lambda x: x["line"]), "\n").alias("section"))
+
+
+def superclass_section(types: DataFrame, closed: DataFrame, by: list[str], kind: str = "type") -> DataFrame:
+    """by, section: a line "type: nearest > next > ..." for each type of a document that has classes above it, by type. closed: closure() of the classes."""
+    above = closed.filter("depth > 0").groupBy(F.col("node").alias(kind)).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("depth", "ancestor"))), lambda x: x["ancestor"]), " > ").alias("_chain"))
+    return definition_section(types.select(*by, kind).distinct().join(above, kind), by, kind, "_chain")
+
+
 def anchor_first(nodes: Column, anchor: Column, key: str = "id") -> Column:
     """The array nodes with anchor as its first element, and nowhere else."""
     return F.concat(F.array(anchor), F.filter(nodes, lambda n: n[key] != anchor[key]))

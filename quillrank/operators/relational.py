@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bootstrap import numbered
+
 
 def require_columns(df: DataFrame, *columns: str) -> DataFrame:
     missing = [c for c in columns if c not in df.columns]
@@ -36,9 +38,15 @@ def pairs_all(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def pairs_zipped(left: DataFrame, right: DataFrame, on: str, left_key: str, right_key: str) -> DataFrame:
-    """The i-th of left with the i-th of right for each value of on, both by key; the shorter side ends it."""
-    number = lambda df, key: df.withColumn("_rn", F.row_number().over(Window.partitionBy(on).orderBy(key)))
-    return number(left, left_key).join(number(right, right_key), [on, "_rn"]).drop("_rn")
+    """The i-th of left with the i-th of right for each value of on, both by key; the shorter side ends it. Places are those of one sort over ranges, less
+    the first of the group, so a large group is no single task; rows without a group pair with none."""
+
+    def placed(df: DataFrame, key: str) -> DataFrame:
+        rows = numbered(df.filter(F.col(on).isNotNull()), on, key)
+        first = rows.groupBy(on).agg(F.min("i").alias("_first"))
+        return rows.join(first, on).withColumn("_rn", F.col("i") - F.col("_first")).drop("i", "_first")
+
+    return placed(left, left_key).join(placed(right, right_key), [on, "_rn"]).drop("_rn")
 
 
 def subsample(df: DataFrame, n: int, *key: str) -> DataFrame:

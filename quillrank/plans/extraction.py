@@ -170,6 +170,27 @@ def node_prompts(spark, sf_dir):
     return rows.select("r_regionkey", X.rendered("Rate {{ name }}:\n{{ nodes }}", name=F.col("r_name"), nodes=X.node_lines(F.col("nodes"), 3, "Nodes")).alias("prompt"))
 
 
+@query(
+    """WITH t AS (SELECT DISTINCT l_orderkey AS doc_id, p_brand AS type, p_type AS definition FROM lineitem JOIN part ON l_partkey = p_partkey),
+ one AS (SELECT type, min(definition) AS definition FROM t GROUP BY type),
+ u AS (SELECT DISTINCT doc_id, type FROM t)
+ SELECT u.doc_id, 'Types:' || chr(10) || string_agg(u.type || ': ' || definition, chr(10) ORDER BY u.type) || chr(10) || 'Classes:' || chr(10) || string_agg(u.type || ': Group' || right(u.type, 1) || ' > Brand', chr(10) ORDER BY u.type) AS prompt FROM u JOIN one USING (type) GROUP BY u.doc_id"""
+)
+def section_prompts(spark, sf_dir):
+    """Prompts with the definitions of a document's types and the classes above them: a brand lies below the group of its last digit, the groups below Brand."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("type"), F.col("p_type").alias("comment"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), "l_partkey").join(part, "l_partkey")
+    one = rows.groupBy("type").agg(F.min("comment").alias("comment"))
+    types = rows.select("doc_id", "type").distinct()
+    brands = part.select("type").distinct()
+    group = F.concat(F.lit("Group"), F.substring("type", -1, 1))
+    parents = brands.select(F.col("type").alias("child"), group.alias("parent")).union(brands.select(group, F.lit("Brand"))).distinct()
+    above = E.superclass_section(types, G.closure(parents, 2), ["doc_id"]).withColumnRenamed("section", "classes")
+    own = E.definition_section(types.join(one, "type"), ["doc_id"], "type")
+    return own.join(above, "doc_id").select("doc_id", X.rendered("Types:\n{{ types }}\nClasses:\n{{ classes }}", types=F.col("section"), classes=F.col("classes")).alias("prompt"))
+
+
+
 _PER_GROUP = f"WITH {SCORED}, n AS (SELECT jd_id, grp, sqrt(avg((score - gt) * (score - gt))) AS rmse, avg(abs(score - gt)) AS mae FROM c GROUP BY jd_id, grp)"
 
 

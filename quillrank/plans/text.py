@@ -125,19 +125,21 @@ def ling_features(spark, sf_dir):
     return _named(_features(spark, sf_dir), **_FOURTEEN)
 
 
-_TURNS = "t AS (SELECT conv_id, max(text) FILTER (turn = 0) AS cv, max(text) FILTER (turn = 1) AS jd FROM conversations GROUP BY conv_id)"
-_SETS = "s AS (SELECT conv_id, list_distinct(list_filter(string_split_regex(lower(coalesce(cv, '')), '[^a-z0-9]+'), lambda w: w <> '')) AS a, list_distinct(list_filter(string_split_regex(lower(coalesce(jd, '')), '[^a-z0-9]+'), lambda w: w <> '')) AS b FROM t)"
+_TURNS = "t AS (SELECT conv_id, turn, coalesce(text, '') AS cv, coalesce(lead(text) OVER (PARTITION BY conv_id ORDER BY turn, role, text), '') AS jd FROM conversations)"
+_SETS = "s AS (SELECT conv_id, turn, list_distinct(list_filter(string_split_regex(lower(coalesce(cv, '')), '[^a-z0-9]+'), lambda w: w <> '')) AS a, list_distinct(list_filter(string_split_regex(lower(coalesce(jd, '')), '[^a-z0-9]+'), lambda w: w <> '')) AS b FROM t)"
 
 
 def _turns(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("cv"), F.max(F.when(F.col("turn") == 1, F.col("text"))).alias("jd"))
+    """Each turn with the one after it, empty for the last; all turns of all conversations."""
+    following = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("cv"), following.alias("jd"))
     return rows.fillna("", ["cv", "jd"])
 
 
-@query(f"WITH {_TURNS}, {_SETS}, n AS (SELECT conv_id, len(list_intersect(a, b)) AS i, len(list_distinct(list_concat(a, b))) AS u, len(b) AS nb FROM s) SELECT conv_id, round(CASE WHEN u > 0 THEN i::DOUBLE / u ELSE 0 END, 6) AS jaccard, round(CASE WHEN nb > 0 THEN i::DOUBLE / nb ELSE 0 END, 6) AS coverage FROM n")
+@query(f"WITH {_TURNS}, {_SETS}, n AS (SELECT conv_id, turn, len(list_intersect(a, b)) AS i, len(list_distinct(list_concat(a, b))) AS u, len(b) AS nb FROM s) SELECT conv_id, turn, round(CASE WHEN u > 0 THEN i::DOUBLE / u ELSE 0 END, 6) AS jaccard, round(CASE WHEN nb > 0 THEN i::DOUBLE / nb ELSE 0 END, 6) AS coverage FROM n")
 def token_jaccard(spark, sf_dir):
-    rows = _turns(spark, sf_dir).select("conv_id", X.token_set(F.col("cv")).alias("a"), X.token_set(F.col("jd")).alias("b"))
-    return rounded(rows.select("conv_id", X.jaccard(F.col("a"), F.col("b")).alias("jaccard"), X.coverage(F.col("b"), F.col("a")).alias("coverage")))
+    rows = _turns(spark, sf_dir).select("conv_id", "turn", X.token_set(F.col("cv")).alias("a"), X.token_set(F.col("jd")).alias("b"))
+    return rounded(rows.select("conv_id", "turn", X.jaccard(F.col("a"), F.col("b")).alias("jaccard"), X.coverage(F.col("b"), F.col("a")).alias("coverage")))
 
 
 # Neighbouring turns of a conversation are the pair; a conversation of one turn has none.
@@ -158,10 +160,10 @@ def content_coverage(spark, sf_dir):
     return rounded(rows.select("conv_id", "turn", *(c.alias(k) for k, c in Z.overlap(F.col("cv"), F.col("jd")).items())))
 
 
-@query(f"WITH {_TURNS}, {_SETS}, n AS (SELECT conv_id, a, b, len(list_intersect(a, b)) AS i, len(list_distinct(list_concat(a, b))) AS u, array_to_string(list_sort(a), ' ') AS x, array_to_string(list_sort(b), ' ') AS y FROM s) SELECT conv_id, len(a) > 0 AND len(b) > 0 AND (((i = len(a) OR i = len(b)) AND least(len(a), len(b))::DOUBLE / greatest(len(a), len(b), 1) >= 0.5) OR i::DOUBLE / greatest(u, 1) >= 0.8) AS labels_match, len(a) > 0 AND len(b) > 0 AND (contains(x, y) OR contains(y, x) OR i::DOUBLE / greatest(u, 1) >= 0.5) AS strings_match FROM n")
+@query(f"WITH {_TURNS}, {_SETS}, n AS (SELECT conv_id, turn, a, b, len(list_intersect(a, b)) AS i, len(list_distinct(list_concat(a, b))) AS u, array_to_string(list_sort(a), ' ') AS x, array_to_string(list_sort(b), ' ') AS y FROM s) SELECT conv_id, turn, len(a) > 0 AND len(b) > 0 AND (((i = len(a) OR i = len(b)) AND least(len(a), len(b))::DOUBLE / greatest(len(a), len(b), 1) >= 0.5) OR i::DOUBLE / greatest(u, 1) >= 0.8) AS labels_match, len(a) > 0 AND len(b) > 0 AND (contains(x, y) OR contains(y, x) OR i::DOUBLE / greatest(u, 1) >= 0.5) AS strings_match FROM n")
 def fuzzy_match(spark, sf_dir):
-    rows = _turns(spark, sf_dir).select("conv_id", X.token_set(F.col("cv")).alias("a"), X.token_set(F.col("jd")).alias("b"))
-    return rows.select("conv_id", X.labels_match(F.col("a"), F.col("b")).alias("labels_match"), X.strings_match(F.col("a"), F.col("b")).alias("strings_match"))
+    rows = _turns(spark, sf_dir).select("conv_id", "turn", X.token_set(F.col("cv")).alias("a"), X.token_set(F.col("jd")).alias("b"))
+    return rows.select("conv_id", "turn", X.labels_match(F.col("a"), F.col("b")).alias("labels_match"), X.strings_match(F.col("a"), F.col("b")).alias("strings_match"))
 
 
 _VERBS = _sql_list(X.ACTION_VERBS)

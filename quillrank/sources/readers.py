@@ -164,18 +164,18 @@ def parsed_key(key: Column) -> Column:
     return F.struct(*(F.get(parts, i).alias(n) for i, n in enumerate(("type", "batch", "occ", "style", "idx"))), F.when(cf == "", None).otherwise(cf).alias("cf"))
 
 
-_TOKEN = re.compile(r'"""(?:[^"\\]|\\.|"(?!""))*"""|"(?:[^"\\\n]|\\.)*"|<[^>\s]*>|#[^\n]*|@prefix|\^\^|@[A-Za-z-]+|[^\s;,.<>"#\[\]]+(?:\.[^\s;,.<>"#\[\]]+)*|[;,.\[\]]')
+_TOKEN = re.compile(r'"""(?:[^"\\]|\\.|"(?!""))*"""|"(?:[^"\\\n]|\\.)*"|<[^>\s]*>|#[^\n]*|@prefix|\^\^|@[A-Za-z-]+|[^\s;,.<>"#\[\]()]+(?:\.[^\s;,.<>"#\[\]()]+)*|[;,.\[\]()]')
 
 
 def triples_of(text: str) -> list[tuple[str, str, str]]:
     """(subject, predicate, object) of a Turtle text; names stay as written, literals lose quotes and tags.
 
-    A node in brackets is named _:[n] by its place among them; lists in parentheses are left out."""
+    A node in brackets is named _:[n] by its place among them, and so is each cell (rdf:first, rdf:rest) of a list in parentheses."""
     out, subject, predicate, held, outer, bare, i = [], None, None, [], [], 0, 0
     tokens = [t for t in _TOKEN.findall(text) if not t.startswith("#")]
 
     def settle():
-        if len(held) == 1 and subject and predicate:
+        if len(held) == 1 and subject and predicate and subject != "(":
             out.append((subject, predicate, held[0]))
 
     while i < len(tokens):
@@ -200,6 +200,19 @@ def triples_of(text: str) -> list[tuple[str, str, str]]:
             subject, predicate, held = outer.pop()
             if subject is None:
                 subject, held = name, []
+        elif t == "(":
+            outer.append((subject, predicate, held))
+            subject, predicate, held = "(", "(", []
+        elif t == ")" and outer and subject == "(":
+            cells = [f"_:[{bare + k}]" for k in range(len(held))] + ["rdf:nil"]
+            bare += len(held)
+            for cell, item, rest in zip(cells, held, cells[1:]):
+                out += [(cell, "rdf:first", item), (cell, "rdf:rest", rest)]
+            subject, predicate, held = outer.pop()
+            if subject is None:
+                subject = cells[0]
+            else:
+                held.append(cells[0])
         elif t == "^^":
             i += 1
         elif t.startswith("@"):
@@ -226,5 +239,5 @@ def _triple_batches(batches):
 
 def turtle(spark: SparkSession, path: str) -> DataFrame:
     """s, p, o of an ontology file, which is small by its nature: one file is read by one task."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.mapInArrow(_triple_batches, "s string, p string, o string")
