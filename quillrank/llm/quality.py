@@ -2,14 +2,15 @@
 
 Trusted positives are texts that the labels call good; unlabelled ones are any web texts. The classifier minimises the non-negative
 risk  prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives))  with the logistic loss over counts and shares of
-characters, words and lines of the whole text; where the second term falls below zero, its gradient is reversed. The class prior is
+characters, words and lines of the whole text, by STEPS steps of L-BFGS (to stop early keeps the weights small). The class prior is
 estimated from positives and unlabelled texts alone: a classifier that tells them apart is fitted on half of each, and over its thresholds
 on the other half, the least ratio of the unlabelled share above to the positives' share above, with a margin for small counts, bounds the prior
 (best-bin estimation). Labels other than 1 are never read.
 
-Features are standardised by their means and deviations over all rows with an id that are not held out (crc32 of the id as text, modulo
-5, is 0). The risk is taken over at most about MAX_ROWS positives and MAX_ROWS unlabelled texts of these, chosen by a hash of the id.
-Everything else covers all rows. Ids, languages, sources and labels are no inputs of a score.
+Features are measured once, for all rows with an id that are not held out (crc32 of the id as text, modulo 5, is 0), and kept as a table. Their means
+and deviations, the class prior and the unlabelled part of the risk rest on all these rows: each step of the fit is a job whose tasks sum the loss and
+its gradient over their rows, and the driver gets some 50 numbers a task. At most about MAX_ROWS labelled positives, chosen by a hash of the id, are
+fitted on; that is the only bound. Ids, languages, sources and labels are no inputs of a score.
 
 Null texts are empty and get the score of an empty text. Rows without an id are not held out and never fitted on. Repeated labels of an id
 count once each. Without a usable label all texts are taken as good (score 1). Repeated rows get a row each, and equal texts equal scores.
@@ -26,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, tune
+from .common import text_or_empty, tune, written
 
 MAX_ROWS = 12_000
 THRESHOLD = 0.3
-STEPS, RATE, DECAY = 400, 0.05, 1e-4
+STEPS, HALVINGS, TOLERANCE, DECAY = 10, 12, 1e-6, 1e-3
+#: Width of the bend by which the risk is kept from below zero.
+BEND = 2e-3
 #: Features are summed as whole multiples of 1 / UNIT, exactly, so that the order of rows doesn't show in the sums.
 UNIT = 1 << 30
 _SIGNS = [bytes([c]) for c in b"#&*%$!|?.,:;/<>=()[]{}@_-\"'+~^\\"]
@@ -85,13 +88,34 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
-def _descend(gradient, w: np.ndarray) -> np.ndarray:
-    """Adam, with a fixed number of steps over all rows at once."""
-    first, second = np.zeros_like(w), np.zeros_like(w)
-    for step in range(1, STEPS + 1):
-        g = gradient(w) + DECAY * np.r_[w[:-1], 0]
-        first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
-        w = w - RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+def _minimised(value, w: np.ndarray) -> np.ndarray:
+    """L-BFGS with halved steps. value: a function of the weights that gives the risk and its gradient, at the cost of a pass over all rows."""
+    risk, g = value(w)
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(STEPS):
+        d, kept = -g, []
+        for s, y in reversed(pairs):
+            kept.append((s @ d) / (s @ y))
+            d = d - kept[-1] * y
+        if pairs:
+            d = d * (pairs[-1][0] @ pairs[-1][1]) / (pairs[-1][1] @ pairs[-1][1])
+        for (s, y), a in zip(pairs, reversed(kept)):
+            d = d + (a - (y @ d) / (s @ y)) * s
+        slope, t = d @ g, 1.0 if pairs else min(1.0, 1 / max(1e-12, np.abs(g).sum()))
+        if slope > -1e-9:
+            break
+        for _ in range(HALVINGS):
+            new, h = value(w + t * d)
+            if new <= risk + 1e-4 * t * slope:
+                break
+            t /= 2
+        else:
+            break
+        if t * d @ (h - g) > 1e-12:
+            pairs = [*pairs[-9:], (t * d, h - g)]
+        gain, w, risk, g = risk - new, w + t * d, new, h
+        if gain < TOLERANCE:
+            break
     return w
 
 
@@ -103,60 +127,112 @@ def _inputs(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
     return np.c_[np.clip((x - mean) / scale, -8, 8), np.ones(len(x))]
 
 
-def class_prior(p: np.ndarray, u: np.ndarray) -> float:
+class InMemory:
+    """Unlabelled rows as an array of inputs."""
+
+    def __init__(self, u: np.ndarray):
+        self.u = u
+
+    def rows(self, half: int | None = None) -> int:
+        return len(self.u if half is None else self.u[half::2])
+
+    def loss(self, w: np.ndarray, half: int | None = None) -> tuple[float, np.ndarray]:
+        """Means of log(1 + exp(f)) and of its gradient, over all rows or every second one."""
+        u = self.u if half is None else self.u[half::2]
+        loss, gradient = _totals(u, w)
+        return loss / (_FINE * len(u)), gradient / (_FINE * len(u))
+
+    def above(self, w: np.ndarray, at: np.ndarray, half: int) -> np.ndarray:
+        """The share of a half's rows at or above each of the values at, in rising order."""
+        return _at_or_above(self.u[half::2], w, at) / max(1, self.rows(half))
+
+
+#: Terms of the risk and of its gradient are summed as whole multiples of 1 / _FINE, so that the order of rows and tasks doesn't show.
+_FINE = 1 << 24
+
+
+def _outputs(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return np.clip((u * w).sum(axis=1), -30, 30)
+
+
+def _totals(u: np.ndarray, w: np.ndarray) -> tuple[int, np.ndarray]:
+    f = _outputs(u, w)
+    return int(np.rint(np.logaddexp(0, f) * _FINE).astype(np.int64).sum()), np.rint(u * _sigmoid(f)[:, None] * _FINE).astype(np.int64).sum(axis=0)
+
+
+def _at_or_above(u: np.ndarray, w: np.ndarray, at: np.ndarray) -> np.ndarray:
+    bins = np.bincount(np.searchsorted(at, _outputs(u, w), "right"), minlength=len(at) + 1)
+    return np.cumsum(bins[::-1])[::-1][1:]
+
+
+def class_prior(p: np.ndarray, u: np.ndarray | InMemory) -> float:
     """The share of positives among the unlabelled rows u, given positives p (both standardised): a bound from the best threshold."""
-    if len(p) < 4 or len(u) < 4:
+    u = InMemory(u) if isinstance(u, np.ndarray) else u
+    if len(p) < 4 or u.rows() < 4 or not u.rows(0) or not u.rows(1):
         return 0.5
-    (p, own), (u, mixed) = (p[::2], p[1::2]), (u[::2], u[1::2])
-    w = _descend(lambda w: p.T @ (_sigmoid(p @ w) - 1) / len(p) + u.T @ _sigmoid(u @ w) / len(u), np.zeros(p.shape[1]))
-    at = np.sort(own @ w)
+    p, own = p[::2], p[1::2]
+
+    def value(w):
+        f, (loss, gradient) = p @ w, u.loss(w, 0)
+        return np.logaddexp(0, -f).mean() + loss + DECAY / 2 * (w[:-1] @ w[:-1]), p.T @ (_sigmoid(f) - 1) / len(p) + gradient + DECAY * np.r_[w[:-1], 0]
+
+    w = _minimised(value, np.zeros(p.shape[1]))
+    at = np.sort(_outputs(own, w))
     above_p = 1 - np.searchsorted(at, at, "left") / len(at)
-    above_u = 1 - np.searchsorted(np.sort(mixed @ w), at, "left") / len(mixed)
-    margin = np.sqrt(np.log(4 / 0.1) / 2) * (len(own) ** -0.5 + len(mixed) ** -0.5)
+    above_u = u.above(w, at, 1)
+    margin = np.sqrt(np.log(4 / 0.1) / 2) * (len(own) ** -0.5 + u.rows(1) ** -0.5)
     best = int(np.argmin((above_u + margin) / above_p))
     return float(np.clip(above_u[best] / above_p[best], 0.01, 0.99))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, moments: tuple[np.ndarray, np.ndarray] | None = None) -> Model:
-    """The logistic model of least non-negative risk. prior: else estimated. moments: mean and deviation of the features, else those of
-    unlabelled."""
-    mean, scale = moments or (unlabelled.mean(axis=0), unlabelled.std(axis=0))
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None) -> Model:
+    """The logistic model of least non-negative risk over arrays of features; see fit_to()."""
+    mean, scale = unlabelled.mean(axis=0), unlabelled.std(axis=0)
     scale = np.where(scale > 1e-9, scale, 1.0)
-    p, u = _inputs(positive, mean, scale), _inputs(unlabelled, mean, scale)
+    return fit_to(positive, InMemory(_inputs(unlabelled, mean, scale)), mean, scale, prior)
+
+
+def fit_to(positive: np.ndarray, u: InMemory, mean: np.ndarray, scale: np.ndarray, prior: float | None = None) -> Model:
+    """The logistic model of least non-negative risk; prior: else estimated. u: unlabelled rows, in memory or as a table, of which only sums
+    are asked for."""
+    p = _inputs(positive, mean, scale)
     prior = class_prior(p, u) if prior is None else prior
 
-    def gradient(w):
-        fp, fu = np.clip(p @ w, -30, 30), np.clip(u @ w, -30, 30)
-        good = prior * p.T @ (_sigmoid(fp) - 1) / len(p)
-        bad = u.T @ _sigmoid(fu) / len(u) - prior * p.T @ _sigmoid(fp) / len(p)
-        risk = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-        return good + bad if risk >= 0 else -bad
+    def value(w):
+        f, (loss, gradient) = np.clip(p @ w, -30, 30), u.loss(w)
+        good, bad = prior * np.logaddexp(0, -f).mean(), loss - prior * np.logaddexp(0, f).mean()
+        kept = BEND * np.logaddexp(0, bad / BEND)  # max(0, bad), but smooth at 0
+        g = prior * p.T @ (_sigmoid(f) - 1) / len(p) + _sigmoid(bad / BEND) * (gradient - prior * p.T @ _sigmoid(f) / len(p))
+        return good + kept + DECAY / 2 * (w[:-1] @ w[:-1]), g + DECAY * np.r_[w[:-1], 0]
 
     w = np.zeros(p.shape[1])
     w[-1] = np.log(prior / (1 - prior))
-    return Model(mean, scale, _descend(gradient, w), prior)
+    return Model(mean, scale, _minimised(value, w), prior)
 
 
 def _measure(batches):
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([features(t) for t in b.column(1).to_pylist()], pa.list_(pa.float64()))], ["positive", "x"])
+        yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([features(t) for t in b.column(2).to_pylist()], pa.list_(pa.float64()))], ["positive", "half", "x"])
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(len(column), -1)
 
 
 def _sums(batches):
-    """One row: the number of texts, and the sums of their features and of the features' squares."""
+    """One row: the number of rows, and the sums of their features and of the features' squares."""
     n, first, second = 0, 0, 0
     for b in batches:
-        x = np.array([features(t) for t in b.column(0).to_pylist()])
-        if len(x):
-            x = np.rint(x * UNIT).astype(np.int64).astype(object)
+        if b.num_rows:
+            x = np.rint(_matrix(b.column(0)) * UNIT).astype(np.int64).astype(object)
             n, first, second = n + len(x), first + x.sum(axis=0), second + (x * x).sum(axis=0)
     if n:
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), *(pa.array([[str(v) for v in s]], pa.list_(pa.string())) for s in (first, second))], ["n", "first", "second"])
 
 
-def moments(rows: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
-    """Mean and deviation of each feature over the texts of all rows; None without rows. A few numbers a task go to the driver."""
-    got = rows.select("text").mapInArrow(_sums, "n long, first array<string>, second array<string>").collect()
+def moments(measured: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """Mean and deviation of each feature (x) over all rows; None without rows. A few numbers a task go to the driver."""
+    got = measured.select("x").mapInArrow(_sums, "n long, first array<string>, second array<string>").collect()
     if not got:
         return None
     n = sum(r["n"] for r in got)
@@ -164,6 +240,51 @@ def moments(rows: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
     return np.array([a / (n * UNIT) for a in first]), np.array([(max(0, n * b - a * a) / (n * UNIT) ** 2) ** 0.5 for a, b in zip(first, second)])
 
 
+class Table:
+    """Unlabelled rows as a written table of features (half, x): each question is a job whose tasks sum over their rows. What goes to the driver is a few
+    numbers a task, or one for each threshold."""
+
+    def __init__(self, measured: DataFrame, mean: np.ndarray, scale: np.ndarray):
+        self.rows_of, self.mean, self.scale = measured, mean, scale
+        counts = {r["half"]: r["count"] for r in measured.groupBy("half").count().collect()}
+        self.counts = {0: counts.get(0, 0), 1: counts.get(1, 0), None: sum(counts.values())}
+
+    def rows(self, half: int | None = None) -> int:
+        return self.counts[half]
+
+    def _batches(self, half: int | None):
+        mean, scale = self.mean, self.scale
+        return (self.rows_of if half is None else self.rows_of.filter(F.col("half") == half)).select("x"), lambda b: _inputs(_matrix(b.column(0)), mean, scale)
+
+    def loss(self, w: np.ndarray, half: int | None = None) -> tuple[float, np.ndarray]:
+        rows, inputs = self._batches(half)
+
+        def run(batches):
+            loss, gradient = 0, np.zeros(len(w), np.int64)
+            for b in batches:
+                if b.num_rows:
+                    more, g = _totals(inputs(b), w)
+                    loss, gradient = loss + more, gradient + g
+            yield pa.RecordBatch.from_arrays([pa.array([loss], pa.int64()), pa.array([gradient.tolist()], pa.list_(pa.int64()))], ["loss", "gradient"])
+
+        got = rows.mapInArrow(run, "loss long, gradient array<long>").collect()
+        n = _FINE * max(1, self.rows(half))
+        return sum(r["loss"] for r in got) / n, np.array([sum(c) / n for c in zip(*(r["gradient"] for r in got))])
+
+    def above(self, w: np.ndarray, at: np.ndarray, half: int) -> np.ndarray:
+        rows, inputs = self._batches(half)
+
+        def run(batches):
+            found = np.zeros(len(at), np.int64)
+            for b in batches:
+                if b.num_rows:
+                    found += _at_or_above(inputs(b), w, at)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(at))), pa.array(found)], ["i", "n"])
+
+        got = rows.mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).orderBy("i").collect()  # one row a threshold
+        return np.array([r["n"] for r in got]) / max(1, self.rows(half))
+
+
 def held_out(col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
@@ -175,23 +296,23 @@ def _some(df: DataFrame, n: int) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model | None:
-    """The model, or None if no label is usable. docs: doc_id, text; labels: doc_id, quality."""
+    """The model, or None if no label is usable. docs: doc_id, text; labels: doc_id, quality. max_rows bounds the labelled positives; the
+    unlabelled rows are all those not held out."""
     good = labels.filter("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).filter(~held_out() & F.col("doc_id").isNotNull()).distinct()
     rows = docs.select("doc_id", "text").filter(~held_out() & F.col("doc_id").isNotNull())
-    chosen = _some(good, max_rows)  # bounded by max_rows, so it can be sent to all
-    positive = rows.join(F.broadcast(chosen), "doc_id", "left_semi").select(F.lit(True).alias("positive"), "text")
-    unlabelled = _some(rows, max_rows).select(F.lit(False).alias("positive"), "text")
+    chosen = written(_some(good, max_rows).withColumn("positive", F.lit(True)), "quality-positives")  # bounded by max_rows, so it can be sent to all
     if not chosen.head(1):
         return None
-    got = positive.union(unlabelled).mapInArrow(_measure, "positive boolean, x array<double>").toArrow()
-    if not got.num_rows:
-        return None
-    is_positive = got.column("positive").to_numpy().astype(bool)
-    x = np.array(got.column("x").combine_chunks().flatten()).reshape(len(is_positive), -1)
-    if not is_positive.any() or is_positive.all():
+    half = F.pmod(F.xxhash64("doc_id", "text", F.lit(5)), F.lit(2)).cast("int")
+    flagged = rows.join(F.broadcast(chosen), "doc_id", "left").select(F.coalesce("positive", F.lit(False)).alias("positive"), half.alias("half"), "text")
+    measured = written(flagged.mapInArrow(_measure, "positive boolean, half int, x array<double>"), "quality-features")
+    found = moments(measured)
+    positive = measured.filter("positive").select("x").toArrow()
+    if found is None or not positive.num_rows:
         return None
-    order = np.lexsort(np.c_[x, is_positive].T)  # the order of rows must not show in the sums
-    return fit(x[order][is_positive[order]], x[order][~is_positive[order]], None, moments(rows))
+    x = _matrix(positive.column("x").combine_chunks())
+    mean, scale = found[0], np.where(found[1] > 1e-9, found[1], 1.0)
+    return fit_to(x[np.lexsort(x.T)], Table(measured, mean, scale), mean, scale)  # the order of rows must not show
 
 
 def _scorer(model: Model | None, at: int):
