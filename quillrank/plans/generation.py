@@ -67,14 +67,14 @@ _DRAWN = """i AS (SELECT p_type AS occ, 'k' || p_partkey % 3 AS kind, p_partkey
  g AS (SELECT *, bool_or(coalesce(w > 0, FALSE)) OVER (PARTITION BY occ, kind) AS any_w FROM i WHERE kind IN ('k0', 'k1')),
  d AS (SELECT *, -ln((('0x' || substr(md5('3:' || attempt || '/' || profile || '/' || kind || '/' || code), 1, 8))::BIGINT::DOUBLE + 1) / 4294967297.0) / CASE WHEN any_w THEN w * w ELSE 1.0 END AS k, attempt || '/' || profile || '/' || kind || '/' || code AS key FROM g CROSS JOIN range(4) a(attempt) CROSS JOIN range(3) b(profile)),
  c AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY occ, attempt, profile, kind ORDER BY CASE WHEN w > 0 OR NOT any_w THEN k END NULLS LAST, key) <= n),
- v AS (SELECT occ, profile, attempt FROM c GROUP BY ALL HAVING bool_and(coalesce(w > 0, FALSE) OR NOT any_w) AND sum(price) % 3 < 2),
+ v AS (SELECT occ, profile, attempt FROM c GROUP BY ALL HAVING bool_and(coalesce(w > 0, FALSE) OR NOT any_w) AND sum(price) % 3 < 1),
  f AS (SELECT occ, profile, min(attempt) AS attempt FROM v GROUP BY ALL)"""
 
 
 def _built(spark, sf_dir):
     k = F.col("p_partkey")
     items = table(spark, sf_dir, "part").select(F.col("p_type").alias("occ"), F.concat(F.lit("k"), (k % 3).cast("string")).alias("kind"), k.alias("code"), F.when((k % 4 > 0) | (k % 3 == 2), F.col("p_size").cast("double")).alias("w"), F.col("p_retailprice").alias("price"))
-    return N.built_profiles(items, {"k0": 2, "k1": 3}, 3, ["occ"], "kind", "code", "w", "3", valid=F.sum("price") % 3 < 2)
+    return N.built_profiles(items, {"k0": 2, "k1": 3}, 3, ["occ"], "kind", "code", "w", "3", valid=F.sum("price") % 3 < 1)
 
 
 @query(f"WITH {_DRAWN} SELECT occ, profile::INTEGER AS profile, kind, code, attempt::INTEGER AS attempt FROM c JOIN f USING (occ, profile, attempt)")
