@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
 from .bootstrap import numbered
 
+#: Rows of a side of a cell of pairs, and pairs of a task.
+CELL_SIDE, TASK_PAIRS = 1024, 1 << 24
+
 
 def require_columns(df: DataFrame, *columns: str) -> DataFrame:
     missing = [c for c in columns if c not in df.columns]
@@ -27,9 +33,25 @@ def many_to_one(left: DataFrame, right: DataFrame, on: list[str], how: str = "le
     return left.join(require_unique(right, *on), on, how)
 
 
-def pairs_within(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
-    """All pairs of left and right with equal on."""
-    return left.join(right, on)
+def pair_sizes(left: DataFrame, right: DataFrame, on: str) -> tuple[DataFrame, int]:
+    """(on, _l, _r: rows of both sides), all pairs: after a job that counts rows, not pairs."""
+    sizes = left.groupBy(on).agg(F.count("*").alias("_l")).join(right.groupBy(on).agg(F.count("*").alias("_r")), on)
+    sizes = written(sizes, "sizes")
+    return sizes, sizes.agg(F.sum(F.col("_l") * F.col("_r"))).first()[0] or 0
+
+
+def pairs_within(left: DataFrame, right: DataFrame, on: str, sizes: tuple[DataFrame, int] | None = None) -> DataFrame:
+    """All pairs of left and right with equal on. A group's pairs are a grid of cells of some CELL_SIDE rows a side, each row in one row or column of it, and
+    cells are dealt out over as many tasks as there are pairs for: neither a large group nor a small table is one task. sizes: pair_sizes()."""
+    groups, total = sizes or pair_sizes(left, right, on)
+    tasks = max(left.sparkSession.sparkContext.defaultParallelism, math.ceil(total / TASK_PAIRS))
+    blocks = lambda n: F.ceil(F.col(n) / CELL_SIDE)
+
+    def dealt(df: DataFrame, own: str, other: str, n: str, m: str) -> DataFrame:
+        rows = df.join(groups, on).withColumn(own, F.pmod(F.xxhash64(*df.columns), blocks(n)))
+        return rows.withColumn(other, F.explode(F.sequence(F.lit(0), blocks(m) - 1))).drop("_l", "_r").repartition(tasks, on, "_i", "_j")
+
+    return dealt(left, "_i", "_j", "_l", "_r").join(dealt(right, "_j", "_i", "_r", "_l"), [on, "_i", "_j"]).drop("_i", "_j")
 
 
 def pairs_all(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -49,9 +71,20 @@ def pairs_zipped(left: DataFrame, right: DataFrame, on: str, left_key: str, righ
     return placed(left, left_key).join(placed(right, right_key), [on, "_rn"]).drop("_rn")
 
 
-def subsample(df: DataFrame, n: int, *key: str) -> DataFrame:
-    """n rows by the MD5 of their key: the same on every engine, and a top-n that needs no full sort."""
-    return df.withColumn("_h", F.md5(F.concat_ws("__", *key))).orderBy("_h", *key).limit(n).drop("_h")
+def subsample(df: DataFrame, n: int, *key: str, total: int | None = None) -> DataFrame:
+    """n rows by the MD5 of their key: the same on every engine, and a top-n that needs no full sort.
+
+    With total (df's number of rows), only rows below a bound that about twice n of them keep are put in order; it is raised until n rows are below it, so
+    that the n least are among them whatever the bound."""
+    rows = df.withColumn("_h", F.md5(F.concat_ws("__", *key)))
+    share = (n + 10 * math.sqrt(n)) / total if total else 1.0
+    while share < 1:
+        low = written(rows.filter(F.col("_h") < f"{math.floor(share * 16**12):012x}"), "low")
+        if low.count() >= n:
+            rows = low
+            break
+        share *= 16
+    return rows.orderBy("_h", *key).limit(n).drop("_h")
 
 
 def not_done(work: DataFrame, done: DataFrame, *key: str) -> DataFrame:

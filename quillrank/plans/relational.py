@@ -32,7 +32,9 @@ def zip_pairs(spark, sf_dir):
 
 @query("SELECT c_custkey AS cv_id, s_suppkey AS jd_id, c_nationkey AS occ FROM customer JOIN supplier ON c_nationkey = s_nationkey ORDER BY md5(concat_ws('__', c_custkey, s_suppkey)), 1, 2 LIMIT 100")
 def hash_subsample(spark, sf_dir):
-    return L.subsample(L.pairs_within(*_people(spark, sf_dir), "occ").select("cv_id", "jd_id", "occ"), 100, "cv_id", "jd_id")
+    c, s = _people(spark, sf_dir)
+    sizes = L.pair_sizes(c, s, "occ")
+    return L.subsample(L.pairs_within(c, s, "occ", sizes).select("cv_id", "jd_id", "occ"), 100, "cv_id", "jd_id", total=sizes[1])
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 30 = 0)")
