@@ -5,6 +5,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from quillrank.operators import relational as L
+from quillrank.plans import relational as R
 
 
 def one_group(spark, n, m):
@@ -28,3 +29,9 @@ def test_subsample_raises_a_bound_that_keeps_too_few(spark):
     want = L.subsample(rows, 50, "k").collect()
     assert L.subsample(rows, 50, "k", total=10**9).collect() == want and len(want) == 50
     assert L.subsample(rows, 600, "k", total=500).count() == 500
+
+
+def test_resume_takes_every_order_as_done(spark, tmp_path):
+    spark.range(5).select(F.col("id").alias("c_custkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(30, 0), (31, 1), (32, 3)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    assert {r[0] for r in R.resume_anti(spark, str(tmp_path)).collect()} == {2, 4}
