@@ -31,6 +31,13 @@ def test_subsample_raises_a_bound_that_keeps_too_few(spark):
     assert L.subsample(rows, 600, "k", total=500).count() == 500
 
 
+def test_a_pair_of_tables_with_one_group_is_more_than_one_task(spark):
+    left, right = one_group(spark, 9000, 20)
+    pairs = L.pairs_within(left, right, "occ")
+    assert pairs.distinct().count() == pairs.count() == 180000
+    assert pairs.select(F.spark_partition_id()).distinct().count() > 1
+
+
 def test_resume_takes_every_order_as_done(spark, tmp_path):
     spark.range(5).select(F.col("id").alias("c_custkey")).write.parquet(f"{tmp_path}/customer.parquet")
     spark.createDataFrame([(30, 0), (31, 1), (32, 3)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
