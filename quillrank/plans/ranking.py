@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import bootstrap as B
 from ..operators import ranking as R
-from .tables import GAINED, SCORED, query, rounded, scored
+from .tables import GAINED, SCORED, query, ranked, rounded, scored
 
 GROUPS = ["A", "R", "N"]
 
@@ -112,7 +112,7 @@ def rmse_delta(spark, sf_dir):
 @query(f"WITH {SCORED}, w AS (SELECT grp, {_top('score', '2', 'jd_id, grp')} AS p, {_top('gt', '2', 'jd_id, grp')} AS q FROM c), n AS (SELECT grp, sum(p * q) / sum(p) AS v FROM w GROUP BY grp) {_deltas('v')}")
 def precision_delta(spark, sf_dir):
     top = R.Threshold("top_k", 2)
-    return rounded(R.unpaired_deltas(R.precision_micro(scored(spark, sf_dir), top, top, groups=["grp"]), GROUPS, "precision"))
+    return rounded(R.unpaired_deltas(R.precision_micro(ranked(spark, sf_dir), top, top, groups=["grp"]), GROUPS, "precision"))
 
 
 _PAIRED = f"WITH {SCORED}, n AS (SELECT jd_id, grp, sqrt(avg((score - gt) * (score - gt))) AS v FROM c GROUP BY jd_id, grp), w AS (SELECT jd_id, max(v) FILTER (grp = 'A') AS a, max(v) FILTER (grp = 'R') AS r, max(v) FILTER (grp = 'N') AS n FROM n GROUP BY jd_id)"

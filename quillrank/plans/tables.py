@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows that a task of a partitioned table holds.
+TASK_ROWS = 200_000
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -35,6 +38,12 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() <= cores else rows
 
 
+def dealt(rows: DataFrame, n: int, *by: str | Column) -> DataFrame:
+    """rows partitioned by some columns into tasks of about TASK_ROWS of n rows. Their number grows with the input, where Spark would take as many as there
+    are cores and let the memory of a task grow; what goes by these columns, or more, needs no further shuffle."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(n / TASK_ROWS)), *by)
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """jd_id, grp, score, gt: candidates of a query, in three groups."""
     rows = table(spark, sf_dir, "lineitem")
@@ -46,6 +55,11 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scored() partitioned by jd_id, for windows within a query; the rows are counted out of the files' footers."""
+    return dealt(scored(spark, sf_dir), table(spark, sf_dir, "lineitem").count(), "jd_id")
+
+
 SCORED = "c AS (SELECT l_partkey AS jd_id, l_returnflag AS grp, round(1 + 9 * (l_quantity - 1) / 49) AS score, 1 + 90 * l_discount AS gt FROM lineitem)"
 GAINED = SCORED + ", g AS (SELECT *, rank() OVER (PARTITION BY jd_id ORDER BY gt) + (count(*) OVER (PARTITION BY jd_id, gt) - 1) / 2.0 AS gain FROM c)"
 

@@ -2,10 +2,13 @@
 
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillrank.operators import relational as L
+from quillrank.plans import catalogue, graphs, profiles, tables
 from quillrank.plans import relational as R
+from tests.conftest import SMALL
 
 
 def one_group(spark, n, m):
@@ -42,3 +45,20 @@ def test_resume_takes_every_order_as_done(spark, tmp_path):
     spark.range(5).select(F.col("id").alias("c_custkey")).write.parquet(f"{tmp_path}/customer.parquet")
     spark.createDataFrame([(30, 0), (31, 1), (32, 3)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
     assert {r[0] for r in R.resume_anti(spark, str(tmp_path)).collect()} == {2, 4}
+
+
+#: Queries whose tables are partitioned into tasks of a stated number of rows.
+DEALT = "precision_delta".split()
+
+
+@pytest.mark.parametrize("name", DEALT)
+def test_tasks_grow_with_the_rows(spark, monkeypatch, name):
+    asked, dealt = [], tables.dealt
+    for module in (tables, graphs, profiles):
+        monkeypatch.setattr(module, "dealt", lambda rows, n, *by: asked.append(n) or dealt(rows, n, *by), raising=False)
+    monkeypatch.setattr(tables, "TASK_ROWS", 500)
+    catalogue.QUERIES[name](spark, SMALL)
+    lines = tables.table(spark, SMALL, "lineitem").count()
+    assert asked and min(asked) >= lines
+    rows = dealt(spark.range(lines), lines, "id")
+    assert rows.rdd.getNumPartitions() == -(-lines // 500)
