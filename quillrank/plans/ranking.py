@@ -100,7 +100,7 @@ def mae_rmse_overall(spark, sf_dir):
 
 @query(f"WITH {GAINED}, {_ndcg_sql('jd_id, grp')} {_deltas('ndcg')}")
 def ndcg_delta(spark, sf_dir):
-    rows = R.with_gain(scored(spark, sf_dir))  # gains over the whole pool, before it is cut into groups
+    rows = R.with_gain(ranked(spark, sf_dir))  # gains over the whole pool, before it is cut into groups
     return rounded(R.unpaired_deltas(R.ndcg_per_query(rows, query=["jd_id", "grp"]), GROUPS, "ndcg"))
 
 
