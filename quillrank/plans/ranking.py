@@ -80,7 +80,7 @@ def absolute_threshold(spark, sf_dir):
 @query(f"WITH {SCORED}, w AS (SELECT {_top('score', '5')} AS p, {_top('gt', '5')} AS q FROM c) SELECT round(sum(p * q) / sum(p), 6) AS precision FROM w")
 def precision_micro(spark, sf_dir):
     top = R.Threshold("top_k", 5)
-    return rounded(R.precision_micro(scored(spark, sf_dir), top, top))
+    return rounded(R.precision_micro(ranked(spark, sf_dir), top, top))
 
 
 @query(f"WITH {SCORED}, w AS (SELECT jd_id, {_top('score', '9')} AS p, {_top('gt', '9')} AS q FROM c), n AS (SELECT jd_id, sum(p * q) / least(9, count(*)) AS v FROM w GROUP BY jd_id) SELECT round(avg(v), 6) AS precision, count(*) AS n FROM n")
