@@ -85,7 +85,7 @@ def precision_micro(spark, sf_dir):
 
 @query(f"WITH {SCORED}, w AS (SELECT jd_id, {_top('score', '9')} AS p, {_top('gt', '9')} AS q FROM c), n AS (SELECT jd_id, sum(p * q) / least(9, count(*)) AS v FROM w GROUP BY jd_id) SELECT round(avg(v), 6) AS precision, count(*) AS n FROM n")
 def precision_macro(spark, sf_dir):
-    return rounded(R.precision_per_query(scored(spark, sf_dir), 9).agg(F.avg("precision").alias("precision"), F.count("*").alias("n")))
+    return rounded(R.precision_per_query(ranked(spark, sf_dir), 9).agg(F.avg("precision").alias("precision"), F.count("*").alias("n")))
 
 
 @query(f"WITH {SCORED} SELECT jd_id, count(*) AS n, round(avg(abs(score - gt)), 6) AS mae, round(sqrt(avg((score - gt) * (score - gt))), 6) AS rmse FROM c GROUP BY jd_id")
