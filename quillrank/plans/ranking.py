@@ -179,7 +179,7 @@ def vector_bootstrap_ci(spark, sf_dir):
 @query(_boot_sql(f"SELECT jd_id, sum(p * q) AS num, sum(p) AS den FROM (SELECT jd_id, {_top('score', '5')} AS p, {_top('gt', '5')} AS q FROM c) GROUP BY jd_id", "jd_id", 200))
 def cluster_bootstrap_ci(spark, sf_dir):
     top = R.Threshold("top_k", 5)
-    rows = scored(spark, sf_dir).withColumn("p", top.weight("score", "jd_id")).withColumn("q", top.weight("gt", "jd_id"))
+    rows = ranked(spark, sf_dir).withColumn("p", top.weight("score", "jd_id")).withColumn("q", top.weight("gt", "jd_id"))
     partials = rows.groupBy("jd_id").agg(F.sum(F.col("p") * F.col("q")).alias("num"), F.sum("p").alias("den"))
     return rounded(B.intervals(partials, 200, ["jd_id"]))
 

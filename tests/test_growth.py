@@ -48,7 +48,7 @@ def test_resume_takes_every_order_as_done(spark, tmp_path):
 
 
 #: Queries whose tables are partitioned into tasks of a stated number of rows.
-DEALT = "precision_delta ndcg_delta precision_micro precision_macro".split()
+DEALT = "precision_delta ndcg_delta precision_micro precision_macro cluster_bootstrap_ci".split()
 
 
 @pytest.mark.parametrize("name", DEALT)
