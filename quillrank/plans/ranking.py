@@ -30,7 +30,7 @@ def _deltas(metric: str) -> str:
 
 @query(f"WITH {GAINED}, {_ndcg_sql('jd_id', '15')} SELECT jd_id, round(ndcg, 6) AS ndcg FROM n")
 def ndcg_per_query(spark, sf_dir):
-    return rounded(R.ndcg_per_query(R.with_gain(scored(spark, sf_dir)), 15))
+    return rounded(R.ndcg_per_query(R.with_gain(ranked(spark, sf_dir)), 15))
 
 
 @query(f"WITH {GAINED}, {_ndcg_sql('jd_id')} SELECT round(avg(ndcg), 6) AS ndcg, count(*) AS n FROM n")
