@@ -35,7 +35,7 @@ def ndcg_per_query(spark, sf_dir):
 
 @query(f"WITH {GAINED}, {_ndcg_sql('jd_id')} SELECT round(avg(ndcg), 6) AS ndcg, count(*) AS n FROM n")
 def ndcg_mean(spark, sf_dir):
-    return rounded(R.ndcg_per_query(R.with_gain(scored(spark, sf_dir))).agg(F.avg("ndcg").alias("ndcg"), F.count("*").alias("n")))
+    return rounded(R.ndcg_per_query(R.with_gain(ranked(spark, sf_dir))).agg(F.avg("ndcg").alias("ndcg"), F.count("*").alias("n")))
 
 
 @query(f"WITH {GAINED} SELECT jd_id, gt, gain, count(*) AS n FROM g GROUP BY ALL")
