@@ -186,7 +186,7 @@ def cluster_bootstrap_ci(spark, sf_dir):
 
 @query(_boot_sql("SELECT jd_id, ndcg AS num, 1 AS den FROM n", "jd_id", 200, ", " + GAINED.removeprefix(SCORED + ", ") + ", " + _ndcg_sql("jd_id", "15")))
 def ndcg_bootstrap_ci(spark, sf_dir):
-    values = R.ndcg_per_query(R.with_gain(scored(spark, sf_dir)), 15)
+    values = R.ndcg_per_query(R.with_gain(ranked(spark, sf_dir)), 15)
     return rounded(B.intervals(values.select("jd_id", F.col("ndcg").alias("num"), F.lit(1).alias("den")), 200, ["jd_id"]))
 
 
