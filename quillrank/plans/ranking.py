@@ -48,7 +48,7 @@ def _weights(sql: str) -> str:
 
 
 def _weighted(spark, sf_dir, threshold):
-    rows = scored(spark, sf_dir)
+    rows = scored(spark, sf_dir) if threshold.mode == "absolute" else ranked(spark, sf_dir)
     return rows.select("jd_id", "score", F.round(threshold.weight("score", "jd_id"), 6).alias("weight")).groupBy("jd_id", "score", "weight").agg(F.count("*").alias("n"))
 
 
