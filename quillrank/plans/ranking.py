@@ -40,7 +40,7 @@ def ndcg_mean(spark, sf_dir):
 
 @query(f"WITH {GAINED} SELECT jd_id, gt, gain, count(*) AS n FROM g GROUP BY ALL")
 def gain_avg_rank(spark, sf_dir):
-    return R.with_gain(scored(spark, sf_dir)).groupBy("jd_id", "gt", "gain").agg(F.count("*").alias("n"))
+    return R.with_gain(ranked(spark, sf_dir)).groupBy("jd_id", "gt", "gain").agg(F.count("*").alias("n"))
 
 
 def _weights(sql: str) -> str:
