@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import graph as G
-from .tables import query, rounded, table
+from .tables import dealt, query, rounded, table
 
 _PARENTS = "p AS (SELECT 'n' || n_nationkey AS child, 'r' || n_regionkey AS parent FROM nation UNION SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier)"
 _CLOSED = _PARENTS + ", k(node, ancestor, depth) AS (SELECT DISTINCT x, x, 0 FROM (SELECT child AS x FROM p UNION SELECT parent FROM p) UNION ALL SELECT k.node, p.parent, k.depth + 1 FROM k JOIN p ON k.ancestor = p.child), closed AS (SELECT node, ancestor, min(depth) AS depth FROM k GROUP BY ALL)"
@@ -47,10 +47,15 @@ _NODES = "v AS (SELECT l_orderkey AS doc_id, l_linenumber AS node, bool_or(l_ret
 _HOPS = _NODES + ", u AS (SELECT doc_id, source, target, cost FROM e UNION SELECT doc_id, target, source, cost FROM e), h(doc_id, node, d, i) AS (SELECT doc_id, node, 0, 0 FROM v WHERE matched UNION SELECT h.doc_id, u.target, h.d + u.cost, h.i + 1 FROM h JOIN u ON h.doc_id = u.doc_id AND h.node = u.source WHERE h.i < (SELECT count(DISTINCT l_linenumber) FROM lineitem)), dist AS (SELECT doc_id, node, min(d)::INTEGER AS dist FROM h GROUP BY 1, 2)"
 
 
+def _count(spark, sf_dir):
+    """Rows of the lines, out of the files' footers."""
+    return table(spark, sf_dir, "lineitem").count()
+
+
 def _nodes(spark, sf_dir):
     """Partitioned by document once, so that what goes by document, or by document and node, is not shuffled again."""
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("node"), "l_returnflag", "l_quantity", "l_linestatus")
-    rows = rows.repartition("doc_id").groupBy("doc_id", "node")
+    rows = dealt(rows, _count(spark, sf_dir), "doc_id").groupBy("doc_id", "node")
     return rows.agg(F.max(F.col("l_returnflag") == "R").alias("matched"), F.max(1 + F.col("l_quantity") % 5).alias("w"), F.min("l_linestatus").alias("type"))
 
 
