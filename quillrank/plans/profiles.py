@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import profiles as P
-from .tables import query, rounded, table
+from .tables import dealt, query, rounded, table
 
 KINDS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 _ITEMS = """i AS (SELECT l_orderkey AS jd, l_partkey AS code, any_value(p_type) AS kind, any_value(1 + p_size % 5)::DOUBLE AS w FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"""
@@ -15,8 +15,10 @@ _PAIRS = _ITEMS + """, h AS (SELECT DISTINCT l_suppkey AS cv, l_partkey AS code
 
 def _items(spark, sf_dir):
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("code"), F.col("p_type").alias("kind"), (1 + F.col("p_size") % 5).cast("double").alias("w"))
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("jd"), F.col("l_partkey").alias("code")).distinct()
-    return lines.join(part, "code")
+    rows = table(spark, sf_dir, "lineitem")
+    n = rows.count()  # out of the files' footers
+    lines = dealt(rows.select(F.col("l_orderkey").alias("jd"), F.col("l_partkey").alias("code")), n, "code").distinct()
+    return dealt(lines.join(part, "code"), n, "jd")
 
 
 def _matches(spark, sf_dir):
