@@ -74,7 +74,8 @@ def count_verbs(text: Column, verbs: list[str] = X.ACTION_VERBS) -> Column:
 
 def content_words(text: Column) -> Column:
     """Whole words of a-z of the text in lower case, in order, without stop words."""
-    return F.filter(F.split(F.lower(text), f"[^{IN_WORD}]+"), lambda w: w.rlike("^[a-z]+$") & ~w.isin(*X.STOP_WORDS))
+    plain = F.regexp_replace(F.lower(text), rf"(?<![{IN_WORD}])[a-z]*+[{IN_WORD}&&[^a-z]][{IN_WORD}]*+", " ")
+    return F.filter(F.split(plain, "[^a-z]+"), lambda w: (w != "") & ~w.isin(*X.STOP_WORDS))
 
 
 FEATURES = "word_count sentence_count char_count avg_word_len avg_sentence_len type_token_ratio hapax_ratio stopword_ratio number_ratio uppercase_ratio avg_syllables_per_word flesch_reading_ease punctuation_density bullet_count".split()
@@ -118,10 +119,22 @@ def features(rows: DataFrame, text_col: str, prefix: str) -> DataFrame:
 
 def overlap(first: Column, second: Column) -> dict[str, Column]:
     """token_jaccard, jd_coverage (of second's content words, the share that first holds) and bigram_jaccard (pairs of neighbours in the
-    order of the text). Null where the divisor is 0 or a text is null."""
-    a, b = content_words(first), content_words(second)
-    x, y, p, q = F.array_distinct(a), F.array_distinct(b), X.bigrams(a), X.bigrams(b)
-    share = lambda s, whole: F.size(s) / F.when(F.size(whole) > 0, F.size(whole))
-    both = first.isNotNull() & second.isNotNull()
-    made = {"token_jaccard": share(F.array_intersect(x, y), F.array_union(x, y)), "jd_coverage": share(F.array_intersect(x, y), y), "bigram_jaccard": share(F.array_intersect(p, q), F.array_union(p, q))}
+    order of the text). Null where the divisor is 0 or a text is null. with_overlap() makes the same, each list of words once."""
+    return overlap_of(*(f(c) for f in (lambda c: F.array_distinct(content_words(c)), lambda c: X.bigrams(content_words(c))) for c in (first, second)))
+
+
+def overlap_of(x: Column, y: Column, p: Column, q: Column) -> dict[str, Column]:
+    """overlap() out of both texts' distinct content words and distinct pairs of neighbours, which are null for a null text."""
+    both = x.isNotNull() & y.isNotNull()
+    words, pairs = F.size(F.array_intersect(x, y)), F.size(F.array_intersect(p, q))
+    share = lambda n, whole: n / F.when(whole > 0, whole)
+    made = {"token_jaccard": share(words, F.size(x) + F.size(y) - words), "jd_coverage": share(words, F.size(y)), "bigram_jaccard": share(pairs, F.size(p) + F.size(q) - pairs)}
     return {k: F.when(both, c) for k, c in made.items()}
+
+
+def with_overlap(rows: DataFrame, first: str, second: str, prefix: str = "", worded: bool = False) -> DataFrame:
+    """rows with overlap() of two text columns, or of content_words() of them. Each step is a column of its own, so that none is evaluated again where it is used."""
+    rows = rows.withColumns({"_a": F.col(first) if worded else content_words(F.col(first)), "_b": F.col(second) if worded else content_words(F.col(second))})
+    rows = rows.withColumns({"_x": F.array_distinct("_a"), "_y": F.array_distinct("_b"), "_p": X.bigrams(F.col("_a")), "_q": X.bigrams(F.col("_b"))})
+    made = overlap_of(*(F.col(c) for c in ("_x", "_y", "_p", "_q")))
+    return rows.withColumns({f"{prefix}{k}": c for k, c in made.items()}).drop("_a", "_b", "_x", "_y", "_p", "_q")

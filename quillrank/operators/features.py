@@ -93,5 +93,5 @@ def enriched(parsed: DataFrame) -> DataFrame:
     for side in ("cv", "jd"):
         rows = Z.features(rows, f"{side}_profile_text", f"{side}_ling").drop(*(f"{side}_ling_{k}" for k in ("punctuation", "syllables", "distinct")))
     said = Z.said(F.col("cv_profile_text"))
-    rows = rows.withColumns({f"ling_text_{k}": c for k, c in Z.overlap(F.col("cv_profile_text"), F.col("jd_profile_text")).items()} | {"cv_ling_action_verb_count": F.when(said.isNotNull(), Z.count_verbs(said))})
+    rows = Z.with_overlap(rows, "cv_profile_text", "jd_profile_text", "ling_text_").withColumn("cv_ling_action_verb_count", F.when(said.isNotNull(), Z.count_verbs(said)))
     return rows.withColumns({f"{side}_ling_style": F.col(f"{side}_style") for side in ("cv", "jd") if f"{side}_style" in parsed.columns})

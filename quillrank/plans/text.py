@@ -155,9 +155,11 @@ _PAIRS_OF = "list_distinct(list_transform(range(1, len({c})), lambda i: {c}[i] |
   round(len(list_intersect(x, y))::DOUBLE / nullif(len(list_distinct(list_concat(x, y))), 0), 6) AS bigram_jaccard FROM g"""
 )
 def content_coverage(spark, sf_dir):
-    following = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("cv"), following.alias("jd")).filter("cv is not null and jd is not null")
-    return rounded(rows.select("conv_id", "turn", *(c.alias(k) for k, c in Z.overlap(F.col("cv"), F.col("jd")).items())))
+    # a turn's words are found once, before turns meet by conversation
+    turns = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")).withColumn("cv", Z.content_words(F.col("text")))
+    following = F.lead("cv").over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    rows = turns.select("conv_id", "turn", "cv", following.alias("jd")).filter("cv is not null and jd is not null")
+    return rounded(Z.with_overlap(rows, "cv", "jd", worded=True).drop("cv", "jd"))
 
 
 @query(f"WITH {_TURNS}, {_SETS}, n AS (SELECT conv_id, turn, a, b, len(list_intersect(a, b)) AS i, len(list_distinct(list_concat(a, b))) AS u, array_to_string(list_sort(a), ' ') AS x, array_to_string(list_sort(b), ' ') AS y FROM s) SELECT conv_id, turn, len(a) > 0 AND len(b) > 0 AND (((i = len(a) OR i = len(b)) AND least(len(a), len(b))::DOUBLE / greatest(len(a), len(b), 1) >= 0.5) OR i::DOUBLE / greatest(u, 1) >= 0.8) AS labels_match, len(a) > 0 AND len(b) > 0 AND (contains(x, y) OR contains(y, x) OR i::DOUBLE / greatest(u, 1) >= 0.5) AS strings_match FROM n")

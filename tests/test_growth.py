@@ -62,3 +62,8 @@ def test_tasks_grow_with_the_rows(spark, monkeypatch, name):
     assert asked and min(asked) >= lines
     rows = dealt(spark.range(lines), lines, "id")
     assert rows.rdd.getNumPartitions() == -(-lines // 500)
+
+
+def test_words_of_a_turn_are_found_once(spark):
+    plan = catalogue.QUERIES["content_coverage"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
