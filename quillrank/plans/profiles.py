@@ -22,10 +22,13 @@ def _items(spark, sf_dir):
 
 
 def _matches(spark, sf_dir):
+    """Each pair's items, partitioned by pair: rows are moved as they are, as partial sums of so many columns would be wider, and few rows share one."""
     lines = table(spark, sf_dir, "lineitem")
-    held = lines.select(F.col("l_suppkey").alias("cv"), F.col("l_partkey").alias("code"), F.lit(True).alias("matched")).distinct()
-    pairs = lines.select(F.col("l_suppkey").alias("cv"), F.col("l_orderkey").alias("jd")).distinct()
-    return pairs.join(_items(spark, sf_dir), "jd").join(held, ["cv", "code"], "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
+    n = lines.count()
+    held = dealt(lines.select(F.col("l_suppkey").alias("cv"), F.col("l_partkey").alias("code"), F.lit(True).alias("matched")), n, "cv", "code").distinct()
+    pairs = dealt(lines.select(F.col("l_suppkey").alias("cv"), F.col("l_orderkey").alias("jd")), n, "jd").distinct()
+    rows = dealt(pairs.join(_items(spark, sf_dir), "jd"), n, "cv", "code").join(held, ["cv", "code"], "left")
+    return dealt(rows.withColumn("matched", F.coalesce("matched", F.lit(False))), n, "cv", "jd")
 
 
 _SCORE = "CASE WHEN sum({w}) > 0 THEN greatest(1.0, least(10.0, 1 + 9 * (sum(CASE WHEN matched THEN {w} ELSE -{w} END) + sum({w})) / (2 * sum({w})))) ELSE 5.5 END"
