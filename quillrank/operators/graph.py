@@ -6,6 +6,7 @@ Without a stated depth, what was found is written to the shared folder every ROU
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from contextlib import contextmanager
 
@@ -21,6 +22,8 @@ ROUNDS = 4
 SENT_ROWS = 200_000
 #: Rounds of a search within documents between two written tables.
 HOP_ROUNDS = 8
+#: Rows of a search that a task holds.
+SEARCH_ROWS = 250_000
 
 
 def _until_same(now: DataFrame, step) -> DataFrame:
@@ -138,6 +141,11 @@ def numbered_nodes(nodes: DataFrame, doc: str, kind: str, order: str, prefix: st
     return nodes.withColumn("node_id", F.concat_ws("_", F.lit(prefix), F.col(kind).cast("string"), i.cast("string")))
 
 
+def _tasks(written_rows: DataFrame) -> int:
+    """Parts for a written table: their number grows with its rows, so that the memory of a task does not."""
+    return max(written_rows.sparkSession.sparkContext.defaultParallelism, math.ceil(written_rows.count() / SEARCH_ROWS))
+
+
 def undirected(edges: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Each edge in both directions, once; edges that are partitioned by document stay where they are."""
     end = lambda a, b: F.struct(F.col(a).alias("source"), F.col(b).alias("target"))
@@ -171,6 +179,7 @@ def reach(starts: DataFrame, edges: DataFrame, max_rounds: int | None = None, do
         both = both.join(anchors.select(doc, F.col("node").alias("source")), [doc, "source"], "left_anti").join(anchors.select(doc, F.col("node").alias("target")), [doc, "target"], "left_anti")
     with _served_by(spark):
         both = written(both.select(F.col(doc).alias("_d"), F.col("source").alias("_n"), "target", "cost"), "edges")
+        tasks = _tasks(both)
         none = F.lit(None).cast(dict(both.dtypes)["_n"])
         first = F.struct(F.lit(0).alias("dist"), F.lit(0).alias("edges"), none.alias("pred"))
         now = starts.select(doc, "node").distinct().select(doc, "node", first.alias("best"), F.lit(True).alias("_changed"))
@@ -180,7 +189,7 @@ def reach(starts: DataFrame, edges: DataFrame, max_rounds: int | None = None, do
         left = max_rounds
         while left is None or left > 0:
             rounds = HOP_ROUNDS if left is None else min(left, HOP_ROUNDS)
-            now, dealt = now.repartition(F.col(doc)), both.repartition(F.col("_d"))
+            now, dealt = now.repartition(tasks, F.col(doc)), both.repartition(tasks, F.col("_d"))
             for _ in range(rounds):
                 # each round uses the last one once, so the plan grows by one join a round
                 moved = now.join(dealt, (F.col(doc) == F.col("_d")) & (F.col("node") == F.col("_n")) & F.col("_changed"), "left").select(doc, F.explode(F.array(stay, go)).alias("_m")).select(doc, "_m.*")
@@ -198,17 +207,22 @@ def hops(starts: DataFrame, edges: DataFrame, max_rounds: int | None = None, doc
 
 
 def with_paths(reached: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """reach() with path: the nodes from the start on, the node itself last. Each round doubles the part of every path that is known, by a join of
-    each node with the one where its part begins."""
+    """reach() with path: the nodes from the start on, the node itself last. A round puts the part that was known of the node where a path's part begins
+    before it; a pass of rounds shuffles both once, by document, and makes the known parts that many times as long."""
     most = reached.agg(F.max("edges")).first()[0] or 0  # one number
     now = written(reached.withColumns({"_at": F.col("pred"), "path": F.array("node")}), "paths")
-    known = 1
-    while known <= most:
-        before = now.select(F.col(doc).alias("_d"), F.col("node").alias("_n"), F.col("_at").alias("_before"), F.col("path").alias("_more"))
-        joined = now.join(before, (F.col(doc) == F.col("_d")) & (F.col("_at") == F.col("_n")), "left")
-        grown = F.when(F.col("_n").isNull(), F.col("path")).otherwise(F.concat("_more", "path"))
-        now = written(joined.select(*reached.columns, F.col("_before").alias("_at"), grown.alias("path")), "paths")
-        known *= 2
+    known, tasks = 1, _tasks(now)
+    grown = F.when(F.col("_n").isNull(), F.col("path")).otherwise(F.concat("_more", "path"))
+    with _served_by(reached.sparkSession):
+        while known <= most:
+            rounds = min(HOP_ROUNDS, most // known)
+            before = now.select(F.col(doc).alias("_d"), F.col("node").alias("_n"), F.col("_at").alias("_before"), F.col("path").alias("_more")).repartition(tasks, "_d")
+            now = now.repartition(tasks, doc)
+            for _ in range(rounds):
+                joined = now.join(before, (F.col(doc) == F.col("_d")) & (F.col("_at") == F.col("_n")), "left")
+                now = joined.select(*reached.columns, F.col("_before").alias("_at"), grown.alias("path"))
+            now = written(now, "paths")
+            known *= rounds + 1
     return now.drop("_at")
 
 

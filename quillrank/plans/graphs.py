@@ -84,8 +84,9 @@ _SIMPLE = (
 )
 def hop_paths(spark, sf_dir):
     nodes = _nodes(spark, sf_dir).withColumns({"label": F.lit(None).cast("string"), "importance": F.lit(None).cast("string")})
-    found = G.with_paths(G.reach(nodes.filter("matched"), _edges(nodes)))
-    maps = G.detail_maps(G.detail(nodes, found))
+    n = _count(spark, sf_dir)
+    found = dealt(G.with_paths(G.reach(nodes.filter("matched"), _edges(nodes))), n, "doc_id", "node")
+    maps = G.detail_maps(dealt(G.detail(nodes, found), n, "doc_id"))
     rows = maps.select("doc_id", F.explode("detail").alias("node", "d")).select("doc_id", "node", "d.*")
     return rows.select("doc_id", "node", "hop_distance", F.array_join(F.transform("path", lambda n: n.cast("string")), ">").alias("path"), "weight", "node_score")
 

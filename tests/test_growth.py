@@ -48,7 +48,7 @@ def test_resume_takes_every_order_as_done(spark, tmp_path):
 
 
 #: Queries whose tables are partitioned into tasks of a stated number of rows.
-DEALT = "precision_delta ndcg_delta precision_micro precision_macro cluster_bootstrap_ci ndcg_per_query ndcg_mean ndcg_bootstrap_ci top_fraction topk_probability edge_fix shadow_nodes profile_structure kind_overlap gt_breakdown".split()
+DEALT = "precision_delta ndcg_delta precision_micro precision_macro cluster_bootstrap_ci ndcg_per_query ndcg_mean ndcg_bootstrap_ci top_fraction topk_probability edge_fix shadow_nodes profile_structure kind_overlap gt_breakdown hop_paths".split()
 
 
 @pytest.mark.parametrize("name", DEALT)
