@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators.features import PER_KIND, enriched
 from ..operators.profiles import KINDS, LEVEL_KINDS
 from ..functions.linguistics import FEATURES
-from .tables import query, rounded, table
+from .tables import dealt, query, rounded, table
 from .text import _CONTENT, _LING, _LONG, _PAIRS_OF, _STOP, _VERBS
 
 _KEYS = [k.replace(" ", "_") for k in KINDS]
@@ -23,7 +23,7 @@ def _parsed(spark, sf_dir):
     level = F.concat(F.lit("L"), (F.col("k") % 2).cast("string"), F.lit("."), (F.col("p_size") % 7).cast("string"))
     code = F.when(kind.isin(*LEVEL_KINDS), level).otherwise(F.concat(F.lit("c"), (F.col("k") % 5).cast("string")))
     item = F.struct(kind.alias("kind"), F.col("p_name").alias("name"), F.lit(None).cast("string").alias("description"), F.when(F.col("k") % 11 != 0, 1 + (F.col("p_size") % 9) / 2).alias("importance"))
-    rows = rows.withColumns({"code": code, "item": item}).repartition("jd_id").groupBy("jd_id", "asked", "code")
+    rows = dealt(rows.withColumns({"code": code, "item": item}), table(spark, sf_dir, "lineitem").count(), "jd_id").groupBy("jd_id", "asked", "code")
     rows = rows.agg(F.max_by("item", F.struct("ln", "k", "cv_id")).alias("item"), F.min("cv_id").alias("cv_id"), F.max("p_brand").alias("style"))  # the last of a code counts
     side = lambda asked: F.array_sort(F.collect_list(F.when(F.col("asked") == asked, F.struct("code", "item"))))
     both = rows.groupBy("jd_id").agg(F.min("cv_id").alias("cv_id"), side(True).alias("jd"), side(False).alias("cv"), F.min("style").alias("cv_style"), F.max("style").alias("jd_style"))

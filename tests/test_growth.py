@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillrank.operators import relational as L
-from quillrank.plans import catalogue, graphs, profiles, tables
+from quillrank.plans import catalogue, features, graphs, profiles, tables
 from quillrank.plans import relational as R
 from tests.conftest import SMALL
 
@@ -48,13 +48,13 @@ def test_resume_takes_every_order_as_done(spark, tmp_path):
 
 
 #: Queries whose tables are partitioned into tasks of a stated number of rows.
-DEALT = "precision_delta ndcg_delta precision_micro precision_macro cluster_bootstrap_ci ndcg_per_query ndcg_mean ndcg_bootstrap_ci top_fraction topk_probability edge_fix shadow_nodes profile_structure kind_overlap gt_breakdown hop_paths".split()
+DEALT = "precision_delta ndcg_delta precision_micro precision_macro cluster_bootstrap_ci ndcg_per_query ndcg_mean ndcg_bootstrap_ci top_fraction topk_probability edge_fix shadow_nodes profile_structure kind_overlap gt_breakdown hop_paths enriched_pairs".split()
 
 
 @pytest.mark.parametrize("name", DEALT)
 def test_tasks_grow_with_the_rows(spark, monkeypatch, name):
     asked, dealt = [], tables.dealt
-    for module in (tables, graphs, profiles):
+    for module in (tables, features, graphs, profiles):
         monkeypatch.setattr(module, "dealt", lambda rows, n, *by: asked.append(n) or dealt(rows, n, *by), raising=False)
     monkeypatch.setattr(tables, "TASK_ROWS", 500)
     catalogue.QUERIES[name](spark, SMALL)
