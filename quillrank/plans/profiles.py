@@ -13,22 +13,38 @@ _PAIRS = _ITEMS + """, h AS (SELECT DISTINCT l_suppkey AS cv, l_partkey AS code
  m AS (SELECT q.cv, q.jd, i.code, kind, w, h.code IS NOT NULL AS matched FROM q JOIN i ON q.jd = i.jd LEFT JOIN h ON h.cv = q.cv AND h.code = i.code)"""
 
 
+def _parts(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("code"), F.col("p_type").alias("kind"), (1 + F.col("p_size") % 5).cast("double").alias("w"))
+
+
 def _items(spark, sf_dir):
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("code"), F.col("p_type").alias("kind"), (1 + F.col("p_size") % 5).cast("double").alias("w"))
     rows = table(spark, sf_dir, "lineitem")
     n = rows.count()  # out of the files' footers
     lines = dealt(rows.select(F.col("l_orderkey").alias("jd"), F.col("l_partkey").alias("code")), n, "code").distinct()
-    return dealt(lines.join(part, "code"), n, "jd")
-
-
-def _matches(spark, sf_dir):
-    """Each pair's items, partitioned by pair: rows are moved as they are, as partial sums of so many columns would be wider, and few rows share one."""
-    lines = table(spark, sf_dir, "lineitem")
-    n = lines.count()
-    held = dealt(lines.select(F.col("l_suppkey").alias("cv"), F.col("l_partkey").alias("code"), F.lit(True).alias("matched")), n, "cv", "code").distinct()
-    pairs = dealt(lines.select(F.col("l_suppkey").alias("cv"), F.col("l_orderkey").alias("jd")), n, "jd").distinct()
-    rows = dealt(pairs.join(_items(spark, sf_dir), "jd"), n, "cv", "code").join(held, ["cv", "code"], "left")
-    return dealt(rows.withColumn("matched", F.coalesce("matched", F.lit(False))), n, "cv", "jd")
+    return dealt(lines.join(_parts(spark, sf_dir), "code"), n, "jd")
+
+
+def _matches(spark, sf_dir, *of):
+    """Each pair's items with of (columns of the part), partitioned by query. An item is matched by its own lines, or by a line of the supplier in another order:
+    only pairs' items without a line of their own are moved to be looked up, as bare keys, and only those found are moved back."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("jd"), F.col("l_suppkey").alias("cv"), F.col("l_partkey").alias("code"))
+    n = lines.count()  # out of the files' footers
+    part = _parts(spark, sf_dir).select("code", *of, F.lit(True).alias("listed"))
+    rows = dealt(dealt(lines, n, "code").join(part, "code", "left"), n, "jd").filter("jd is not null")
+    queries = rows.groupBy("jd").agg(F.collect_set(F.struct("cv", "code", "listed", *of)).alias("lines"))
+    item = lambda x: F.struct(x["code"].alias("code"), *(x[c].alias(c) for c in of))
+    queries = queries.withColumn("items", F.array_distinct(F.transform(F.filter("lines", lambda x: x["listed"]), item)))
+    suppliers = F.explode(F.array_distinct(F.transform("lines", lambda x: x["cv"]))).alias("cv")
+    codes = lambda name: F.transform(F.filter(name, lambda x: x["cv"] == F.col("cv")), lambda x: x["code"])
+    pairs = queries.select("jd", "lines", "items", suppliers)
+    asked = pairs.filter("cv is not null").select("jd", "cv", F.explode(F.array_except(F.col("items")["code"], codes("lines"))).alias("code"))
+    held = lines.select("cv", "code").filter("cv is not null and code is not null")
+    found = dealt(asked, n, "cv", "code").join(dealt(held, n, "cv", "code"), ["cv", "code"], "left_semi")
+    found = dealt(found, n, "jd").groupBy("jd").agg(F.collect_list(F.struct("cv", "code")).alias("found"))
+    pairs = queries.join(found, "jd", "left").select("jd", "lines", "found", "items", suppliers)
+    has = F.concat(codes("lines"), F.coalesce(codes("found"), F.array()))
+    each = pairs.select("jd", "cv", has.alias("has"), F.explode("items").alias("item")).select("jd", "cv", "has", "item.*")
+    return each.withColumn("matched", F.coalesce(F.array_contains("has", F.col("code")), F.lit(False))).drop("has")
 
 
 _SCORE = "CASE WHEN sum({w}) > 0 THEN greatest(1.0, least(10.0, 1 + 9 * (sum(CASE WHEN matched THEN {w} ELSE -{w} END) + sum({w})) / (2 * sum({w})))) ELSE 5.5 END"
@@ -36,18 +52,18 @@ _SCORE = "CASE WHEN sum({w}) > 0 THEN greatest(1.0, least(10.0, 1 + 9 * (sum(CAS
 
 @query(f"WITH {_PAIRS} SELECT cv, jd, round({_SCORE.format(w='w')}, 6) AS gt_score FROM m GROUP BY cv, jd")
 def gt_score(spark, sf_dir):
-    return rounded(P.ground_truth(_matches(spark, sf_dir), ["cv", "jd"]))
+    return rounded(P.ground_truth(_matches(spark, sf_dir, "w"), ["cv", "jd"]))
 
 
 @query(f"WITH {_PAIRS}, r AS (SELECT cv, jd, matched, round_even(w + 0.5, 0) AS w FROM m) SELECT cv, jd, round({_SCORE.format(w='w')}, 6) AS gt_score FROM r GROUP BY cv, jd")
 def gt_score_rounded(spark, sf_dir):
-    rows = _matches(spark, sf_dir).withColumn("w", P.weight(F.col("w") + 0.5, whole=True))
+    rows = _matches(spark, sf_dir, "w").withColumn("w", P.weight(F.col("w") + 0.5, whole=True))
     return rounded(P.ground_truth(rows, ["cv", "jd"]))
 
 
 @query(f"WITH {_PAIRS} SELECT cv, jd, coalesce(string_agg(code::VARCHAR, ',' ORDER BY w DESC, code) FILTER (matched), '') AS matched_items, coalesce(string_agg(code::VARCHAR, ',' ORDER BY w DESC, code) FILTER (NOT matched), '') AS unmatched_items FROM m GROUP BY cv, jd")
 def gt_breakdown(spark, sf_dir):
-    rows = P.breakdown(_matches(spark, sf_dir), ["cv", "jd"])
+    rows = P.breakdown(_matches(spark, sf_dir, "w"), ["cv", "jd"])
     return rows.select("cv", "jd", *(F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c) for c in ("matched_items", "unmatched_items")))
 
 
@@ -68,7 +84,7 @@ def _kind_sql() -> str:
 
 @query(f"WITH {_PAIRS} SELECT cv, jd, {_kind_sql()} FROM m GROUP BY cv, jd")
 def kind_overlap(spark, sf_dir):
-    return rounded(P.kind_overlap(_matches(spark, sf_dir), ["cv", "jd"], KINDS))
+    return rounded(P.kind_overlap(_matches(spark, sf_dir, "kind", "w"), ["cv", "jd"], KINDS))
 
 
 @query(f"WITH {_ITEMS} SELECT jd, count(*) AS n_items, round(sum(w), 6) AS total, round(avg(w), 6) AS mean, round(stddev_pop(w), 6) AS spread, round(max(w), 6) AS heaviest, round(count(*) FILTER (w >= 4)::DOUBLE / count(*), 6) AS high_ratio FROM i GROUP BY jd")

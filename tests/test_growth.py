@@ -2,6 +2,7 @@
 
 import hashlib
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from quillrank.operators import relational as L
 from quillrank.plans import catalogue, features, graphs, profiles, tables
 from quillrank.plans import relational as R
 from tests.conftest import SMALL
+from tests.oracle import difference
 
 
 def one_group(spark, n, m):
@@ -67,3 +69,26 @@ def test_tasks_grow_with_the_rows(spark, monkeypatch, name):
 def test_words_of_a_turn_are_found_once(spark):
     plan = catalogue.QUERIES["content_coverage"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") == 1
+
+
+#: Queries over each pair's items.
+PAIRED = "gt_score gt_score_rounded gt_breakdown kind_overlap".split()
+
+
+@pytest.mark.parametrize("name", PAIRED)
+def test_items_are_not_moved_by_pair(spark, name):
+    plan = catalogue.QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    moved = [line for line in plan.splitlines() if "RepartitionByExpression" in line]
+    assert moved and not any("[cv#" in line and "jd#" in line.split("]")[0] for line in moved)
+
+
+@pytest.mark.parametrize("name", PAIRED)
+def test_pairs_with_items_of_other_orders_and_odd_lines(spark, tmp_path, name):
+    lines = [(1, 10, 100), (1, 10, 100), (1, 11, 101), (2, 10, 101), (3, 12, 999), (3, 11, 100), (4, 12, 999), (5, None, 100), (5, 10, None), (None, 10, 100), (6, 11, 102), (6, 10, 102), (6, 10, 103)]
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    parts = [(100, "ECONOMY", 7), (101, "LARGE", 4), (102, None, 9), (103, "PROMO", 3)]
+    spark.createDataFrame(parts, "p_partkey long, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    c = duckdb.connect()
+    for t in ("lineitem", "part"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert not difference(spark, c, str(tmp_path), catalogue.QUERIES[name], catalogue.ORACLES[name])
