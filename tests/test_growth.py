@@ -43,6 +43,17 @@ def test_a_pair_of_tables_with_one_group_is_more_than_one_task(spark):
     assert pairs.select(F.spark_partition_id()).distinct().count() > 1
 
 
+def test_copies_of_rows_for_cells_are_made_in_bounded_tasks(spark, monkeypatch):
+    left, right = one_group(spark, 600, 90)
+    monkeypatch.setattr(L, "CELL_SIDE", 8)
+    monkeypatch.setattr(L, "TASK_COPIES", 500)
+    pairs = L.pairs_within(left, right, "occ")
+    assert pairs.distinct().count() == pairs.count() == 54000
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    copies = {600 * 12, 90 * 75}  # 75 x 12 cells
+    assert all(f"Repartition {-(-n // 500)}, true" in plan for n in copies)
+
+
 def test_resume_takes_every_order_as_done(spark, tmp_path):
     spark.range(5).select(F.col("id").alias("c_custkey")).write.parquet(f"{tmp_path}/customer.parquet")
     spark.createDataFrame([(30, 0), (31, 1), (32, 3)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
