@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
 from .bootstrap import numbered
+from .digests import low_pairs
 
-#: Rows of a side of a cell of pairs, pairs of a task, and copies of rows that a task makes for cells.
-CELL_SIDE, TASK_PAIRS, TASK_COPIES = 1024, 1 << 24, 1 << 20
+#: Rows of a side of a cell of pairs, pairs of a task, and copies of rows that a task makes for cells; rows of a side where a cell's pairs become no rows.
+CELL_SIDE, TASK_PAIRS, TASK_COPIES, DIGEST_SIDE = 1024, 1 << 24, 1 << 20, 4096
 
 
 def require_columns(df: DataFrame, *columns: str) -> DataFrame:
@@ -40,14 +43,14 @@ def pair_sizes(left: DataFrame, right: DataFrame, on: str) -> tuple[DataFrame, i
     return sizes, sizes.agg(F.sum(F.col("_l") * F.col("_r"))).first()[0] or 0
 
 
-def pairs_within(left: DataFrame, right: DataFrame, on: str, sizes: tuple[DataFrame, int] | None = None) -> DataFrame:
-    """All pairs of left and right with equal on. A group's pairs are a grid of cells of some CELL_SIDE rows a side, each row in one row or column of it, and
-    cells are dealt out over as many tasks as there are pairs for: neither a large group nor a small table is one task. A row is copied once for each cell of
-    its row or column; as copies grow with the pairs, not with the table, rows are first dealt out for TASK_COPIES a task. sizes: pair_sizes()."""
-    groups, total = sizes or pair_sizes(left, right, on)
+def cells_within(left: DataFrame, right: DataFrame, on: str, sizes: tuple[DataFrame, int], side: int) -> tuple[DataFrame, DataFrame]:
+    """left and right with the cell (on, _i, _j) of each row, partitioned by it. A group's pairs are a grid of cells of some side rows a side, each row in one
+    row or column of it, and cells are dealt out over as many tasks as there are pairs for: neither a large group nor a small table is one task. A row is
+    copied once for each cell of its row or column; as copies grow with the pairs, not with the table, rows are first dealt out for TASK_COPIES a task."""
+    groups, total = sizes
     cores = left.sparkSession.sparkContext.defaultParallelism
     tasks = max(cores, math.ceil(total / TASK_PAIRS))
-    blocks = lambda n: F.ceil(F.col(n) / CELL_SIDE)
+    blocks = lambda n: F.ceil(F.col(n) / side)
     copies = groups.agg(F.sum(F.col("_l") * blocks("_r")).alias("_l"), F.sum(F.col("_r") * blocks("_l")).alias("_r")).first()
 
     def dealt(df: DataFrame, own: str, other: str, n: str, m: str) -> DataFrame:
@@ -57,7 +60,28 @@ def pairs_within(left: DataFrame, right: DataFrame, on: str, sizes: tuple[DataFr
         rows = rows.withColumn(own, F.pmod(F.xxhash64(*df.columns), blocks(n)))
         return rows.withColumn(other, F.explode(F.sequence(F.lit(0), blocks(m) - 1))).drop("_l", "_r").repartition(tasks, on, "_i", "_j")
 
-    return dealt(left, "_i", "_j", "_l", "_r").join(dealt(right, "_j", "_i", "_r", "_l"), [on, "_i", "_j"]).drop("_i", "_j")
+    return dealt(left, "_i", "_j", "_l", "_r"), dealt(right, "_j", "_i", "_r", "_l")
+
+
+def pairs_within(left: DataFrame, right: DataFrame, on: str, sizes: tuple[DataFrame, int] | None = None) -> DataFrame:
+    """All pairs of left and right with equal on, joined cell by cell. sizes: pair_sizes()."""
+    rows, others = cells_within(left, right, on, sizes or pair_sizes(left, right, on), CELL_SIDE)
+    return rows.join(others, [on, "_i", "_j"]).drop("_i", "_j")
+
+
+def low_pairs_within(left: DataFrame, right: DataFrame, on: str, left_key: str, right_key: str, share: float, sizes: tuple[DataFrame, int]) -> DataFrame:
+    """Those of pairs_within() whose MD5 of both keys is below share of all digests, and a few above it, as 32 bits are compared. Each pair's digest is made,
+    but only these pairs become rows: a cell of DIGEST_SIDE rows a side is the work of one call."""
+    schema = left.join(right, on).schema
+    bound = min(math.floor(share * 2**32), 2**32 - 1)
+    rows, others = cells_within(left, right, on, sizes, DIGEST_SIDE)
+
+    def low(a: pa.Table, b: pa.Table) -> pa.Table:
+        i, j = low_pairs(a["_text"].to_pylist(), b["_text"].to_pylist(), "__", bound)
+        return pa.table({c: a[c].take(i) if c in a.column_names else b[c].take(j) for c in schema.names})
+
+    rows, others = rows.withColumn("_text", F.col(left_key).cast("string")), others.withColumn("_text", F.col(right_key).cast("string"))
+    return rows.groupBy(on, "_i", "_j").cogroup(others.groupBy(on, "_i", "_j")).applyInArrow(low, schema)
 
 
 def pairs_all(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -77,17 +101,18 @@ def pairs_zipped(left: DataFrame, right: DataFrame, on: str, left_key: str, righ
     return placed(left, left_key).join(placed(right, right_key), [on, "_rn"]).drop("_rn")
 
 
-def subsample(df: DataFrame, n: int, *key: str, total: int | None = None) -> DataFrame:
+def subsample(df: DataFrame, n: int, *key: str, total: int | None = None, low: Callable[[float], DataFrame] | None = None) -> DataFrame:
     """n rows by the MD5 of their key: the same on every engine, and a top-n that needs no full sort.
 
     With total (df's number of rows), only rows below a bound that about twice n of them keep are put in order; it is raised until n rows are below it, so
-    that the n least are among them whatever the bound."""
-    rows = df.withColumn("_h", F.md5(F.concat_ws("__", *key)))
+    that the n least are among them whatever the bound. low(share): rows of df with all below that share of the digests, where there is a shorter way to them."""
+    hashed = lambda rows: rows.withColumn("_h", F.md5(F.concat_ws("__", *key)))
+    rows = hashed(df)
     share = (n + 10 * math.sqrt(n)) / total if total else 1.0
     while share < 1:
-        low = written(rows.filter(F.col("_h") < f"{math.floor(share * 16**12):012x}"), "low")
-        if low.count() >= n:
-            rows = low
+        found = written((hashed(low(share)) if low else rows).filter(F.col("_h") < f"{math.floor(share * 16**12):012x}"), "low")
+        if found.count() >= n:
+            rows = found
             break
         share *= 16
     return rows.orderBy("_h", *key).limit(n).drop("_h")

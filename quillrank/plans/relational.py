@@ -34,7 +34,8 @@ def zip_pairs(spark, sf_dir):
 def hash_subsample(spark, sf_dir):
     c, s = _people(spark, sf_dir)
     sizes = L.pair_sizes(c, s, "occ")
-    return L.subsample(L.pairs_within(c, s, "occ", sizes).select("cv_id", "jd_id", "occ"), 100, "cv_id", "jd_id", total=sizes[1])
+    low = lambda share: L.low_pairs_within(c, s, "occ", "cv_id", "jd_id", share, sizes).select("cv_id", "jd_id", "occ")
+    return L.subsample(L.pairs_within(c, s, "occ", sizes).select("cv_id", "jd_id", "occ"), 100, "cv_id", "jd_id", total=sizes[1], low=low)
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from quillrank.operators import digests
 from quillrank.operators import relational as L
 from quillrank.plans import catalogue, features, graphs, profiles, tables
 from quillrank.plans import relational as R
@@ -36,6 +37,37 @@ def test_subsample_raises_a_bound_that_keeps_too_few(spark):
     assert L.subsample(rows, 600, "k", total=500).count() == 500
 
 
+def test_digests_of_pairs_are_those_of_hashlib():
+    left, right = [None, "", "7", "12", "é" * 30, "x" * 200, *map(str, range(90, 120))], [None, "", "b" * 53, "b" * 54, "b" * 55, "q" * 64, "z\0", *map(str, range(990, 1020))]
+    low = [int(hashlib.md5("__".join(t for t in (a, b) if t is not None).encode()).hexdigest()[:8], 16) <= 1 << 30 for a in left for b in right]
+    i, j = digests.low_pairs(left, right, "__", 1 << 30)
+    assert sorted((i * len(right) + j).tolist()) == [at for at, kept in enumerate(low) if kept]
+
+
+def test_subsample_of_pairs_makes_no_row_of_each(spark, tmp_path, monkeypatch):
+    left, right = one_group(spark, 3000, 40)
+    odd = spark.createDataFrame([(None, 7), (-5, 7), (-5, 7), (9, None), (8, 3)], "k long, occ int")
+    left.selectExpr("cv_id AS c_custkey", "occ AS c_nationkey").union(odd).write.parquet(f"{tmp_path}/customer.parquet")
+    right.selectExpr("jd_id AS s_suppkey", "occ AS s_nationkey").union(odd.filter("k IS NULL OR k > 8")).write.parquet(f"{tmp_path}/supplier.parquet")
+    pairs_within, c = L.pairs_within, duckdb.connect()
+    monkeypatch.setattr(L, "pairs_within", lambda *args: pairs_within(*args).withColumn("cv_id", F.raise_error(F.lit("a row of a pair")).cast("long")))
+    monkeypatch.setattr(L, "DIGEST_SIDE", 500)
+    for t in ("customer", "supplier"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = c.execute(catalogue.ORACLES["hash_subsample"]).fetchall()
+    assert [tuple(r) for r in catalogue.QUERIES["hash_subsample"](spark, str(tmp_path)).collect()] == want and len(want) == 100
+
+
+def test_low_pairs_with_null_and_negative_keys(spark):
+    left = spark.createDataFrame([(None, 7), (-5, 7), (-5, 7), (12, 7), (3, 8), (4, None)], "cv_id long, occ int")
+    right = spark.createDataFrame([("a", 7), (None, 7), ("", 7), ("c" * 80, 8), ("d", None)], "jd_id string, occ int")
+    sizes, digest = L.pair_sizes(left, right, "occ"), F.md5(F.concat_ws("__", "cv_id", "jd_id"))
+    want = L.pairs_within(left, right, "occ", sizes).filter(digest < "8").select("occ", "cv_id", "jd_id").collect()
+    got = L.low_pairs_within(left, right, "occ", "cv_id", "jd_id", 0.5, sizes).filter(digest < "8").collect()
+    key = lambda r: repr(tuple(r))
+    assert sorted(got, key=key) == sorted(want, key=key) and 0 < len(got) < 13
+
+
 def test_a_pair_of_tables_with_one_group_is_more_than_one_task(spark):
     left, right = one_group(spark, 9000, 20)
     pairs = L.pairs_within(left, right, "occ")
