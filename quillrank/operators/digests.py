@@ -1,5 +1,5 @@
-"""MD5 (RFC 1321) of every text of one list before every text of another, a tile of pairs at a time. Spark's md5 goes text by text, at some 0.5 CPU microseconds
-or more a pair; here a step of the digest is taken for all pairs of a tile at once."""
+"""MD5 (RFC 1321) of every text of one list before every text of another, a tile of pairs at a time. Spark's md5 goes text by text; here a
+step of the digest is taken for all pairs of a tile at once, in a fraction of the time."""
 
 from __future__ import annotations
 
